@@ -59,20 +59,23 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without ASCII white space (20, 09-0D)."""
+_NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without ASCII white space (20, 09-0D); terms: of those of ASCII letters, digits and other characters."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = ~_WHITE[data]
+    inside[1:-1] = ~(_NO_TERM if terms else _WHITE)[data]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words begin (one entry more than texts)."""
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     if lower:
         data = _LOWER[data]
-    starts, ends = word_bounds(data)
+    starts, ends = word_bounds(data, terms)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return range_hashes(BYTE_CODES[data], starts, ends), np.searchsorted(starts, begins)
 
