@@ -6,25 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, fingerprints, html_extract, jaccard_join, mixing, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from ._store import work_path
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer files are installed; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import dedup_word_windows
+    return substring_dedup.dedup_word_windows(_table(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_components(_table(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
 
-    return dedup_word_windows(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import dedup_byte_strings
+    return suffix_dedup.dedup_byte_strings(_table(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark)
+    token_output.write_tokens(_table(spark, sf_dir), path, tokenizer_path())
+    return token_output.with_checksums(token_output.read_tokens(spark, path))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
 
-    return dedup_byte_strings(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op6_suffix_dedup": op6_suffix_dedup,
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_fingerprints, op8_token_output, op9_toxicity, op10_html_extraction)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
