@@ -72,7 +72,8 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
     first_is_free: the earliest occurrence of a window isn't marked (flags say "starts earlier"), else all are. bits null: all n_win.
     """
     occ = occurrences(docs, to_units, window, gram)
-    again = occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # counted apart, so that the join deals out both sides itself and adaptive execution can split a frequent anchor
+    again = work_table(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     cand = work_table(occ.join(again, "anchor"))
     segs = work_table(cand.groupBy("anchor", "seg").agg(F.min(F.struct("key", "start")).alias("first"), F.max("n_win").alias("n_win"), F.max("a_pos").alias("a_pos"), F.count("*").alias("n")))
     units_of = lambda c: F.col(c) + F.lit(window - 1)
@@ -112,7 +113,7 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
     marked = cand.join(known, ["anchor", "seg"]).select("key", "start", F.when(free, F.col("parts")).otherwise(all_of).alias("parts")).where("parts is not null")
     marks = marked.groupBy("key").agg(F.flatten(F.collect_list(F.expr("transform(parts, p -> struct(start + p.off as start, p.n_win as n_win, p.bits as bits))"))).alias("marks"))
     out = work_table(marks)
-    for t in (cand, segs, flags):
+    for t in (again, cand, segs, flags):
         drop_table(t)
     return out
 
