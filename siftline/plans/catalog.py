@@ -1,4 +1,574 @@
-"""The registry of queries over the driver's tables, each beside its SQL twin."""
+"""The registry of queries over the driver's tables, each beside its SQL twin.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query reads whole tables. Queries without SQL are procedural (syntax trees, decoding, retries) or streams without a batch form; tests hold them
+against brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import text as T
+from ..operators import chunks, evaluate, gates, prune, repair, sessions
+from ..sources import requests
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+QUESTION = "Where does shouha meet thanea, and what is eringth or station_reer about?"
+OTHER = "Which line says ration or heanan?"
+TOKENS, OTHER_TOKENS = ("shouha", "meet", "thanea", "eringth", "station_reer", "station", "reer"), ("says", "ration", "heanan")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _relevant(column: str, tokens: tuple[str, ...]) -> str:
+    marks = (*T.ALWAYS_KEPT, *tokens)
+    return "(" + " OR ".join(f"contains(lower({column}), '{m}')" for m in marks) + ")"
+
+
+#: SQL: a row a line (n from 1), without an empty last one.
+LINES = """L AS (
+  SELECT doc_id, text, unnest(x) AS line, generate_subscripts(x, 1) AS n, len(x) AS m
+  FROM (SELECT doc_id, text, CASE WHEN suffix(text, chr(10)) THEN string_split(text[:-2], chr(10)) ELSE string_split(text, chr(10)) END AS x FROM documents))"""
+
+
+def _mask_sql(tokens: tuple[str, ...]) -> str:
+    return f"""{LINES},
+K AS (SELECT *, trim(line) = '' AS blank, {_relevant('line', tokens)} AS k0 FROM L),
+M AS (SELECT *, k0 OR (coalesce(lag(k0) OVER w, false) AND coalesce(lead(k0) OVER w, false)) AS k FROM K WINDOW w AS (PARTITION BY doc_id ORDER BY n))"""
+
+
+_RENDER_SQL = f"""WITH {_mask_sql(TOKENS)},
+E AS (SELECT *, k AND NOT blank AS emit, sum(CASE WHEN k AND NOT blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM M),
+G AS (SELECT doc_id, island, count(*) AS cnt, sum(CASE WHEN blank THEN 0 ELSE length(line) END) AS chars, string_agg(line, chr(10) ORDER BY n) AS body, max(n) = max(m) AS at_end FROM E WHERE NOT emit GROUP BY ALL),
+P AS (
+  SELECT doc_id, island * 2 AS pos, line AS s FROM E WHERE emit
+  UNION ALL SELECT doc_id, island * 2 + 1, CASE WHEN at_end OR chars > 18 THEN '(filtered ' || cnt || ' lines)' ELSE body END FROM G),
+R AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY pos) AS out FROM P GROUP BY doc_id),
+C AS (SELECT doc_id, sum(length(s)) AS content FROM (SELECT doc_id, unnest(string_split(out, chr(10))) AS s FROM R) WHERE trim(s) <> '' AND NOT starts_with(trim(s), '[pruned') AND NOT starts_with(trim(s), '(filtered ') GROUP BY doc_id),
+D AS (SELECT d.doc_id, d.text, CASE WHEN coalesce(content, 0) >= 0.05 * length(d.text) THEN out ELSE d.text END AS fin, coalesce(content, 0) < 0.05 * length(d.text) AS floored FROM documents d JOIN R USING (doc_id) LEFT JOIN C USING (doc_id)),
+N AS (SELECT doc_id, count(*) FILTER (k) AS kept_lines FROM M GROUP BY doc_id)"""
+_DECIDED = "CASE WHEN floored OR fin = text THEN 'unchanged' ELSE 'pruned' END AS decision, CASE WHEN floored THEN 'floor-original' WHEN fin = text THEN 'no-lines-removed' ELSE 'model' END AS reason"
+
+
+def _pruned(spark, sf_dir):
+    return prune.prune_lexical(table(spark, sf_dir, "documents").select("doc_id", "text"), QUESTION)
+
+
+@query(f"{_RENDER_SQL} SELECT D.doc_id, {_DECIDED}, CAST(length(text) AS BIGINT) AS in_chars, CAST(length(fin) AS BIGINT) AS out_chars, CAST(kept_lines AS BIGINT) AS kept_lines, sha256(fin) AS out_sha FROM D JOIN N USING (doc_id)")
+def prune_lexical(spark, sf_dir):
+    return _pruned(spark, sf_dir).select("doc_id", "decision", "reason", F.length("text").cast("long").alias("in_chars"), F.length("pruned").cast("long").alias("out_chars"), F.size("kept").cast("long").alias("kept_lines"), F.sha2("pruned", 256).alias("out_sha"))
+
+
+@query(f"{_RENDER_SQL} SELECT decision, reason, count(*) AS observations, CAST(sum(length(text)) AS BIGINT) AS in_chars, CAST(sum(length(fin)) AS BIGINT) AS out_chars, CAST(sum(greatest(0, length(text) - length(fin))) AS BIGINT) AS saved_chars, CAST(max(length(text)) AS BIGINT) AS largest FROM (SELECT *, {_DECIDED} FROM D) GROUP BY ALL")
+def prune_stats(spark, sf_dir):
+    rows = _pruned(spark, sf_dir).select("decision", "reason", F.length("text").cast("long").alias("i"), F.length("pruned").cast("long").alias("o"))
+    return rows.groupBy("decision", "reason").agg(F.count("*").alias("observations"), F.sum("i").alias("in_chars"), F.sum("o").alias("out_chars"), F.sum(N.saved(F.col("i"), F.col("o"))).alias("saved_chars"), F.max("i").alias("largest"))
+
+
+@query(f"""{_RENDER_SQL} SELECT doc_id, '{{"decision":"' || decision || '","in":' || length(text) || ',"out":' || length(fin) || ',"reason":"' || reason || '"}}' AS report, decision || ' (' || reason || ') · ' || length(text) || ' -> ' || length(fin) || ' chars' AS summary, length('<Instruct>: Keep what answers the question' || chr(10) || '<Query>: ' || '{QUESTION}' || chr(10) || '<Document>: ' || text) AS prompt_chars FROM (SELECT *, {_DECIDED} FROM D)""")
+def prune_report(spark, sf_dir):
+    sizes = F.length("text"), F.length("pruned")
+    summary = F.concat_ws(" · ", F.concat("decision", F.lit(" ("), "reason", F.lit(")")), F.concat(sizes[0].cast("string"), F.lit(" -> "), sizes[1].cast("string"), F.lit(" chars")), F.lit(None).cast("string"))
+    return _pruned(spark, sf_dir).select("doc_id", requests.sorted_json(decision=F.col("decision"), reason=F.col("reason"), **{"in": sizes[0], "out": sizes[1]}).alias("report"), summary.alias("summary"), F.length(T.prompt(F.lit(QUESTION), F.col("text"))).cast("long").alias("prompt_chars"))
+
+
+@query(f"""WITH {_mask_sql(TOKENS)},
+E AS (SELECT *, coalesce(lag(k0) OVER (PARTITION BY doc_id ORDER BY n), true) AS prev FROM K),
+P AS (SELECT doc_id, string_agg(CASE WHEN k0 THEN line WHEN prev THEN '[pruned]' END, chr(10) ORDER BY n) AS s, bool_or(k0) AS any_kept, count(*) FILTER (k0) AS kept FROM (SELECT * FROM E WHERE k0 OR prev OR n = 1) GROUP BY doc_id),
+R AS (SELECT d.doc_id, d.text, kept, CASE WHEN any_kept THEN trim(s, chr(10) || ' ') ELSE trim(d.text, chr(10) || ' ') END AS o FROM P JOIN documents d USING (doc_id))
+SELECT doc_id, CAST(kept AS BIGINT) AS kept_lines, sha256(CASE WHEN suffix(text, chr(10)) AND o <> '' THEN o || chr(10) ELSE o END) AS out_sha FROM R""")
+def prune_trace_render(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text"))).withColumn("mask", prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(QUESTION))))
+    return docs.select("doc_id", F.size(prune.kept_numbers(F.col("mask"))).cast("long").alias("kept_lines"), F.sha2(prune.render_marked(F.col("text"), F.col("x"), F.col("mask")), 256).alias("out_sha"))
+
+
+@query(f"WITH {LINES} SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT item_id, regexp_extract(lower(text), '[a-z0-9_]{{7,}}') AS token FROM benchmark) JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9_]{{7,}}'))) AS token FROM L) USING (token) WHERE token <> '' GROUP BY item_id")
+def prune_by_benchmark_query(spark, sf_dir):
+    # an item's first long word is its focus: an equi-join on words, not all pairs of lines and items
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "([a-z0-9_]{7,})", 1).alias("token")).where("token <> ''")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9_]{7,})"), F.lit(1)))).alias("token"))
+    return words.join(items, "token").groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) < 200 THEN 'small' WHEN turn % 7 = 3 THEN 'verbatim' WHEN turn % 5 = 4 THEN 'missing-focus-question' WHEN 512 - length(role) * 60 < 100 THEN 'query-too-long' ELSE 'prune' END AS gate FROM conversations")
+def gate_decisions(spark, sf_dir):
+    question = F.when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.lit(QUESTION))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.decision(F.col("text"), question, F.col("turn") % 7 == 3, 512 - F.length("role") * 60).alias("gate"))
+
+
+@query("""WITH S AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || chr(10) || '[Showing lines 1-20 of 300]' WHEN 2 THEN chr(10) || 'Command exited with code 1' ELSE chr(10) || chr(10) || '[truncated]' || chr(10) || 'Command timed out after 30 seconds' || chr(10) END AS env FROM documents)
+SELECT doc_id, env AS envelope, CAST(length(text) AS BIGINT) AS payload_chars, sha256('[notice]' || chr(10) || chr(10) || text || env) AS sha FROM S""")
+def envelope_split(spark, sf_dir):
+    env = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "\n\n[Showing lines 1-20 of 300]").when(F.col("doc_id") % 4 == 2, "\nCommand exited with code 1").otherwise("\n\n[truncated]\nCommand timed out after 30 seconds\n")
+    whole = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", env).alias("t"))
+    t = F.col("t")
+    return whole.select("doc_id", T.envelope(t).alias("envelope"), F.length(T.payload(t)).cast("long").alias("payload_chars"), F.sha2(T.banner(F.concat(T.payload(t), T.envelope(t)), F.lit("notice")), 256).alias("sha"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, n, s AS start, s + length(line) AS \"end\" FROM (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM L)")
+def line_index(spark, sf_dir):
+    return chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", F.col("n").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+_WINDOWS = """W AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS t FROM documents),
+V AS (SELECT doc_id, t, unnest(range(0, greatest(0, CAST(ceil((len(t) - 64) / 48.0) AS BIGINT)) + 1)) AS idx FROM W)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, idx AS chunk_idx, CAST(len(t[idx * 48 + 1 : idx * 48 + 64]) AS BIGINT) AS tokens, CAST(coalesce(list_sum(list_transform(t[idx * 48 + 1 : idx * 48 + 64], lambda x: length(x))), 0) AS BIGINT) AS chars FROM V")
+def token_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", chunks.word_tokens(F.col("text")).alias("t"))
+    size = F.aggregate("tokens", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    return chunks.explode_windows(docs, "t", 64, 16, "doc_id").select("doc_id", F.col("chunk_idx").cast("long"), F.size("tokens").cast("long").alias("tokens"), size.cast("long").alias("chars"))
+
+
+def _spans(spark, sf_dir):
+    """Scores in quarters, from a token's length and its window's number, so that sums are exact."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", chunks.word_tokens(F.col("text")).alias("t"))
+    rows = chunks.explode_windows(docs, "t", 64, 16, "doc_id").select("doc_id", "chunk_idx", F.explode("tokens").alias("s"))
+    return rows.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), (((F.col("s.end") - F.col("s.start")) % 5 + F.col("chunk_idx") % 2) / 4.0).alias("score"))
+
+
+_SPANS = f"""W AS (SELECT doc_id, regexp_split_to_array(text, '[ \\n]') AS p FROM documents),
+T0 AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM W),
+T1 AS (SELECT doc_id, w, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS s FROM T0),
+T2 AS (SELECT doc_id, s AS start, s + length(w) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM T1 WHERE w <> ''),
+T3 AS (SELECT doc_id, start, stop, unnest([k // 48, k // 48 - 1]) AS c, k, m FROM T2),
+S AS (SELECT doc_id, start, stop, ((stop - start) % 5 + c % 2) / 4.0 AS score FROM T3 WHERE c >= 0 AND k < c * 48 + 64 AND c <= greatest(0, ceil((m - 64) / 48.0))),
+A AS (SELECT doc_id, start, stop, avg(score) AS score FROM S GROUP BY ALL)"""
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS \"end\", CAST(score AS DOUBLE) AS score FROM A")
+def merge_overlap_scores(spark, sf_dir):
+    return chunks.merge_scores(_spans(spark, sf_dir), "doc_id").select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
+
+
+_LINE_SCORES = f"""{_SPANS}, {LINES},
+B AS (SELECT doc_id, n, line, s AS lo, s + length(line) AS hi FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM L)),
+Q AS (SELECT B.doc_id, n, least(1, greatest(0, sum(score * (least(stop, hi) - greatest(start, lo))) / sum(least(stop, hi) - greatest(start, lo)))) AS score FROM B JOIN A ON A.doc_id = B.doc_id AND start < hi AND lo < stop GROUP BY ALL)"""
+
+
+def _line_scores(spark, sf_dir):
+    lines = chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return lines, chunks.line_scores(chunks.merge_scores(_spans(spark, sf_dir), "doc_id"), lines, "doc_id")
+
+
+@query(f"WITH {_LINE_SCORES} SELECT doc_id, n, round(CAST(score AS DOUBLE), 6) AS score FROM Q")
+def line_scores(spark, sf_dir):
+    return _line_scores(spark, sf_dir)[1].select("doc_id", F.col("n").cast("long"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_LINE_SCORES}, Z AS (SELECT doc_id, n, n <= 1 OR coalesce(score, 0) >= 0.5 AS keep FROM B LEFT JOIN Q USING (doc_id, n)) SELECT doc_id, count(*) AS line_count, count(*) FILTER (keep) AS kept FROM Z GROUP BY doc_id")
+def threshold_mask(spark, sf_dir):
+    lines, scores = _line_scores(spark, sf_dir)
+    keep = (F.col("n") <= 1) | (F.coalesce("score", F.lit(0.0)) >= 0.5)
+    return lines.join(scores, ["doc_id", "n"], "left").groupBy("doc_id").agg(F.count("*").alias("line_count"), F.count_if(keep).alias("kept"))
+
+
+@query(f"WITH {_LINE_SCORES} SELECT doc_id, n, CAST(hi - lo AS BIGINT) AS chars FROM B WHERE hi > lo AND lo >= 0 AND n % 3 = 0")
+def span_filters(spark, sf_dir):
+    return chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id").where("end > start AND start >= 0 AND n % 3 = 0").select("doc_id", F.col("n").cast("long"), (F.col("end") - F.col("start")).cast("long").alias("chars"))
+
+
+@query(f"WITH {_mask_sql(TOKENS)} SELECT doc_id, count(*) FILTER (k AND NOT k0) AS bridged, count(*) FILTER (k) AS kept FROM M GROUP BY doc_id")
+def gap_bridge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("m0", prune.lexical_mask(T.lines(F.col("text")), T.query_tokens(F.lit(QUESTION)))).withColumn("m", prune.bridge_gaps(F.col("m0")))
+    kept = lambda c: F.size(prune.kept_numbers(F.col(c)))
+    return docs.select("doc_id", (kept("m") - kept("m0")).cast("long").alias("bridged"), kept("m").cast("long").alias("kept"))
+
+
+@query(f"WITH {_mask_sql(TOKENS)}, E AS (SELECT *, sum(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM M) SELECT doc_id, CAST(island AS BIGINT) AS island, count(*) AS cnt, CAST(sum(length(line)) AS BIGINT) AS chars FROM E WHERE NOT k GROUP BY ALL")
+def gap_islands(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("x"))
+    rows = docs.withColumn("m", prune.bridge_gaps(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(QUESTION))))).select("doc_id", F.posexplode(F.arrays_zip("x", "m")).alias("n", "z"))
+    island = F.sum(F.when(F.col("z.m"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n"))
+    return rows.withColumn("island", island).where("NOT z.m").groupBy("doc_id", "island").agg(F.count("*").alias("cnt"), F.sum(F.length("z.x")).alias("chars"))
+
+
+#: Python sources by number: definitions, imports, a try statement and a call over several lines.
+_CODE = ("import os", "from re import sub", "", "LIMIT = {i}", "", "@cached", "def load_{i}(path,", "            mode):", "    # read it", "    try:", "        return open(path)", "    except OSError:", "        return None", "    finally:", "        done()", "", "class Box{i}:", "    size = {i}", "", "    def __init__(self):", "        self.x = sub(", "            'a', 'b', 'c')", "", "    def grow(self):", "        if self.size > LIMIT:", "            return os.sep", "        else:", "            return load_{i}('x', 'r')")
+
+
+def _sources(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array(*[F.replace(F.lit(x), F.lit("{i}"), (F.col("doc_id") % 10).cast("string")) for x in _CODE]).alias("x"))
+
+
+_CODE_SQL = "C AS (SELECT doc_id, [" + ", ".join("replace('" + x.replace("'", "''") + "', '{i}', CAST(doc_id % 10 AS VARCHAR))" for x in _CODE) + "] AS x FROM documents), CL AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM C)"
+
+
+@query(f"""WITH {_CODE_SQL},
+S AS (SELECT *, regexp_matches(line, '^\\s*(import |from |def |async def |class |@)') AS k FROM CL),
+E AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY n), false) AS prev, max(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS begun FROM S)
+SELECT doc_id, string_agg(CASE WHEN k THEN line ELSE '[pruned]' END, chr(10) ORDER BY n) AS skeleton FROM E WHERE k OR (prev AND begun = 1) GROUP BY doc_id""")
+def skeleton(spark, sf_dir):
+    return _sources(spark, sf_dir).select("doc_id", prune.skeleton(F.col("x")).alias("skeleton"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT doc_id, n, CAST(length(regexp_extract(line, '^\\s*')) AS BIGINT) AS indent, suffix(rtrim(CASE WHEN contains(line, '#') THEN split_part(line, '#', 1) ELSE line END), ':') AS opens, regexp_matches(trim(line), '^(elif|else|except|finally)($|[ :(])') AS continues, contains(line, 'def ') OR contains(line, 'class ') OR contains(line, 'import ') AS maybe FROM CL")
+def python_like_lines(spark, sf_dir):
+    rows = _sources(spark, sf_dir).select("doc_id", F.posexplode("x").alias("i", "line"))
+    line = F.col("line")
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("n"), F.length(T.indent(line)).cast("long").alias("indent"), T.opens_block(line).alias("opens"), T.continues_block(line).alias("continues"), repair.may_be_python(line).alias("maybe"))
+
+
+@query()
+def repair_python(spark, sf_dir):
+    rows = _sources(spark, sf_dir).select("doc_id", F.array_join("x", "\n").alias("code"), F.expr("filter(sequence(1, size(x)), n -> (n * 7 + doc_id) % 11 = 0)").alias("asked"))
+    fixed = rows.where(repair.may_be_python(F.col("code"))).withColumn("r", repair.repair_udf("code", "asked"))
+    return fixed.select("doc_id", F.size("asked").alias("asked"), F.size("r.kept").alias("kept"), "r.parses", "r.status", F.sha2("r.code", 256).alias("sha"))
+
+
+@query()
+def repair_gap_render(spark, sf_dir):
+    rows = _sources(spark, sf_dir).select("doc_id", F.array_join("x", "\n").alias("code"), F.array(F.lit(24)).alias("asked")).withColumn("r", repair.repair_udf("code", "asked"))
+    return rows.select("doc_id", F.explode("r.reasons").alias("n", "reasons")).select("doc_id", "n", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def viterbi_decode(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.slice(T.lines(F.col("text")), 1, 1_000_000), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
+    tags = repair.viterbi_udf("e", F.lit([[0.5, -0.5], [-0.5, 0.5]]), F.lit([0.0, 0.0]), F.lit([0.0, 0.0]))
+    return rows.withColumn("tags", tags).select("doc_id", F.size("tags").alias("tags"), F.aggregate("tags", F.lit(0), lambda s, x: s + x).alias("ones"))
+
+
+_CALLS_SQL = "P AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS b, CAST(length(text) // (turn % 3 + 1) AS BIGINT) AS a FROM conversations), T AS (SELECT *, CAST(ceil(b / 4.0) AS BIGINT) AS bt, CAST(ceil(a / 4.0) AS BIGINT) AS ta FROM P)"
+
+
+def _calls(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return sessions.prune_sizes(rows, T.utf16_length(F.col("text")), F.floor(T.utf16_length(F.col("text")) / (F.col("turn") % 3 + 1)))
+
+
+@query(f"WITH {_CALLS_SQL} SELECT conv_id, count(*) AS calls, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, CAST(sum(b) - sum(a) AS BIGINT) AS saved_chars, CAST(greatest(0, sum(bt) - sum(ta)) AS BIGINT) AS saved_tokens FROM T GROUP BY conv_id")
+def session_counters(spark, sf_dir):
+    return sessions.session_counters(_calls(spark, sf_dir), "conv_id").select("conv_id", "calls", "before", "after", "saved_chars", "saved_tokens")
+
+
+@query(f"WITH {_CALLS_SQL} SELECT conv_id, turn, count(*) OVER w AS calls, CAST(sum(b) OVER w - sum(a) OVER w AS BIGINT) AS saved_chars, CAST(greatest(0, sum(bt) OVER w - sum(ta) OVER w) AS BIGINT) AS saved_tokens FROM T WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+def running_counters(spark, sf_dir):
+    return sessions.running_counters(_calls(spark, sf_dir), "conv_id", "turn")
+
+
+@query(f"""WITH {_CALLS_SQL},
+R AS (SELECT event_id % 100 AS conv_id, event_id // 100 % 12 AS turn, max(CASE WHEN value > 50 THEN value / 100 ELSE value / 1000000 END) AS price, max(value / 2000000) AS cached FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+J AS (SELECT T.conv_id, T.turn, greatest(0, bt - ta) AS saved, price, cached FROM T ASOF LEFT JOIN R ON T.conv_id = R.conv_id AND T.turn >= R.turn),
+N AS (SELECT *, CASE WHEN price > 0.01 THEN price / 1000000 ELSE price END AS p, CASE WHEN cached > 0.01 THEN cached / 1000000 ELSE cached END AS c FROM J),
+K AS (SELECT conv_id, CASE WHEN p > 0 THEN saved * least(CASE WHEN c > 0 THEN c ELSE p END, p) END AS lo, CASE WHEN p > 0 THEN saved * greatest(CASE WHEN c > 0 THEN c ELSE p END, p) END AS hi FROM N)
+SELECT conv_id, round(sum(lo), 9) AS cost_low, round(sum(hi), 9) AS cost_high FROM K GROUP BY conv_id""")
+def cost_asof(spark, sf_dir):
+    value = F.col("value")
+    prices = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy((F.col("event_id") % 100).alias("conv_id"), (F.floor(F.col("event_id") / 100) % 12).alias("turn")).agg(F.max(F.when(value > 50, value / 100).otherwise(value / 1_000_000)).alias("price"), F.max(value / 2_000_000).alias("cached"))
+    calls = sessions.as_of(_calls(spark, sf_dir).select("conv_id", "turn", N.saved(F.col("before_tokens"), F.col("after_tokens")).alias("saved")), prices, "conv_id", "turn", "price", "cached")
+    low, high = N.cost_range(F.col("saved"), N.normal_price(F.col("price")), N.normal_price(F.col("cached")))
+    return calls.select("conv_id", low.alias("lo"), high.alias("hi")).groupBy("conv_id").agg(F.round(F.sum("lo"), 9).alias("cost_low"), F.round(F.sum("hi"), 9).alias("cost_high"))
+
+
+_LEASES_SQL = """G AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events),
+H AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM G),
+S AS (SELECT user_id, min(ts) AS opened, max(ts) AS last_beat, count(*) AS beats FROM H GROUP BY user_id, g)"""
+
+
+def _leases(spark, sf_dir):
+    return sessions.leases(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+
+
+@query(f"WITH {_LEASES_SQL} SELECT user_id, epoch_us(opened) AS opened, epoch_us(last_beat) AS last_beat, beats FROM S")
+def session_leases(spark, sf_dir):
+    return _leases(spark, sf_dir).select("user_id", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened"), F.unix_micros(F.col("last_beat").cast("timestamp")).alias("last_beat"), "beats")
+
+
+@query(f"WITH {_LEASES_SQL}, V AS (SELECT ts, sum(step) AS step FROM (SELECT opened AS ts, 1 AS step FROM S UNION ALL SELECT last_beat + INTERVAL 6 HOUR, -1 FROM S) GROUP BY ts) SELECT epoch_us(ts) AS ts, CAST(sum(step) OVER (ORDER BY ts) AS BIGINT) AS open FROM V")
+def open_session_count(spark, sf_dir):
+    return sessions.open_leases(_leases(spark, sf_dir), 6 * 3600).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("open").cast("long"))
+
+
+@query("SELECT user_id, epoch_us(ts) AS ts, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, false) AS expired FROM events")
+def lease_lag(spark, sf_dir):
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", F.coalesce(F.col("ts") - before > F.expr("INTERVAL 6 HOURS"), F.lit(False)).alias("expired")).withColumnRenamed("us", "ts")
+
+
+@query("SELECT conv_id, sha256(arg_max(text, turn)) AS original_sha FROM conversations GROUP BY conv_id")
+def last_original(spark, sf_dir):
+    return sessions.last_original(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.sha2("original", 256).alias("original_sha"))
+
+
+@query("SELECT conv_id, arg_max(turn, turn) FILTER (role = 'user') AS user_turn, arg_max(length(text), turn) FILTER (role = 'assistant') AS answer_chars FROM conversations GROUP BY conv_id")
+def counters_restore(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("user_turn"), F.when(F.col("role") == "assistant", F.length("text").cast("long")).alias("answer_chars"))
+    return sessions.restored(rows, "conv_id", "turn", "user_turn", "answer_chars")
+
+
+_CASES_SQL = "U AS (SELECT 1 AS src, doc_id AS id, text, source AS query FROM documents UNION ALL SELECT 0, item_id, text, 'src' || item_id % 3 FROM benchmark UNION ALL SELECT 2, item_id, text, 'src' || item_id % 3 FROM benchmark)"
+
+
+def _cases(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit(1).alias("src"), F.col("doc_id").alias("id"), "text", F.col("source").alias("query"))
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("query"))
+    return docs.unionByName(bench.select(F.lit(0).alias("src"), F.col("item_id").alias("id"), "text", "query")).unionByName(bench.select(F.lit(2).alias("src"), F.col("item_id").alias("id"), "text", "query"))
+
+
+@query(f"WITH {_CASES_SQL} SELECT src, id, sha256(text)[:16] AS sha FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text)[:16], query ORDER BY src, id) AS r FROM U) WHERE r = 1")
+def case_dedup(spark, sf_dir):
+    return evaluate.dedup_cases(_cases(spark, sf_dir), "src", "id").select("src", "id", evaluate.sha16(F.col("text")).alias("sha"))
+
+
+@query(f"WITH {_CASES_SQL}, D AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text)[:16], query ORDER BY src, id) AS r FROM U) WHERE r = 1) SELECT src, id FROM D ORDER BY src, id LIMIT 25")
+def case_limit(spark, sf_dir):
+    return evaluate.dedup_cases(_cases(spark, sf_dir), "src", "id").orderBy("src", "id").limit(25).select("src", "id")
+
+
+_COMPARE_SQL = f"""WITH {LINES}, X AS (SELECT doc_id, count(*) AS m, count(*) FILTER (a AND b) AS nb, count(*) FILTER (a AND NOT b) AS ao, count(*) FILTER (b AND NOT a) AS bo
+FROM (SELECT doc_id, {_relevant('line', TOKENS)} AS a, {_relevant('line', OTHER_TOKENS)} AS b FROM L) GROUP BY doc_id),
+Y AS (SELECT doc_id, ao + bo = 0 AS exact, CASE WHEN m > 0 THEN (m - ao - bo) / m ELSE 1.0 END AS line_agreement, CASE WHEN nb + ao + bo > 0 THEN nb / (nb + ao + bo) ELSE 1.0 END AS jaccard, nb AS both_kept, ao AS a_only, bo AS b_only, m AS line_count FROM X)"""
+
+
+def _compared(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text")))
+    mask = lambda q: prune.kept_numbers(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(q))))
+    docs = docs.select("doc_id", F.size("x").cast("long").alias("line_count"), mask(QUESTION).alias("a"), mask(OTHER).alias("b"))
+    return docs.select("doc_id", *evaluate.compare_masks(F.col("a"), F.col("b"), F.col("line_count")), "line_count")
+
+
+@query(f"{_COMPARE_SQL} SELECT * FROM Y")
+def mask_compare(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@query(f"{_COMPARE_SQL} SELECT count(*) AS comparisons, count(*) FILTER (exact) AS exact, round(avg(line_agreement), 9) AS agreement, round(avg(jaccard), 9) AS jaccard, CAST(sum(line_count) AS BIGINT) AS line_count FROM Y")
+def mask_summary(spark, sf_dir):
+    return evaluate.summarize(_compared(spark, sf_dir))
+
+
+@query(f"WITH {LINES}, R AS (SELECT doc_id, count(*) FILTER ({_relevant('line', TOKENS)}) AS a, count(*) FILTER ({_relevant('line', OTHER_TOKENS)}) AS b FROM L GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN a END AS a_kept, CASE WHEN doc_id % 3 <> 1 THEN b END AS b_kept, CASE WHEN doc_id % 3 = 0 THEN 'b' WHEN doc_id % 3 = 1 THEN 'a' ELSE 'a,b' END AS backends FROM R")
+def report_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("x"))
+    part = lambda q, rest: docs.where(F.col("doc_id") % 3 != rest).select("doc_id", F.size(prune.kept_numbers(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(q))))).cast("long").alias("kept"))
+    merged = evaluate.merge_reports(part(QUESTION, 0), part(OTHER, 1), "doc_id")
+    return merged.withColumn("backends", F.array_join(F.array_sort(F.array_compact(F.array(F.when(F.col("b_kept").isNotNull(), "b"), F.when(F.col("a_kept").isNotNull(), "a")))), ","))
+
+
+@query(f"WITH {LINES}, R AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) FILTER ({_relevant('line', TOKENS)}) AS out FROM L GROUP BY doc_id) SELECT doc_id, " + " || ".join(f"CASE WHEN contains(coalesce(out, ''), '{t}') THEN '' ELSE '{t};' END" for t in TOKENS) + " AS missing FROM R")
+def must_contain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text")))
+    kept = F.array_join(F.filter(F.col("x"), lambda line: T.is_relevant(line, T.query_tokens(F.lit(QUESTION)))), "\n")
+    gone = evaluate.missing(kept, F.lit(list(TOKENS)))
+    return docs.select("doc_id", F.concat(F.array_join(gone, ";"), F.when(F.size(gone) > 0, ";").otherwise("")).alias("missing"))
+
+
+def _lengths(spark, sf_dir):
+    """Chunk lengths of each conversation, in turn order: a session's, never all rows of a table in one array."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") + 1).alias("n")))).alias("x"))
+    return rows.select("conv_id", F.col("x.n").alias("lengths"))
+
+
+_FOLD = """WITH RECURSIVE X AS (SELECT conv_id, CAST(length(text) + 1 AS INT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS i FROM conversations),
+R AS (
+  SELECT conv_id, i, n, 1 AS batch, 1 AS members, n AS head, n AS longest FROM X WHERE i = 1
+  UNION ALL
+  SELECT X.conv_id, X.i, X.n, CASE WHEN {closes} THEN batch + 1 ELSE batch END, CASE WHEN {closes} THEN 1 ELSE members + 1 END, CASE WHEN {closes} THEN X.n ELSE head END, CASE WHEN {closes} THEN X.n ELSE greatest(longest, X.n) END
+  FROM R JOIN X ON X.conv_id = R.conv_id AND X.i = R.i + 1),
+B AS (SELECT conv_id, batch, count(*) AS members, max(n) AS longest, sum(n) AS real FROM R GROUP BY ALL)
+"""
+
+
+@query(_FOLD.format(order="length(text), turn", closes="(members >= 4 OR X.n > head * 1.5)") + "SELECT conv_id, count(*) AS batches, CAST(sum(real) AS BIGINT) AS real_tokens, CAST(sum(members * longest) AS BIGINT) AS padded_tokens FROM B GROUP BY conv_id")
+def batch_buckets(spark, sf_dir):
+    return _batched(_lengths(spark, sf_dir), chunks.bucket_lengths(F.col("lengths"), 4, 1.5)).drop("batched")
+
+
+@query(_FOLD.format(order="turn", closes="((members + 1) * greatest(longest, X.n) > 1200)") + "SELECT conv_id, count(*) AS batches, CAST(sum(real) AS BIGINT) AS real_tokens, CAST(sum(members * longest) AS BIGINT) AS padded_tokens FROM B GROUP BY conv_id")
+def padded_budget(spark, sf_dir):
+    return _batched(_lengths(spark, sf_dir), chunks.split_by_budget(F.col("lengths"), 1200)).drop("batched")
+
+
+def _batched(rows, batches):
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + f(x))
+    return rows.withColumn("batched", batches).select("conv_id", "batched", F.size("batched").cast("long").alias("batches"), total(F.col("lengths"), lambda x: x).alias("real_tokens"), total(F.col("batched"), N.padded_tokens).alias("padded_tokens"))
+
+
+@query("WITH X AS (SELECT conv_id, sum(length(text) + 1) AS real, count(*) * max(length(text) + 1) AS padded FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(padded - real AS BIGINT) AS pad, round((padded - real) / padded, 9) AS waste, round(padded / real, 9) AS work, CASE WHEN (padded - real) / padded <= 0.2 THEN 'fine' WHEN (padded - real) / padded <= 0.4 THEN 'measure' ELSE 'bad' END AS label FROM X")
+def padding_profile(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text") + 1).alias("real"), (F.count("*") * F.max(F.length("text") + 1)).alias("padded"))
+    waste = (F.col("padded") - F.col("real")) / F.col("padded")
+    return rows.select("conv_id", (F.col("padded") - F.col("real")).alias("pad"), F.round(waste, 9).alias("waste"), F.round(F.col("padded") / F.col("real"), 9).alias("work"), N.padding_label(waste).alias("label"))
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(list_dot_product(embedding::DOUBLE[], list_transform(range(1, len(embedding) + 1), lambda i: ((i % 3) - 1)::DOUBLE)) - list_dot_product(embedding::DOUBLE[], list_transform(range(1, len(embedding) + 1), lambda i: ((i % 5) - 2)::DOUBLE)))), 6) AS relevance FROM embeddings")
+def relevance_softmax(spark, sf_dir):
+    anchor = lambda m, d: F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: ((i % m) - d).cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(N.yes_probability(N.dot(F.col("embedding"), anchor(3, 1)), N.dot(F.col("embedding"), anchor(5, 2))), 6).alias("relevance"))
+
+
+@query("WITH D AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}'))) AS name FROM documents), N AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}')) AS name FROM benchmark) SELECT doc_id, count(*) AS names, count(*) FILTER (name IN (SELECT name FROM N)) AS known FROM D GROUP BY doc_id")
+def identifier_refs(spark, sf_dir):
+    pattern = F.lit("([A-Za-z_][A-Za-z0-9_]{5,})")
+    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(1)))).alias("name"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("name")).distinct().withColumn("known", F.lit(True))
+    return names.join(known, "name", "left").groupBy("doc_id").agg(F.count("*").alias("names"), F.count("known").alias("known"))
+
+
+@query("WITH C AS (SELECT conv_id, turn, text, role FROM conversations) SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN '' ELSE md5(string_agg(text, chr(10) ORDER BY turn)) END AS strict, md5(string_agg(text, chr(10) ORDER BY turn)) AS lenient, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'system'), '')) AS flat FROM C GROUP BY conv_id")
+def tool_content_text(spark, sf_dir):
+    block = F.struct("turn", F.when(F.col("role") == "system", "image").otherwise("text").alias("type"), "text")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("c"))
+    c = F.col("c")
+    strict = T.content_text(c)
+    return rows.select("conv_id", F.when(strict == "", "").otherwise(F.md5(strict)).alias("strict"), F.md5(T.content_text_lenient(c)).alias("lenient"), F.md5(T.content_text_flat(c)).alias("flat"))
+
+
+@query("""SELECT conv_id * 1000 + turn AS line, CASE WHEN turn % 6 = 1 THEN 'invalid request' WHEN turn % 6 = 2 THEN 'unknown op: dance' WHEN turn % 6 = 3 THEN 'query must not be blank' WHEN turn % 6 = 4 THEN 'text must be a string' END AS error, turn % 6 NOT IN (1, 2, 3, 4) AS ok FROM conversations WHERE turn % 6 <> 5""")
+def ndjson_requests(spark, sf_dir):
+    kind = F.col("turn") % 6
+    op = F.when(kind == 2, "dance").otherwise("prune")
+    body = F.to_json(F.struct(F.col("turn").alias("id"), op.alias("op"), F.when(kind != 4, F.col("text")).alias("text"), F.when(kind == 3, " ").otherwise("what is it").alias("query")))
+    value = F.when(kind == 1, F.substring(body, 1, 20)).when(kind == 5, F.lit("  ")).otherwise(body)
+    lines = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line"), value.alias("value"))
+    return requests.parse_requests(lines).select("line", "error", "ok")
+
+
+@query("WITH Q AS (SELECT conv_id, turn, role, text FROM conversations), A AS (SELECT conv_id, turn - 1 AS turn, length(text) AS n FROM Q WHERE role = 'assistant') SELECT Q.conv_id, Q.turn, coalesce(A.n, -1) AS answer_chars, EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = Q.conv_id AND s.role = 'system') AS leased FROM Q LEFT JOIN A USING (conv_id, turn) WHERE role = 'user'")
+def request_response(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("n"))
+    leased = rows.where("role = 'system'").select("conv_id").distinct().withColumn("leased", F.lit(True))
+    asked = rows.where("role = 'user'").join(answers, ["conv_id", "turn"], "left").join(leased, "conv_id", "left")
+    return asked.select("conv_id", "turn", F.coalesce("n", F.lit(-1)).alias("answer_chars"), F.coalesce("leased", F.lit(False)).alias("leased"))
+
+
+@query(f"""WITH {_CALLS_SQL}, C AS (SELECT conv_id, count(*) AS calls, sum(b) - sum(a) AS saved FROM T GROUP BY conv_id),
+K AS (SELECT *, CASE WHEN saved >= 1000000 THEN ((saved * 20 + 1000000) // 2000000 // 10) || '.' || ((saved * 20 + 1000000) // 2000000 % 10) || 'M' WHEN saved >= 10000 THEN ((saved + 500) // 1000) || 'k' WHEN saved >= 1000 THEN ((saved * 20 + 1000) // 2000 // 10) || '.' || ((saved * 20 + 1000) // 2000 % 10) || 'k' ELSE CAST(saved AS VARCHAR) END AS c FROM C),
+F AS (SELECT conv_id, c, 'pruned · ' || c || ' chars trimmed · ' || calls || CASE WHEN calls = 1 THEN ' prune' ELSE ' prunes' END AS long_form, 'pruned · ' || c || 'c · ' || calls || 'p' AS short_form FROM K)
+SELECT conv_id, c AS count_text, CASE WHEN 2 + length(long_form) <= 40 - 1 THEN long_form WHEN 2 + length(short_form) <= 40 - 1 THEN short_form ELSE 'pruned' END AS status, CASE conv_id % 4 WHEN 0 THEN 'tokens' WHEN 1 THEN 'cost' WHEN 2 THEN 'compact' ELSE 'chars' END AS next_mode, CASE WHEN conv_id % 5 = 0 THEN 'off' WHEN conv_id % 5 = 1 THEN 'failed' WHEN conv_id % 5 = 2 THEN 'busy' WHEN conv_id % 5 = 3 THEN 'resident' ELSE 'loading' END AS state FROM F""")
+def status_forms(spark, sf_dir):
+    from ..functions import status as S
+
+    rows = sessions.session_counters(_calls(spark, sf_dir), "conv_id")
+    k, mode = F.col("conv_id") % 5, F.element_at(F.lit(list(S.MODES)), (F.col("conv_id") % 4 + 1).cast("int"))
+    return rows.select("conv_id", N.compact_count(F.col("saved_chars")).alias("count_text"), S.status_line(F.lit("pruned"), F.col("saved_chars"), F.col("calls"), F.lit(40)).alias("status"), S.next_mode(mode).alias("next_mode"), S.visual_state(k != 0, F.when(k == 1, "failed").when(k == 3, "resident").otherwise("cold"), F.when(k == 2, 1).otherwise(0)).alias("state"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), '^-+|-+$', '', 'g') AS segment, regexp_matches(md5(url)[:8], '^[0-9a-fA-F]{7,64}$') AS is_commit, CAST(length(html) AS BIGINT) AS chars, lower(trim(' Tokens ')) IN ('chars', 'tokens', 'cost', 'compact') AS is_mode FROM pages")
+def text_hygiene(spark, sf_dir):
+    from ..functions import status as S
+
+    colored = F.concat(F.lit("\x1b[31m"), "html", F.lit("\x1b[0m"))
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_segment(F.col("url")).alias("segment"), T.is_commit(F.substring(F.md5("url"), 1, 8)).alias("is_commit"), F.length(T.without_ansi(colored)).cast("long").alias("chars"), S.is_mode(F.lit(" Tokens ")).alias("is_mode"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_suppkey % 3 = 0 AND l_suppkey > 0 THEN l_suppkey ELSE greatest(0, floor(l_quantity / 4.0 + 0.5)) END AS BIGINT) AS tokens,
+CASE WHEN l_discount < 0.01 THEN CAST(floor(l_discount * 1000 + 0.5) AS BIGINT) ELSE CAST(floor(l_discount * 100 + 0.5) AS BIGINT) END AS units, round(1 / (1 + exp(l_tax - l_discount)), 9) AS yes, round(1 / (1 + exp(-l_tax)), 9) AS squashed,
+CASE WHEN l_linenumber % 2 = 0 THEN greatest(l_partkey, l_linenumber + 100) ELSE greatest(CASE WHEN l_suppkey <= 1500 THEN 2048 ELSE 1024 END, l_linenumber + 100) END AS longest, lower(l_linestatus) NOT IN ('0', 'false', 'no', 'off', 'f') AS flag FROM lineitem""")
+def numeric_helpers(spark, sf_dir):
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(
+        "l_orderkey", "l_linenumber", N.saved_or_estimated(F.when(c("l_suppkey") % 3 == 0, c("l_suppkey")).otherwise(0), c("l_quantity").cast("double")).alias("tokens"),
+        N.cents(c("l_discount").cast("double"))["units"].alias("units"), F.round(N.yes_probability(c("l_tax").cast("double"), c("l_discount").cast("double")), 9).alias("yes"), F.round(N.sigmoid(c("l_tax").cast("double")), 9).alias("squashed"),
+        N.window_length(c("l_suppkey"), c("l_linenumber"), F.when(c("l_linenumber") % 2 == 0, c("l_partkey")), True).alias("longest"), (~F.lower("l_linestatus").isin("0", "false", "no", "off", "f")).alias("flag"),
+    )
+
+
+@query("SELECT event_id, event_type || ' ' || coalesce(json_extract_string(props, '$.k'), '') || ' needs a longer text' AS text, 'about ' || event_type || event_id % 7 AS query FROM events WHERE event_id % 4 <> 3 AND length('about ' || event_type || event_id % 7) >= 8")
+def json_cases(spark, sf_dir):
+    text = F.concat("event_type", F.lit(" "), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")), F.lit(" needs a longer text"))
+    ask = F.concat(F.lit("about "), "event_type", (F.col("event_id") % 7).cast("string"))
+    r = F.col("event_id") % 4
+    value = F.to_json(F.struct(F.when(r == 0, text).when(r == 3, F.lit("short")).alias("observation"), F.when(r == 0, F.lit(" ")).alias("query"), F.when(r != 0, text).alias("stdout"), ask.alias("goal")))
+    rows = table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+    return requests.cases(rows).select("event_id", "text", "query")
+
+
+@query("SELECT event_id, 3 AS objects FROM events")
+def json_walk(spark, sf_dir):
+    spark.udtf.register("siftline_walk_objects", requests.WalkObjects)
+    table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.lit(1).alias("a"), F.array(F.struct(F.from_json("props", "map<string,string>").alias("p"))).alias("b"))).alias("value")).createOrReplaceTempView("siftline_json_rows")
+    return spark.sql("SELECT event_id, CAST(count(*) AS INT) AS objects FROM siftline_json_rows, LATERAL siftline_walk_objects(value) GROUP BY event_id")
+
+
+@query("SELECT conv_id, turn, 'path=p' || turn AS params, 'path,focus' AS required FROM conversations")
+def params_map(spark, sf_dir):
+    params = F.create_map(F.lit("path"), F.concat(F.lit("p"), F.col("turn").cast("string")), F.lit("focus"), F.lit("why"), F.lit("verbatim"), F.lit("false"))
+    stripped = F.map_filter(params, lambda k, v: ~k.isin("focus", "verbatim"))
+    needed = F.array_union(F.array_union(F.array(F.lit("path")), F.array(F.lit("focus"))), F.array(F.lit("focus")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(F.map_entries(stripped), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("params"), F.array_join(needed, ",").alias("required"))
+
+
+@query("WITH X AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \\n]'), lambda w: length(w)) AS ids FROM documents), Y AS (SELECT doc_id, ids[:512] AS t, len(ids) AS n FROM X) SELECT doc_id, 512 AS width, CAST(len(t) AS BIGINT) AS real, CAST(list_sum(t) AS BIGINT) AS total, CAST(list_max(t) AS BIGINT) AS top FROM Y")
+def padded_rows(spark, sf_dir):
+    ids = F.slice(F.transform(F.split("text", "[ \n]", -1), lambda w: F.length(w)), 1, 512)
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("t")).withColumn("p", chunks.pad(F.col("t"), F.lit(512)))
+    return rows.select("doc_id", F.size("p").alias("width"), F.size("t").cast("long").alias("real"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("p").cast("long").alias("top"))
+
+
+@query("SELECT 'union' AS op, count(*) AS n FROM (SELECT doc_id FROM documents UNION SELECT item_id FROM benchmark) UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT item_id FROM benchmark) UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT item_id FROM benchmark)")
+def set_ops(spark, sf_dir):
+    a, b = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    count = lambda name, x: x.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
+    return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("except", a.subtract(b)))
+
+
+@query(f"WITH {LINES} SELECT doc_id, 'lexical' AS scorer, count(*) FILTER ({_relevant('line', TOKENS)}) AS kept FROM L GROUP BY doc_id UNION ALL SELECT doc_id, 'constant', count(*) FROM L GROUP BY doc_id UNION ALL SELECT doc_id, 'drop', count(*) FILTER (replace(line, ' the', '') = line) FROM L GROUP BY doc_id")
+def scorer_matrix(spark, sf_dir):
+    from ..operators import scorers
+
+    lines = T.lines(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("x"))
+    marks = F.map_from_arrays(F.lit(["lexical", "constant", "drop"]), F.array(*[scorers.get(n)(F.col("x"), F.lit(QUESTION)) for n in ("lexical", "constant", "drop")]))
+    return docs.select("doc_id", F.explode(marks).alias("scorer", "scores")).select("doc_id", "scorer", F.size(prune.kept_numbers(prune.threshold_mask(F.col("scores")))).cast("long").alias("kept"))
+
+
+@query("SELECT range AS n, 'fixture ' || range % 5 AS body, CASE WHEN range % 5 < 3 THEN 'path' || range % 5 END AS found FROM range(500)")
+def fixture_lookup(spark, sf_dir):
+    rows = spark.range(500).select(F.col("id").alias("n"), F.format_string("fixture %d", F.col("id") % 5).alias("body"))
+    known = spark.createDataFrame([(f"fixture {i}", f"path{i}") for i in range(3)], "body string, found string")
+    return rows.join(F.broadcast(known), "body", "left").select("n", "body", "found")
+
+
+@query()
+def batch_retry(spark, sf_dir):
+    def score(texts: list[str]) -> list[int]:
+        if len(texts) > 1 and sum(map(len, texts)) > 6000:
+            raise MemoryError("out of memory")
+        return [len(t) for t in texts]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            done = list(repair.with_retries([texts[i : i + 4] for i in range(0, len(texts), 4)], score, lambda e: isinstance(e, MemoryError)))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [s for s, _ in done]})
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, score long")
+
+
+@query(f"WITH {_CALLS_SQL} SELECT conv_id, count(*) AS calls, CAST(sum(b) - sum(a) AS BIGINT) AS saved_chars FROM T GROUP BY conv_id")
+def stream_counters(spark, sf_dir):
+    from ..streaming import replay
+
+    return replay.counters(spark, f"{sf_dir}/conversations.parquet")
+
+
+@query(f"WITH {_LEASES_SQL} SELECT user_id, epoch_us(opened) AS opened, epoch_us(last_beat) AS last_beat, beats FROM S")
+def stream_leases(spark, sf_dir):
+    from ..streaming import replay
+
+    return replay.leases(spark, f"{sf_dir}/events.parquet")
