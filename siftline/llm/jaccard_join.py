@@ -7,7 +7,7 @@ missing, and the two share a rare shingle or more than b frequent ones, of which
 bin are indexed. b follows the document's size in powers of two, and pairs are made by the bins of half that number, so documents of neighbouring sizes agree.
 
 Documents that share an indexed signature are candidates. All pairs of a group of copies would grow with its square, and links are needed only as far as they
-join components, so candidates are verified in two rounds: first each signature's documents against the least of them; then, wherever a signature's
+join components, so candidates are verified in two rounds: first each document against the least that leads one of its signatures' documents and may be near enough; then, wherever a signature's
 documents are in several components, those outside its largest one against all others in other components. Parity
 bitmaps (the symmetric difference is at least the bits in which two differ) dismiss most of the latter within the join, before any row is made.
 """
@@ -103,10 +103,12 @@ def frequent_shingles(rows: DataFrame, k: int, percent: int, parts: int) -> np.n
     return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b), distinct: those that reach the threshold."""
+def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int, one_each: bool = False) -> DataFrame:
+    """pairs (a, b), distinct: those that reach the threshold; one_each: of each b's pairs that may, only that with the least a."""
     side = lambda c: sketch.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     near = pairs.join(side("a"), "a").where("n_a is not null").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+    if one_each:
+        near = near.groupBy("b").agg(F.min("a").alias("a"))
     text = lambda c: texts.select(F.col("key").alias(c), F.col("data").alias(f"data_{c}"))
 
     def verify(batches: Iterator) -> Iterator:
@@ -185,17 +187,24 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
         sigs, keys = sigs[first], keys[first]
         same_sig = sigs[1:] == sigs[:-1]
         many = np.concatenate([same_sig, [False]]) | np.concatenate([[False], same_sig])
-        return pd.DataFrame({"sig": as_long(sigs[many]), "key": keys[many]})
+        sigs, keys = sigs[many], keys[many]
+        heads = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]) != 0)
+        sizes = np.diff(heads, append=len(sigs))
+        who = [np.repeat(f.reduceat(mix(keys.view(np.uint64) + np.uint64(salt)), heads), sizes) if len(heads) else sigs for f, salt in ((np.add, 1), (np.bitwise_xor, 2))]
+        return pd.DataFrame({"sig": as_long(sigs), "key": keys, "who": as_long(who[0]), "too": as_long(who[1])})
 
     unlike = rows.join(copies, "key", "left_anti")
-    lists = work_table(unlike.mapInArrow(index, "bucket long, sigs binary, keys binary").groupBy("bucket").applyInPandas(shared, "sig long, key long"))
+    found = work_table(unlike.mapInArrow(index, "bucket long, sigs binary, keys binary").groupBy("bucket").applyInPandas(shared, "sig long, key long, who long, too long"))
+    # signatures with the same documents say the same: one of them stays
+    lists = work_table(found.join(found.groupBy("who", "too").agg(F.min("sig").alias("sig")), ["who", "too", "sig"], "left_semi").select("sig", "key"))
+    drop_table(found)
     involved = lists.select("key").distinct()
     texts = work_table(rows.join(involved, "key", "left_semi"))
     sketch = work_table(sets.join(involved, "key", "left_semi").select("key", "n", "bits"))
 
     leaders = lists.groupBy("sig").agg(F.min("key").alias("a"))
     stars = lists.join(leaders, "sig").where("key != a").select("a", F.col("key").alias("b")).distinct()
-    links = work_table(_links(stars, sketch, texts, k, percent))
+    links = work_table(_links(stars, sketch, texts, k, percent, one_each=True))
     parts_of = connected_components(links)
 
     placed = lists.join(sketch, "key").join(parts_of.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "bits", F.coalesce("component", "key").alias("comp"))
