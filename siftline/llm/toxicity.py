@@ -1,7 +1,7 @@
 """Toxicity: a learnt lexicon in a trie, met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon (words, and stems of word beginnings) is learnt from labelled texts by smoothed log odds. Scoring walks the trie with a Levenshtein automaton of
-the text's word: states are rows of edit counts, a branch is left when every count exceeds the limit, so misspelled terms are found in one walk over all
+the text's word: states are a place in the word and whether the edit is spent, so misspelled terms are found in one walk over all
 terms. Exact terms and stems need no walk. The words around each hit (a window) say whether it is quoted or spoken about. A logistic
 model over the counts gives the score; it is fitted on features whose lexicon was learnt from the other half of the sample.
 """
@@ -48,35 +48,45 @@ class Lexicon:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.trie: dict = {}
-        self.whole = set()
+        self.reach: set[str] = set()
         for term in weights:
             if term[-1] != "*" and len(term) >= 5:
                 node = self.trie
                 for c in term:
                     node = node.setdefault(c, {})
                 node[""] = term
-                self.whole |= self.whole_after_edit(term)
+                self.reach |= self.shortened(term)
         self.known: dict[str, tuple | None] = {}
 
     @staticmethod
-    def whole_after_edit(word: str) -> set[tuple]:
-        """Of a word's first three letters, last three, and first and last two, one edit leaves at least one as it is."""
-        return {(0, word[:3]), (1, word[-3:]), (2, word[:2] + word[-2:])}
+    def shortened(word: str) -> set[str]:
+        """The word, and it without any one letter: two words within one edit have one of these in common, so most words need no walk."""
+        return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
 
     def near(self, word: str) -> str | None:
-        """A term within one edit, by walking the trie with the word's automaton."""
-        limit, stack = 1, [(self.trie, list(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= limit:
-                return node[""]
+        """A term within one edit. The word's automaton has a state for each letter read with no edit yet, where the walk is a single path, and for each read after the edit, from where only the rest as it is leads on."""
+
+        def rest(node: dict, at: int) -> str | None:
+            for c in word[at:]:
+                node = node.get(c)
+                if node is None:
+                    return None
+            return node.get("")
+
+        node = self.trie
+        for i in range(len(word) + 1):
+            found = node.get("") if i >= len(word) - 1 else None  # the word's last letter too many, or none
+            found = found or (rest(node, i + 1) if i < len(word) else None)
+            if found:
+                return found
             for c, child in node.items():
-                if c:
-                    new = [row[0] + 1]
-                    for k, w in enumerate(word, 1):
-                        new.append(min(new[-1] + 1, row[k] + 1, row[k - 1] + (w != c)))
-                    if min(new) <= limit:
-                        stack.append((child, new))
+                if c and (found := rest(child, i + 1) if i < len(word) and c != word[i] else None) is None:
+                    found = rest(child, i)
+                if found:
+                    return found
+            node = node.get(word[i]) if i < len(word) else None
+            if node is None:
+                return None
         return None
 
     def look(self, token: str) -> tuple | None:
@@ -86,7 +96,7 @@ class Lexicon:
         if hits:
             unit, weight = max(hits, key=lambda x: x[1])
             return unit, weight, int(unit[-1] == "*")
-        if 5 <= len(word) <= 40 and self.whole & self.whole_after_edit(word) and (term := self.near(word)) is not None:
+        if 5 <= len(word) <= 40 and not self.reach.isdisjoint(self.shortened(word)) and (term := self.near(word)) is not None:
             return term, self.weights[term], 2
         return None
 
