@@ -105,8 +105,9 @@ class Lexicon:
         if len(self.known) > _CACHE:
             self.known = {}
         known = self.known
-        for t in {*tokens} - known.keys():
-            known[t] = self.look(t)
+        for t in {*tokens}:
+            if t not in known:
+                known[t] = self.look(t)
         hits = [(i, h) for i, h in enumerate(map(known.__getitem__, tokens)) if h]
         if not hits:
             return [0.0] * (N_FEATURES - 1) + [float(np.log1p(len(tokens)))]
