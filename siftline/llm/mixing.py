@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import work_table
+
 SLOTS = 256
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -57,11 +59,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         docs.withColumn("size", count_words(text))
         .withColumn("no_source", F.col(source).isNull())
         .withColumn("name", F.coalesce(F.col(source).cast("string"), F.lit("")))
-        .withColumn("class", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.length(F.bin(F.col("size"))) * 32 + F.floor(F.col("size") * 32 / F.pow(F.lit(2.0), F.length(F.bin(F.col("size"))) - 1)).cast("int")))
-        .withColumn("slot", (key(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))) % SLOTS).cast("int"))
+        # neither is ever null; coalesce says so to the optimizer, which else counts words again in filters on the join's keys
+        .withColumn("class", F.coalesce(F.when(F.col("size") > 0, F.length(F.bin(F.col("size"))) * 32 + F.floor(F.col("size") * 32 / F.pow(F.lit(2.0), F.length(F.bin(F.col("size"))) - 1)).cast("int")), F.lit(0)))
+        .withColumn("slot", F.coalesce((key(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))) % SLOTS).cast("int"), F.lit(0)))
     )
     of = ["no_source", "name"]
-    blocks = rows.groupBy(*of, "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # counts alone, written so that the texts are read once for them and once for the ranks
+    blocks = work_table(rows.groupBy(*of, "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = blocks.groupBy(*of, "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     targets = fair_targets(classes.groupBy(*of).agg(F.sum("words").alias("source_size")))
