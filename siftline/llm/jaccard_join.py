@@ -9,7 +9,8 @@ bin are indexed. b follows the document's size in powers of two, and pairs are m
 Documents that share an indexed signature are candidates. All pairs of a group of copies would grow with its square, and links are needed only as far as they
 join components, so candidates are verified in two rounds: first each document against the least that leads one of its signatures' documents and may be near enough; then, wherever a signature's
 documents are in several components, those outside its largest one against all others in other components. Parity
-bitmaps (the symmetric difference is at least the bits in which two differ) dismiss most of the latter within the join, before any row is made.
+bitmaps (the symmetric difference is at least the bits in which two differ) dismiss most of the latter within the join, before any row is made. Those
+bitmaps are short; of longer documents, finer ones as wide as the set are compared before any text is sent.
 """
 
 from __future__ import annotations
@@ -105,8 +106,17 @@ def frequent_shingles(rows: DataFrame, k: int, percent: int, parts: int) -> np.n
 
 def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int, one_each: bool = False) -> DataFrame:
     """pairs (a, b), distinct: those that reach the threshold; one_each: of each b's pairs that may, only that with the least a."""
-    side = lambda c: sketch.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    near = pairs.join(side("a"), "a").where("n_a is not null").join(side("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+    side = lambda c: sketch.select(F.col("key").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "bits", "fine")))
+
+    def compare(batches: Iterator) -> Iterator:
+        for batch in batches:
+            fine = [batch.column(batch.schema.get_field_index(f"fine_{c}")).to_pylist() for c in "ab"]
+            most = (column(batch, "n_a") + column(batch, "n_b")) * (100 - percent)
+            ok = np.array([fine_difference(x, y) * (100 + percent) <= m for x, y, m in zip(*fine, most.tolist(), strict=True)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(column(batch, c)[ok], pa.int64()) for c in "ab"], ["a", "b"])
+
+    near = pairs.join(side("a"), "a").where("n_a is not null").join(side("b"), "b").where(_may_link("a", "b", percent))
+    near = near.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(compare, "a long, b long").distinct()
     if one_each:
         near = near.groupBy("b").agg(F.min("a").alias("a"))
     text = lambda c: texts.select(F.col("key").alias(c), F.col("data").alias(f"data_{c}"))
@@ -127,6 +137,24 @@ def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percen
     return near.join(text("a"), "a").join(text("b"), "b").mapInArrow(verify, "a long, b long")
 
 
+def fine_bitmap(tokens: np.ndarray) -> bytes | None:
+    """Parities of a longer document's shingles by hash, as many bits as shingles or up to twice that."""
+    if len(tokens) <= _BITS // 2:
+        return None
+    width = 1 << (len(tokens) - 1).bit_length()
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def fine_difference(x: bytes | None, y: bytes | None) -> int:
+    """At most the size of the symmetric difference: the bits in which two differ, the wider folded to the other's width."""
+    if x is None or y is None:
+        return 0
+    width = min(len(x), len(y))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(v, dtype=np.uint8).reshape(-1, width), axis=0) for v in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _may_link(a: str, b: str, percent: int):
     """Sizes and parity bitmaps allow the threshold: |x ^ y| <= (|x| + |y|) (1 - t) / (1 + t)."""
     n = [F.col(f"n_{a}"), F.col(f"n_{b}")]
@@ -147,16 +175,17 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
 
     def describe(batches: Iterator) -> Iterator:
         for batch, texts in chunks(batches, "data"):
-            n, one, two, bits = [], [], [], []
+            n, one, two, bits, fine = [], [], [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                 two.append(int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF)), dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 odd = np.bincount((s % np.uint64(_BITS)).astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "key"), pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["key", "n", "one", "two", "bits"])
+                fine.append(fine_bitmap(s))
+            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "key"), pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["key", "n", "one", "two", "bits", "fine"])
 
-    sets = work_table(rows.mapInArrow(describe, "key long, n long, one long, two long, bits array<long>"))
+    sets = work_table(rows.mapInArrow(describe, "key long, n long, one long, two long, bits array<long>, fine binary"))
     same = ["n", "one", "two"]
     classes = sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"))
     members = work_table(sets.select("key", *same).join(classes, same, "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
@@ -200,7 +229,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     drop_table(found)
     involved = lists.select("key").distinct()
     texts = work_table(rows.join(involved, "key", "left_semi"))
-    sketch = work_table(sets.join(involved, "key", "left_semi").select("key", "n", "bits"))
+    sketch = work_table(sets.join(involved, "key", "left_semi").select("key", "n", "bits", "fine"))
 
     leaders = lists.groupBy("sig").agg(F.min("key").alias("a"))
     stars = lists.join(leaders, "sig").where("key != a").select("a", F.col("key").alias("b")).distinct()

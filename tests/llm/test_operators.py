@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,15 @@ def test_jaccard(docs, texts):
     assert got == {i: (len(sets[i]), least[i]) for i in texts}
 
 
+def test_fine_bitmaps():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    for n, m, shared in ((2000, 2000, 1800), (2000, 2200, 2000), (3000, 3000, 0), (5000, 4000, 4000), (300, 2000, 300)):
+        x, y = tokens[:n], tokens[n - shared : n - shared + m]
+        found = jaccard_join.fine_difference(jaccard_join.fine_bitmap(np.sort(x)), jaccard_join.fine_bitmap(np.sort(y)))
+        assert found <= n + m - 2 * shared and (n + m - 2 * shared < 4000 or found > 1000)
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(texts) and {c for c in docs.columns} - {"size"} <= {*rows[0].asDict()}
