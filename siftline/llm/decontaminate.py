@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages (64 words, every 32) of all documents are TF-IDF vectors over the benchmark's own vocabulary, without words that a fifth of all documents have. A randomised SVD
+Of every document, the places of words of the benchmark's own vocabulary are found once and written to a table; all later steps read that alone, each row for itself, and
+shuffle nothing but sums. Passages (64 words, every 32) of all documents are TF-IDF vectors over this vocabulary, without words that a fifth of all documents have. A randomised SVD
 of the passage matrix (range finding with one power iteration; executors sum A'(A Q), the driver holds vocabulary x rank numbers) gives the latent space, to
 which the items' residual directions are added, so that no item is lost for being rare in the corpus. Passages whose cosine with an item there is high enough are
 candidates. Each is settled on the words: the longest common subsequence with windows of the document about as long as the item, and the share of the item's
-answer (its last words, or a column of its own) that is found there. Items are taken in blocks, each against all documents.
+answer (its last words, or a column of its own) that is found there. Words that no item has can't be part of one, so the places of the others suffice. Items are taken in
+blocks, each against all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ PASSAGE, STRIDE, RANK = 64, 32, 64
 COMMON_SHARE, LEAST_COSINE = 0.2, 0.4
 ALIKE, ALIKE_WITH_ANSWER, ANSWER_FOUND, ANSWER_WORDS = 0.75, 0.55, 0.6, 6
 BLOCK_ITEMS = 400
+CHUNK_HITS = 1 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -30,29 +33,73 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts, lower=True, terms=True)
 
 
-def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Of two sequences of hashes: one bit a symbol of a, one addition a symbol of b."""
+def positions(a: np.ndarray) -> dict[int, int]:
+    """Of a sequence of symbols: the places of each as bits."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def lcs_length(a: dict[int, int], n: int, b: list[int]) -> int:
+    """Of two sequences, one of n symbols given by its positions: one addition for a symbol of b that a has too."""
+    full = (1 << n) - 1
     row = full
-    for x in b.tolist():
-        if m := masks.get(x, 0):
+    for x in b:
+        if m := a.get(x, 0):
             keep = row & m
             row = (row + keep) | (row - keep)
-    return len(a) - (row & full).bit_count()
+    return n - (row & full).bit_count()
+
 
+class Settler:
+    """Compares items (sequences of vocabulary numbers, and their answers) with the vocabulary words near a document's candidate passages.
 
-def best_match(item: np.ndarray, words: np.ndarray, at: int) -> tuple[float, int, int]:
-    """The largest share of the item that is a subsequence of a window of words near the passage at `at`, and the window."""
-    n = len(item)
-    lo, hi = max(0, at - n), min(len(words), at + PASSAGE + n)
-    wide, best = n + n // 4 + 4, (-1.0, lo, hi)
-    for begin in range(lo, max(lo + 1, hi - wide + n // 4 + 1), max(1, n // 4)):
-        end = min(hi, begin + wide)
-        best = max(best, (lcs_length(item, words[begin:end]) / n, begin, end), key=lambda x: x[0])
-    return best
+    A window's longest common subsequence with an item is at most the number of its words that the item has, and at most
+    the number of the item's places whose words it has; windows which can't reach ALIKE_WITH_ANSWER by these are left out.
+    """
+
+    def __init__(self, texts: list[np.ndarray], answers: list[np.ndarray], vocabulary: int):
+        self.sizes, self.masks = [len(t) for t in texts], [positions(t) for t in texts]
+        self.answer_sizes, self.answer_masks = [len(a) for a in answers], [positions(a) for a in answers]
+        self.has = np.zeros((len(texts), vocabulary), dtype=bool)
+        for i, t in enumerate(texts):
+            self.has[i, t] = True
+
+    def _best(self, item: int, at: np.ndarray, word: np.ndarray, length: int, passage: int) -> tuple[float, int, int] | None:
+        """The largest share of the item that is a subsequence of a window near the passage, and the window as a range of at and word."""
+        n, masks = self.sizes[item], self.masks[item]
+        lo, hi = max(0, passage - n), min(length, passage + PASSAGE + n)
+        wide = n + n // 4 + 4
+        begins = np.arange(lo, max(lo + 1, hi - wide + n // 4 + 1), max(1, n // 4))
+        first, last = (np.searchsorted(at, x.astype(at.dtype)) for x in (begins, np.minimum(hi, begins + wide)))
+        common = np.concatenate([[0], np.cumsum(self.has[item, word[first[0] : last[-1]]])])
+        most = common[last - first[0]] - common[first - first[0]]
+        needed = ALIKE_WITH_ANSWER * n - 1e-6
+        best = None
+        for k in np.flatnonzero(most >= needed).tolist():
+            if most[k] < needed:
+                continue
+            window, places = word[first[k] : last[k]].tolist(), 0
+            for x in window:
+                places |= masks.get(x, 0)
+            if places.bit_count() < needed:
+                continue
+            size = lcs_length(masks, n, window)
+            if best is None or size > best[0] * n + 0.5:
+                best = (size / n, int(first[k]), int(last[k]))
+                needed = max(needed, size + 1)
+        return best
+
+    def best(self, at: np.ndarray, word: np.ndarray, length: int, listed: list[tuple[int, int, float]]) -> dict[int, tuple[float, float, float]]:
+        """For each item of the candidates (item, passage, cosine): the best share, the share of its answer in that window, and the cosine. Items which no window can reach are absent."""
+        out: dict[int, tuple] = {}
+        for i, passage, cosine in listed:
+            if match := self._best(i, at, word, length, passage):
+                share, lo, hi = match
+                answer = lcs_length(self.answer_masks[i], self.answer_sizes[i], word[lo:hi].tolist()) / max(1, self.answer_sizes[i])
+                out[i] = max(out.get(i, (-1.0,)), (share, answer, cosine))
+        return out
 
 
 def _locate(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +114,20 @@ def _locate(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return at[hit], w[hit]
 
 
-def _passages(batch, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, at, word): each passage's row and first word, and its distinct vocabulary words as sorted pairs (passage, word)."""
-    at = [np.frombuffer(x, dtype=np.int32) for x in batch.column(batch.schema.get_field_index("at")).to_pylist()]
-    word = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in batch.column(batch.schema.get_field_index("word")).to_pylist()] or [np.zeros(0, np.int32)]).astype(np.int64)
-    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    at = np.concatenate(at or [np.zeros(0, np.int32)]).astype(np.int64)
-    slot, keys = at // stride, []
+def _hits(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (at, word): where each row's hits begin (and the end), their places and their vocabulary numbers."""
+    at, word = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), dtype=np.int32) for c in ("at", "word"))
+    sizes = batch.column(batch.schema.get_field_index("word"))
+    return np.cumsum([0, *(len(x) // 4 for x in sizes.to_pylist())]), at, word
+
+
+def _passages(begins: np.ndarray, at: np.ndarray, word: np.ndarray, rare: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of hits: each passage's row and first word, and its distinct rare words (rare: a vocabulary word's number among these, or -1) as sorted pairs (passage, word)."""
+    word = rare[word].astype(np.int64)
+    row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    slot, keys = at.astype(np.int64) // stride, []
     for back in range(PASSAGE // stride):
-        ok = slot >= back
+        ok = (slot >= back) & (word >= 0)
         keys.append((row[ok] << 46) | ((slot[ok] - back) << 22) | word[ok])
     pairs = np.unique(np.concatenate(keys))
     place, number = np.unique(pairs >> 22, return_inverse=True)
@@ -94,24 +146,23 @@ def _project(number: np.ndarray, word: np.ndarray, idf: np.ndarray, basis: np.nd
     return out
 
 
-def _gram(hits: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _gram(hits: DataFrame, rare: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) for the matrix A of unit passage vectors: a partial sum a task, added up in a second, much smaller stage, then on the driver."""
-    shape, shared = basis.shape, hits.sparkSession.sparkContext.broadcast((idf.astype(np.float32), basis.astype(np.float32)))
+    shape, shared = basis.shape, hits.sparkSession.sparkContext.broadcast((rare, idf.astype(np.float32), basis.astype(np.float32)))
 
     def multiply(batches: Iterator) -> Iterator:
-        idf, basis = shared.value
+        rare, idf, basis = shared.value
         total = np.zeros(shape)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                _, _, number, word = _passages(batch.slice(lo, 2000), PASSAGE)
-                n = int(number[-1]) + 1 if len(number) else 0
-                norm = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=n))
-                y = _project(number, word, idf, basis, n) / np.maximum(norm, 1e-9)[:, None] ** 2
-                by = np.argsort(word, kind="stable")
-                used, heads = np.unique(word[by], return_index=True)
-                for a in range(0, len(used), 512):
-                    i, j = heads[a], (heads[a + 512] if a + 512 < len(used) else len(by))
-                    total[used[a : a + 512]] += np.add.reduceat(y[number[by[i:j]]], heads[a : a + 512] - i) * idf[used[a : a + 512]][:, None]
+        for batch, _ in chunks(batches, "word", 2 * CHUNK_HITS):
+            _, _, number, word = _passages(*_hits(batch), rare, PASSAGE)
+            n = int(number[-1]) + 1 if len(number) else 0
+            norm = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=n))
+            y = _project(number, word, idf, basis, n) / np.maximum(norm, 1e-9)[:, None] ** 2
+            by = np.argsort(word, kind="stable")
+            used, heads = np.unique(word[by], return_index=True)
+            for a in range(0, len(used), 512):
+                i, j = heads[a], (heads[a + 512] if a + 512 < len(used) else len(by))
+                total[used[a : a + 512]] += np.add.reduceat(y[number[by[i:j]]], heads[a : a + 512] - i) * idf[used[a : a + 512]][:, None]
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["part"])
 
     def add(batches: Iterator) -> Iterator:
@@ -128,29 +179,11 @@ def _gram(hits: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int) -> DataFrame:
     """Matches of one block of items (id, text, answer)."""
     spark = rows.sparkSession
-    words, begins = terms([t for _, t, _ in items])
-    texts = [words[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-    vocabulary = np.unique(words)
-    known = spark.sparkContext.broadcast(vocabulary)
-
-    def frequency(batches: Iterator) -> Iterator:
-        total = np.zeros(len(known.value), dtype=np.int64)
-        for _, data in chunks(batches, "data"):
-            words, begins = terms(data)
-            at, w = _locate(words, known.value)
-            doc = np.searchsorted(begins, at, side="right")
-            total += np.bincount(np.unique(doc * len(known.value) + w) % len(known.value), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["word", "n"])
-
-    df = np.zeros(len(vocabulary))
-    for r in rows.mapInArrow(frequency, "word int, n long").groupBy("word").agg(F.sum("n")).collect():
-        df[r[0]] = r[1]
-    # items of common words only keep them; else common words say nothing
-    rare = df <= COMMON_SHARE * n_docs
-    needed = [t for t in texts if len(t) and not rare[np.searchsorted(vocabulary, t)].any()]
-    rare |= np.isin(vocabulary, np.concatenate(needed)) if needed else False
-    vocabulary, df = vocabulary[rare], df[rare]
-    idf = np.log((n_docs + 1) / (df + 1)) + 0.1
+    words, begins = terms([*(t for _, t, _ in items), *(a for _, _, a in items)])
+    vocabulary, numbers = np.unique(words, return_inverse=True)
+    parts = [numbers[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    texts = parts[: len(items)]
+    answers = [a if len(a) else t[-ANSWER_WORDS:] for t, a in zip(texts, parts[len(items) :], strict=True)]
     known = spark.sparkContext.broadcast(vocabulary)
 
     def hit(batches: Iterator) -> Iterator:
@@ -158,82 +191,86 @@ def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int)
             words, begins = terms(data)
             at, w = _locate(words, known.value)
             cut = np.searchsorted(at, begins)
-            out = [(k, (at[i:j] - b).astype(np.int32).tobytes(), w[i:j].astype(np.int32).tobytes()) for k, b, i, j in zip(column(batch, "key").tolist(), begins, cut[:-1], cut[1:], strict=False) if j > i]
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "at", "word"])
+            out = [(k, e - b, (at[i:j] - b).astype(np.int32).tobytes(), w[i:j].astype(np.int32).tobytes()) for k, b, e, i, j in zip(column(batch, "key").tolist(), begins.tolist(), begins[1:].tolist(), cut[:-1], cut[1:], strict=False) if j > i]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "length", "at", "word"])
 
-    hits = work_table(rows.mapInArrow(hit, "key long, at binary, word binary"))
+    hits = work_table(rows.mapInArrow(hit, "key long, length long, at binary, word binary"))
+    size = len(vocabulary)
+
+    def frequency(batches: Iterator) -> Iterator:
+        total = np.zeros(size, dtype=np.int64)
+        for _, data in chunks(batches, "word", CHUNK_HITS):
+            word = np.frombuffer(b"".join(data), dtype=np.int32).astype(np.int64)
+            doc = np.repeat(np.arange(len(data)), [len(x) // 4 for x in data])
+            total += np.bincount(np.unique(doc * size + word) % size, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], ["word", "n"])
+
+    df = np.zeros(size)
+    for r in hits.select("word").mapInArrow(frequency, "word int, n long").groupBy("word").agg(F.sum("n")).collect():
+        df[r[0]] = r[1]
+    # items of common words only keep them; else common words say nothing, nor do words of answers alone
+    kept = (df <= COMMON_SHARE * n_docs) & np.isin(np.arange(size), np.concatenate(texts))
+    needed = [t for t in texts if len(t) and not kept[t].any()]
+    if needed:
+        kept[np.concatenate(needed)] = True
+    idf = np.log((n_docs + 1) / (df[kept] + 1)) + 0.1
+    rare = np.where(kept, np.cumsum(kept) - 1, -1)
     vectors, owner = [], []
     for i, t in enumerate(texts):
         for lo in range(0, max(1, len(t) - PASSAGE // 2), PASSAGE - STRIDE // 2):
-            _, w = _locate(t[lo : lo + PASSAGE], vocabulary)
-            v = np.zeros(len(vocabulary))
+            w = rare[t[lo : lo + PASSAGE]]
+            w = w[w >= 0]
+            v = np.zeros(len(idf))
             v[w] = idf[w]
             if v.any():
                 owner.append((i, float(np.linalg.norm(v))))
                 vectors.append(v / owner[-1][1])
     if not vectors:
+        drop_table(hits)
         return spark.createDataFrame([], "key long, item_id long, cosine double, lcs double, answer double")
     queries = np.array(vectors)
-    rank = min(RANK, len(vocabulary))
-    basis = np.random.default_rng(5).standard_normal((len(vocabulary), rank))
+    basis = np.random.default_rng(5).standard_normal((len(idf), min(RANK, len(idf))))
     for _ in range(2):
-        basis = np.linalg.qr(_gram(hits, idf, basis))[0]
+        basis = np.linalg.qr(_gram(hits, rare, idf, basis))[0]
     rest = queries - queries @ basis @ basis.T
     u, s, _ = np.linalg.svd(rest.T, full_matrices=False)
     basis = np.column_stack([basis, u[:, s > 1e-6]])
     latent = queries @ basis
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
     least = LEAST_COSINE * min(n for _, n in owner)
-    model = spark.sparkContext.broadcast((idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), np.array([i for i, _ in owner])))
+    model = spark.sparkContext.broadcast((rare, idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), np.array([i for i, _ in owner])))
+    wanted = spark.sparkContext.broadcast((texts, answers, [i for i, _, _ in items]))
 
     def search(batches: Iterator) -> Iterator:
-        idf, basis, latent, owners = model.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                row, at, number, word = _passages(part, STRIDE)
-                mass = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=len(row)))
-                strong = mass >= least * 0.999  # with weights of presence, a cosine of t needs t times the query's length
-                keep = strong[number]
-                number, word, row, at = (np.cumsum(strong) - 1)[number[keep]], word[keep], row[strong], at[strong]
-                found = []
-                for i in range(0, len(row), 4096):
-                    a, b = np.searchsorted(number, [i, min(len(row), i + 4096)])
-                    p = _project(number[a:b] - i, word[a:b], idf, basis, min(4096, len(row) - i))
-                    cosine = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)) @ latent.T
-                    x, y = np.nonzero(cosine >= LEAST_COSINE)
-                    found.append((row[i + x], owners[y], at[i + x], cosine[x, y]))
-                row, item, at, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (row[:0], row[:0], row[:0], np.zeros(0))
-                yield pa.RecordBatch.from_arrays([pa.array(column(part, "key")[row], pa.int64()), pa.array(item.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(cosine.astype(np.float64))], ["key", "item", "at", "cosine"])
-
-    found = work_table(hits.mapInArrow(search, "key long, item int, at long, cosine double"))
-    drop_table(hits)
-    answers, begins = terms([a for _, _, a in items])
-    answers = [answers[a:b] if b > a else t[-ANSWER_WORDS:] for a, b, t in zip(begins[:-1], begins[1:], texts, strict=True)]
-    ids = [i for i, _, _ in items]
-    wanted = spark.sparkContext.broadcast((texts, answers, ids))
-
-    def settle(batches: Iterator) -> Iterator:
+        rare, idf, basis, latent, owners = model.value
         texts, answers, ids = wanted.value
-        for batch, data in chunks(batches, "data"):
-            out = []
-            for key, t, listed in zip(column(batch, "key").tolist(), data, batch.column(batch.schema.get_field_index("found")).to_pylist(), strict=True):
-                words, _ = terms([t])
-                best: dict[int, tuple] = {}
-                for f in listed:
-                    item = texts[f["item"]]
-                    share, lo, hi = best_match(item, words, f["at"])
-                    answer = lcs_length(answers[f["item"]], words[lo:hi]) / max(1, len(answers[f["item"]]))
-                    new = (share, answer, f["cosine"])
-                    best[f["item"]] = max(best.get(f["item"], (-1.0,)), new)
-                out += [(key, ids[i], c, s, a) for i, (s, a, c) in best.items() if s >= ALIKE or (s >= ALIKE_WITH_ANSWER and a >= ANSWER_FOUND)]
+        settler = Settler(texts, answers, size)
+        for batch, _ in chunks(batches, "word", CHUNK_HITS):
+            begins, places, words = _hits(batch)
+            row, at, number, word = _passages(begins, places, words, rare, STRIDE)
+            mass = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=len(row)))
+            strong = mass >= least * 0.999  # with weights of presence, a cosine of t needs t times the query's length
+            keep = strong[number]
+            number, word, row, at = (np.cumsum(strong) - 1)[number[keep]], word[keep], row[strong], at[strong]
+            found: dict[int, list] = {}
+            for i in range(0, len(row), 4096):
+                a, b = np.searchsorted(number, [i, min(len(row), i + 4096)])
+                p = _project(number[a:b] - i, word[a:b], idf, basis, min(4096, len(row) - i))
+                cosine = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)) @ latent.T
+                x, y = np.nonzero(cosine >= LEAST_COSINE)
+                for r, *candidate in zip(row[i + x].tolist(), owners[y].tolist(), at[i + x].tolist(), cosine[x, y].tolist(), strict=True):
+                    found.setdefault(r, []).append(candidate)
+            keys, lengths, out = column(batch, "key"), column(batch, "length"), []
+            for r, listed in found.items():
+                own = slice(begins[r], begins[r + 1])
+                matches = settler.best(places[own], words[own], int(lengths[r]), listed)
+                out += [(int(keys[r]), ids[i], c, s, a) for i, (s, a, c) in matches.items() if s >= ALIKE or (s >= ALIKE_WITH_ANSWER and a >= ANSWER_FOUND)]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["key", "item_id", "cosine", "lcs", "answer"])
 
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found"))
-    done = work_table(rows.join(lists, "key").mapInArrow(settle, "key long, item_id long, cosine double, lcs double, answer double"))
-    drop_table(found)
+    done = work_table(hits.mapInArrow(search, "key long, item_id long, cosine double, lcs double, answer double"))
+    drop_table(hits)
     return done
 
 
