@@ -5,8 +5,9 @@ windows have equal anchors, so each window needs comparing only with those of it
 one anchor occurrence form a *segment*. Anchors that occur once in the corpus, nearly all of them in fresh text, are
 dismissed after counting 64-bit values; only segments of repeated anchors are cut out of the documents and indexed.
 
-Hot data: equal segments are counted map-side before anything is indexed, occurrences join by a splittable sort-merge join, and an
-anchor with more than HOT_SEGMENTS different segments is indexed window by window, dealt by the window's own hash.
+Hot data: equal segments are counted map-side before anything is indexed. Occurrences of what has more than 1 / HOT_SHARE of them all (so fewer than HOT_SHARE
+values, whatever the corpus) are joined by broadcast, where they stand, the others by shuffle. An anchor with more than HOT_SEGMENTS different segments is
+indexed window by window, dealt by the window's own hash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ._store import drop_table, shuffle_parts, work_table
 from ._text import as_long, chunks, column, gram_hashes, range_hashes
 
 HOT_SEGMENTS = 20_000
+HOT_SHARE = 1024
 SHARD_UNITS = {"words": 200_000, "bytes": 1_200_000}
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -71,10 +73,13 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
     distinct segment) and returns an array of flags of windows for each. payload(texts, spans) cuts the pieces.
     first_is_free: the earliest occurrence of a window isn't marked (flags say "starts earlier"), else all are. bits null: all n_win.
     """
-    occ = occurrences(docs, to_units, window, gram)
-    # counted apart, so that the join deals out both sides itself and adaptive execution can split a frequent anchor
-    again = work_table(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    cand = work_table(occ.join(again, "anchor"))
+    occ = work_table(occurrences(docs, to_units, window, gram))
+    most = occ.count() // HOT_SHARE + 1
+    again = work_table(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    often = F.broadcast(again.where(F.col("n") > most).select("anchor"))
+    seldom = again.where(F.col("n") <= most).select("anchor").hint("merge")
+    cand = work_table(occ.join(often, "anchor", "left_semi").union(occ.join(often, "anchor", "left_anti").join(seldom, "anchor", "left_semi")))
+    drop_table(occ)
     segs = work_table(cand.groupBy("anchor", "seg").agg(F.min(F.struct("key", "start")).alias("first"), F.max("n_win").alias("n_win"), F.max("a_pos").alias("a_pos"), F.count("*").alias("n")))
     units_of = lambda c: F.col(c) + F.lit(window - 1)
     total = segs.agg(F.sum(units_of("n_win"))).first()[0] or 0
@@ -82,9 +87,13 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
     hot = segs.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
     lists = segs.join(hot, "anchor", "left").groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("anchor", "seg", F.col("first.start").alias("start"), "n_win", "a_pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("list"))
 
+    def batch_of(rows: list[tuple]):
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "anchor", "seg", "off", "key", "start", "n_win", "a_pos", "payload"])
+
     def cut(batches: Iterator) -> Iterator:
         for batch, texts in chunks(batches, "data"):
-            rows = []
+            rows: list[tuple] = []
             for key, text, listed in zip(column(batch, "key").tolist(), texts, batch.column(batch.schema.get_field_index("list")).to_pylist(), strict=True):
                 spans = []
                 for s in listed:
@@ -92,9 +101,11 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
                     spans += pieces
                 for (s, off, n), part, deal in payload(text, [(s, off, n, s["start"] + off, s["start"] + off + n + window - 1) for s, off, n in spans]):
                     rows.append(((deal if s["hot"] else s["anchor"]) % shards, s["anchor"], s["seg"], off, key, s["start"] + off, n, s["a_pos"] - off, part))
-            for i in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "anchor", "seg", "off", "key", "start", "n_win", "a_pos", "payload"])
+                    if len(rows) == 20_000:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
 
     pieces = docs.join(lists, "key").mapInArrow(cut, "shard long, anchor long, seg long, off int, key long, start int, n_win int, a_pos int, payload binary")
 
@@ -110,7 +121,10 @@ def repeated_windows(docs: DataFrame, to_units: Callable, unit: str, window: int
     known = segs.join(parts, ["anchor", "seg"], "left").select("anchor", "seg", "first", "parts", "n").where("n > 1 or parts is not null")
     free = F.col("first") == F.struct("key", "start") if first_is_free else F.col("n") == 1
     all_of = F.array(F.struct(F.lit(0).alias("off"), F.col("n_win"), F.lit(None).cast("binary").alias("bits")))
-    marked = cand.join(known, ["anchor", "seg"]).select("key", "start", F.when(free, F.col("parts")).otherwise(all_of).alias("parts")).where("parts is not null")
+    often = F.broadcast(segs.where(F.col("n") > most).select("anchor", "seg"))
+    hot_known = F.broadcast(known.where(F.col("n") > most))
+    pairs = cand.join(hot_known, ["anchor", "seg"]).unionByName(cand.join(often, ["anchor", "seg"], "left_anti").join(known.where(F.col("n") <= most).hint("merge"), ["anchor", "seg"]))
+    marked = pairs.select("key", "start", F.when(free, F.col("parts")).otherwise(all_of).alias("parts")).where("parts is not null")
     marks = marked.groupBy("key").agg(F.flatten(F.collect_list(F.expr("transform(parts, p -> struct(start + p.off as start, p.n_win as n_win, p.bits as bits))"))).alias("marks"))
     out = work_table(marks)
     for t in (again, cand, segs, flags):

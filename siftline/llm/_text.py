@@ -48,15 +48,24 @@ def range_hashes(units: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
     return mix((total[hi] - total[lo]) * powers(len(units), inverse=True)[lo] + (hi - lo).astype(np.uint64) * Q)
 
 
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(Q), n, 1 << 64))
+
+
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """A hash of units[i:i+k] for each i."""
     n = len(units) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = out * Q + units[j : j + n]
-    return mix(out)
+    have, size, out, length = units, 1, None, 0  # hashes of all strings of `size` and, of the lower bits of k, of `length`
+    while True:
+        if k & size:
+            out = have if out is None else have[: len(out) - size] * _power(length) + out[size:]
+            length += size
+        if length == k:
+            return mix(out[:n])
+        have = have[:-size] * _power(size) + have[size:]
+        size *= 2
 
 
 _NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])

@@ -52,7 +52,7 @@ def flag_repeats(pdf, window: int) -> list[np.ndarray]:
         return flags
     group, shift = group[rows], a_pos[rows].max() - a_pos[rows]
     width = int(max(s + len(parts[r]) for s, r in zip(shift, rows, strict=True)))
-    columns = np.full((width, len(rows)), _PAD, dtype=np.int64)
+    columns = np.full((width, len(rows)), _PAD, dtype=np.int16)
     for k, (s, r) in enumerate(zip(shift.tolist(), rows.tolist(), strict=True)):
         columns[s : s + len(parts[r]), k] = np.frombuffer(parts[r], dtype=np.uint8)
     order = np.argsort(group, kind="stable")
