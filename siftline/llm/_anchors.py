@@ -24,6 +24,7 @@ from ._text import as_long, chunks, column, gram_hashes, range_hashes
 
 HOT_SEGMENTS = 20_000
 HOT_SHARE = 1024
+OCCURRENCE_BYTES = 1 << 20
 SHARD_UNITS = {"words": 200_000, "bytes": 1_200_000}
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -54,7 +55,7 @@ def occurrences(docs: DataFrame, to_units: Callable, window: int, gram: int) ->
     """docs (key, data) -> anchor, seg (content hash), key, start, n_win, a_pos of all segments."""
 
     def emit(batches: Iterator) -> Iterator:
-        for batch, texts in chunks(batches, "data"):
+        for batch, texts in chunks(batches, "data", OCCURRENCE_BYTES):
             units, begins = to_units(texts)
             doc, anchor, start, n_win, at = segments(units, begins, window, gram)
             seg = range_hashes(units, start, start + n_win + window - 1)
