@@ -47,6 +47,19 @@ def work_table(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """A work table in as many buckets by key as there are shuffle partitions, and its name in the session's catalog.
+
+    Joins on the key read it where it lies, without a shuffle. If df is dealt by the key already (by a join on it), a task writes its own buckets only.
+    """
+    spark = df.sparkSession
+    name = f"siftline_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_parts(spark), key).option("compression", "zstd").option("path", work_path(spark)).saveAsTable(name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(name), name
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a work table that no later step reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop_table, shuffle_parts, work_table
+from ._store import bucketed_table, drop_table, shuffle_parts, work_table
 from ._text import as_long, chunks, column, gram_hashes, mix, range_hashes, word_hashes
 from .components import connected_components
 
@@ -45,6 +45,16 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield range_hashes(words, np.array([lo]), np.array([hi])) if hi > lo else words[:0]
 
 
+def set_hashes(tokens: np.ndarray) -> tuple[int, int, int]:
+    """Two independent hashes of a set of shingles, and one of both and its size (0 of the empty set)."""
+    if not len(tokens):
+        return 0, 0, 0
+    one = np.bitwise_xor.reduce(mix(tokens))
+    two = np.add.reduce(mix(tokens ^ np.uint64(0xABCDEF)), dtype=np.uint64)
+    both = mix(np.array([one, two, len(tokens)], dtype=np.uint64))
+    return int(one.view(np.int64)), int(two.view(np.int64)), int(mix(both[:1] ^ (both[1:2] + both[2:])).view(np.int64)[0])
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -175,21 +185,20 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
 
     def describe(batches: Iterator) -> Iterator:
         for batch, texts in chunks(batches, "data"):
-            n, one, two, bits, fine = [], [], [], [], []
+            n, hashes, bits, fine = [], [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
-                one.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
-                two.append(int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF)), dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                hashes.append(set_hashes(s))
                 odd = np.bincount((s % np.uint64(_BITS)).astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.int64).tolist())
                 fine.append(fine_bitmap(s))
-            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "key"), pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["key", "n", "one", "two", "bits", "fine"])
+            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "key"), pa.int64()), pa.array(n, pa.int64()), *(pa.array(h, pa.int64()) for h in zip(*hashes, strict=True)), pa.array(bits, pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["key", "n", "one", "two", "class", "bits", "fine"])
 
-    sets = work_table(rows.mapInArrow(describe, "key long, n long, one long, two long, bits array<long>, fine binary"))
+    sets = work_table(rows.mapInArrow(describe, "key long, n long, one long, two long, class long, bits array<long>, fine binary"))
     same = ["n", "one", "two"]
-    classes = sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"))
-    members = work_table(sets.select("key", *same).join(classes, same, "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
-    copies = members.where("rep != key").select("key").distinct()
+    classes = sets.where("n > 0").groupBy(*same, "class").agg(F.min("key").alias("rep"))
+    reps = work_table(classes.select("class", "rep"))
+    members = work_table(sets.select("key", *same).join(classes.drop("class"), same, "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, k, percent, parts))
 
     def index(batches: Iterator) -> Iterator:
@@ -201,14 +210,17 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
             often = known[np.minimum(at, len(known) - 1)] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
             ends = np.cumsum([len(s) for s in found])
             sigs = [np.unique(signatures(s, often[e - len(s) : e], percent)) for s, e in zip(found, ends.tolist(), strict=True)]
-            keys = np.repeat(column(batch, "key").astype(np.int64), [len(s) for s in sigs])
-            out = list(_deal(np.concatenate(sigs or [known[:0]]), parts, keys))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in out], pa.int64()), pa.array([s for _, s, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], ["bucket", "sigs", "keys"])
+            # documents with equal sets are told apart no further than by their class, and a chunk's are dealt out once
+            classes, first = np.unique(np.array([set_hashes(s)[2] for s in found], dtype=np.int64), return_index=True)
+            sigs = [sigs[i] for i in first.tolist()]
+            classes = np.repeat(classes, [len(s) for s in sigs])
+            out = list(_deal(np.concatenate(sigs or [known[:0]]), parts, classes))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in out], pa.int64()), pa.array([s for _, s, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], ["bucket", "sigs", "classes"])
 
     def shared(pdf):
         import pandas as pd
 
-        sigs, keys = _joined(pdf["sigs"]), _joined(pdf["keys"]).view(np.int64)
+        sigs, keys = _joined(pdf["sigs"]), _joined(pdf["classes"]).view(np.int64)
         by = np.lexsort((keys, sigs))
         sigs, keys = sigs[by], keys[by]
         same_sig = sigs[1:] == sigs[:-1]
@@ -220,15 +232,15 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
         heads = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]) != 0)
         sizes = np.diff(heads, append=len(sigs))
         who = [np.repeat(f.reduceat(mix(keys.view(np.uint64) + np.uint64(salt)), heads), sizes) if len(heads) else sigs for f, salt in ((np.add, 1), (np.bitwise_xor, 2))]
-        return pd.DataFrame({"sig": as_long(sigs), "key": keys, "who": as_long(who[0]), "too": as_long(who[1])})
+        return pd.DataFrame({"sig": as_long(sigs), "class": keys, "who": as_long(who[0]), "too": as_long(who[1])})
 
-    unlike = rows.join(copies, "key", "left_anti")
-    found = work_table(unlike.mapInArrow(index, "bucket long, sigs binary, keys binary").groupBy("bucket").applyInPandas(shared, "sig long, key long, who long, too long"))
+    found = work_table(rows.mapInArrow(index, "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(shared, "sig long, class long, who long, too long"))
     # signatures with the same documents say the same: one of them stays
-    lists = work_table(found.join(found.groupBy("who", "too").agg(F.min("sig").alias("sig")), ["who", "too", "sig"], "left_semi").select("sig", "key"))
+    lists = work_table(found.join(found.groupBy("who", "too").agg(F.min("sig").alias("sig")), ["who", "too", "sig"], "left_semi").join(reps, "class").select("sig", F.col("rep").alias("key")).distinct())
     drop_table(found)
+    drop_table(reps)
     involved = lists.select("key").distinct()
-    texts = work_table(rows.join(involved, "key", "left_semi"))
+    texts, texts_name = bucketed_table(rows.join(involved, "key", "left_semi"), "key")
     sketch = work_table(sets.join(involved, "key", "left_semi").select("key", "n", "bits", "fine"))
 
     leaders = lists.groupBy("sig").agg(F.min("key").alias("a"))
@@ -246,6 +258,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     more = work_table(_links(cross, sketch, texts, k, percent))
     joined = connected_components(links.union(more))
     out = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    spark.sql(f"DROP TABLE {texts_name}")
     for t in (sets, lists, texts, sketch, placed, links, more):
         drop_table(t)
     known = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
