@@ -2,8 +2,9 @@
 
 A gear hash (the sum of a random number for each of the last 32 bytes, doubled at each step) is computed at every byte; a chunk ends where its top bits are
 zero: more of them before the normal size, fewer after it, so sizes gather round it, within a least and a largest size. Boundaries follow content, so an insertion
-changes the chunks it touches and no others. There are three scales for short, middle and long texts; their ranges
-overlap, and texts in an overlap are cut on both, so that two texts of about one length have a scale in common.
+changes the chunks it touches and no others. There are three scales for short, middle and long texts. A text is cut on its own scale and on all finer ones, so
+any two texts have a scale in common, however different their lengths; they are compared on the coarsest that serves the shorter one. A boundary
+hangs on the 32 bytes before it, so of a text that stands in another, the first 32 bytes or so may be cut differently; for texts of about that length likeness is low.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from ._text import BYTE_CODES, mix, range_hashes
 
 #: Least, normal and largest chunk size; zero top bits asked for before and after the normal size.
 SCALES = {"t": (1, 4, 16, 3, 1), "f": (4, 16, 64, 6, 2), "c": (16, 64, 256, 8, 4)}
-#: Bytes of the texts that are cut on a scale: from, below.
-SERVES = {"t": (1, 192), "f": (96, 2048), "c": (1024, float("inf"))}
+#: Least bytes of the texts that are cut on a scale. No upper bound: a long text is also cut on the scales of the short ones it may hold.
+SERVES = {"t": 1, "f": 96, "c": 1024}
 _GEAR = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _NO_ID = -(1 << 63)
+#: Bytes of fingerprints that are returned at a time.
+OUTPUT_BYTES = 1 << 22
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -38,8 +41,10 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def chunk_ends(h: np.ndarray, scale: tuple) -> list[int]:
     least, normal, most, hard_bits, easy_bits = scale
     easy = np.flatnonzero(h >> np.uint32(32 - easy_bits) == 0)
-    hard = easy[h[easy] >> np.uint32(32 - hard_bits) == 0].tolist()
-    easy, n, begin, ends = easy.tolist(), len(h), 0, []
+    hard = easy[h[easy] >> np.uint32(32 - hard_bits) == 0]
+    if normal <= 4:
+        return _followed(len(h), hard, easy, least, normal, most)
+    hard, easy, n, begin, ends = hard.tolist(), easy.tolist(), len(h), 0, []
     n_hard, n_easy = len(hard), len(easy)
     while n - begin > least:
         k = bisect_left(hard, begin + least)
@@ -55,17 +60,33 @@ def chunk_ends(h: np.ndarray, scale: tuple) -> list[int]:
     return ends
 
 
+def _followed(n: int, hard: np.ndarray, easy: np.ndarray, least: int, normal: int, most: int) -> list[int]:
+    """The same ends: where a chunk would end is found for every byte at once, which is faster where chunks are of a few bytes."""
+    place = np.arange(n, dtype=np.int64)
+    near = np.full(n + normal, n + normal, dtype=np.int64)
+    far = np.full(n + normal, n - 1, dtype=np.int64)
+    near[hard], far[easy] = hard, easy
+    near, far = np.minimum.accumulate(near[::-1])[::-1], np.minimum.accumulate(far[::-1])[::-1]
+    end = np.where(near[least : n + least] < place + normal, near[least : n + least] + 1, np.minimum(far[normal:] + 1, place + most))
+    end[max(0, n - least) :] = n
+    following, begin, ends = np.minimum(end, n).tolist(), 0, []
+    while begin < n:
+        begin = following[begin]
+        ends.append(begin)
+    return ends
+
+
 _DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 
 
 def chunk_sets(text: bytes) -> dict[str, np.ndarray]:
-    """The distinct chunks of each scale of a text, packed: 48 bits of digest, 12 bits of length."""
+    """The distinct chunks of a text on its own scale and all finer ones, packed: 48 bits of digest, 12 bits of length."""
     if not text:
         return {}
     data = np.frombuffer(text, dtype=np.uint8)
     h, units, out = gear_hashes(data), BYTE_CODES[data], {}
-    for name, (least, most) in SERVES.items():
-        if least <= len(text) < most:
+    for name, least in SERVES.items():
+        if least <= len(text):
             ends = np.array(chunk_ends(h, SCALES[name]), dtype=np.int64)
             begins = np.concatenate([[0], ends[:-1]])
             out[name] = np.unique((range_hashes(units, begins, ends) >> np.uint64(16) << np.uint64(12)) | (ends - begins).astype(np.uint64))
@@ -82,12 +103,10 @@ def written(sets: dict[str, np.ndarray]) -> str:
 
 
 def likeness(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> float:
-    """Length of the chunks in common by that of the smaller side's, on the coarser scale that both have. 1 for two empty texts, 0 for one."""
+    """Length of the chunks in common by that of the smaller side's, on the coarsest scale that both have: all texts have the finest. 1 for two empty texts, 0 for one."""
     if not a or not b:
         return float(not a and not b)
-    name = next((s for s in "cft" if s in a and s in b), None)
-    if name is None:
-        return 0.0
+    name = next(s for s in "cft" if s in a and s in b)
     weight = lambda x: int((x & np.uint64(4095)).sum())
     return weight(np.intersect1d(a[name], b[name], assume_unique=True)) / min(weight(a[name]), weight(b[name]))
 
@@ -124,20 +143,27 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     copies = placed.drop("range").join(F.broadcast(spark.createDataFrame(after, "range int, key long")), "key").select("key", "data", "range", F.lit(1).alias("copy"))
     dealt = placed.select("key", "data", "range", F.lit(0).alias("copy")).union(copies).repartition(ranges, "range").sortWithinPartitions("range", "copy", F.desc("key"), "data")
 
+    def rows_of(out: list) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
     def emit(batches: Iterator) -> Iterator:
         have = None
         for batch in batches:
             keys, texts, at, copy = (batch.column(i).to_pylist() for i in range(4))
-            out = []
+            out, held = [], 0
             for key, t, r, c in zip(keys, texts, at, copy, strict=True):
                 sets = chunk_sets(t.encode())
                 if have and have[2] == r:
                     mine = edited(have[1], t)
                     its = chunk_sets(mine.encode())
                     out.append((have[0], len(have[1]), hashlib.sha256(mine.encode()).hexdigest(), written(have[3]), written(its), likeness(have[3], its), likeness(have[3], sets)))
+                    held += len(out[-1][3]) + len(out[-1][4])
+                    if held >= OUTPUT_BYTES:
+                        yield rows_of(out)
+                        out, held = [], 0
                 have = None if c else (key, t, r, sets)
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield rows_of(out)
 
     done = dealt.mapInArrow(emit, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias(doc_id), *done.columns[1:])

@@ -116,6 +116,17 @@ def test_fingerprints(docs, texts):
     assert fingerprints.likeness(fingerprints.chunk_sets(texts[10].encode()), fingerprints.chunk_sets(b"inserted " + texts[10].encode())) > 0.9
 
 
+@pytest.mark.parametrize("short, long", [(80, 400), (90, 5000), (300, 2048), (1000, 50_000)])
+def test_fingerprints_of_short_texts_in_long_ones(spark, short, long):
+    rng = random.Random(short)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(long))
+    sets = lambda t: fingerprints.chunk_sets(t.encode())
+    part, other = text[long // 3 : long // 3 + short], "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ ") for _ in range(short))
+    assert fingerprints.likeness(sets(part), sets(text)) == fingerprints.likeness(sets(text), sets(part)) > 0.4 + fingerprints.likeness(sets(other), sets(text))
+    rows = spark.createDataFrame([(2, part), (1, text)], "doc_id long, text string")
+    assert [r["near_next"] for r in fingerprints.fingerprint_documents(rows).collect()] == [fingerprints.likeness(sets(part), sets(text))] * 2
+
+
 def test_tokens(spark, docs, texts):
     from tokenizers import Tokenizer
 
