@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
+_NAME = re.compile("[a-z0-9_]+")
+#: Bits of lines by items that are counted at a time, and words whose items a task remembers; neither changes a result.
+COUNTED_BITS, REMEMBERED = 1 << 25, 500_000
+
 
 def sha16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
@@ -40,3 +51,65 @@ def merge_reports(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 def missing(text: Column, needles: Column) -> Column:
     return F.filter(needles, lambda x: ~F.contains(text, x))
+
+
+def focus_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, hits, docs of every item as focus question (items of one id: as one): the (document, line) pairs that is_relevant keeps for all its query_tokens, and the documents (rows) with one.
+
+    A focus token has only letters, digits and _, so it is in a line if it is in one of the line's words; each distinct word is looked up once, and a line's items
+    are the union of its words' as a bit set. The items' tokens are collected; the documents aren't shuffled.
+    """
+    spark = docs.sparkSession
+    ids: dict = {}
+    owners: dict[str, int] = {}
+    for key, tokens in items.select(item_id, T.query_tokens(F.coalesce(F.col(text), F.lit("")))).collect():
+        bit = 1 << ids.setdefault(key, len(ids))
+        for t in tokens:
+            owners[t] = owners.get(t, 0) | bit
+    lengths, width, everyone = sorted({len(t) for t in owners}), -(-len(ids) // 8), (1 << len(ids)) - 1
+
+    def items_of(word: str) -> int:
+        found = 0
+        for n in lengths:
+            if n > len(word):
+                break
+            for part in {word[k : k + n] for k in range(len(word) - n + 1)}:
+                found |= owners.get(part, 0)
+        return found
+
+    def counts(sets: list[int]) -> np.ndarray:
+        packed = np.frombuffer(b"".join(x.to_bytes(width, "little") for x in sets), dtype=np.uint8).reshape(len(sets), width)
+        return np.unpackbits(packed, axis=1, bitorder="little")[:, : len(ids)].sum(axis=0, dtype=np.int64)
+
+    def emit(batches: Iterator) -> Iterator:
+        known: dict[str, int] = {}
+        for batch in batches:
+            total, of_lines, of_docs = np.zeros((2, len(ids)), dtype=np.int64), [], []
+            for lines in batch.column(0).to_pylist():
+                whole = 0
+                for line in lines or ():
+                    one = everyone if any(m in line for m in T.ALWAYS_KEPT) else 0
+                    for word in {*_NAME.findall(line)}:
+                        have = known.get(word)
+                        if have is None:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[word] = have = items_of(word)
+                        one |= have
+                    if one:
+                        whole |= one
+                        of_lines.append(one)
+                        if len(of_lines) * width * 8 >= COUNTED_BITS:
+                            total[0] += counts(of_lines)
+                            of_lines = []
+                if whole:
+                    of_docs.append(whole)
+            total[0] += counts(of_lines)
+            total[1] += counts(of_docs)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int32()), pa.array(total[0]), pa.array(total[1])], ["at", "hits", "docs"])
+
+    if not ids:
+        return items.limit(0).select(item_id, F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("docs"))
+    found = docs.select(T.lines(F.lower(text))).mapInArrow(emit, "at int, hits long, docs long").groupBy("at").agg(F.sum("hits").alias("hits"), F.sum("docs").alias("docs"))
+    names = spark.createDataFrame(list(zip(ids.values(), ids, strict=True)), f"at int, {item_id} {items.schema[item_id].dataType.simpleString()}")
+    return names.join(F.broadcast(found), "at", "left").select(item_id, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("docs", F.lit(0)).alias("docs"))

@@ -102,10 +102,7 @@ def prune_trace_render(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT item_id, regexp_extract(lower(text), '[a-z0-9_]{{7,}}') AS token FROM benchmark) JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9_]{{7,}}'))) AS token FROM L) USING (token) WHERE token <> '' GROUP BY item_id")
 def prune_by_benchmark_query(spark, sf_dir):
-    # an item's first long word is its focus: an equi-join on words, not all pairs of lines and items
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "([a-z0-9_]{7,})", 1).alias("token")).where("token <> ''")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9_]{7,})"), F.lit(1)))).alias("token"))
-    return words.join(items, "token").groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+    return evaluate.focus_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) < 200 THEN 'small' WHEN turn % 7 = 3 THEN 'verbatim' WHEN turn % 5 = 4 THEN 'missing-focus-question' WHEN 512 - length(role) * 60 < 100 THEN 'query-too-long' ELSE 'prune' END AS gate FROM conversations")

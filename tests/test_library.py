@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import numbers as N
 from siftline.functions import text as T
-from siftline.operators import chunks, prune, repair
+from siftline.operators import chunks, evaluate, prune, repair
 from siftline.plans import catalog
 from siftline.streaming import sessions as streams
 
@@ -89,6 +89,23 @@ def test_retries():
     assert list(repair.with_retries([["a", "bb"], ["ccc"]], score, lambda e: isinstance(e, MemoryError))) == [(1, True), (2, True), (3, False)]
 
 
+def test_focus_hits(spark, tmp_path):
+    docs = [(1, "The Alpha_beta works\nnothing\nbetamax again\nalpha alpha"), (2, "gamma\r\nALPHABET soup\x0bNEEDLE_SENTINEL"), (3, ""), (4, None), (5, "that with which")]
+    items = [(1, "Where is alpha_beta, and what is soup?"), (2, "what is that"), (3, "gamma then GAMMA"), (4, None), (None, "betamax")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["hits"], r["docs"]) for r in catalog.prune_by_benchmark_query(spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 2), 2: (1, 1), 3: (2, 1), 4: (1, 1), None: (2, 2)}
+
+
+def test_focus_hits_by_the_mask(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 1"), spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id % 8 = 3")
+    kept = F.size(prune.kept_numbers(prune.lexical_mask(F.col("x"), F.col("tokens"))))
+    pairs = docs.select(T.lines(F.col("text")).alias("x")).crossJoin(items.select("item_id", T.query_tokens(F.col("text")).alias("tokens"))).select("item_id", kept.alias("n"))
+    want = {tuple(r) for r in pairs.groupBy("item_id").agg(F.sum("n"), F.count_if(F.col("n") > 0)).collect()}
+    assert {tuple(r) for r in evaluate.focus_hits(docs, items).collect()} == want and sum(r[1] for r in want) > 0
+
+
 @pytest.fixture(scope="session")
 def db():
     c = duckdb.connect()
