@@ -416,9 +416,8 @@ def relevance_softmax(spark, sf_dir):
 
 @query("WITH D AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}'))) AS name FROM documents), N AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}')) AS name FROM benchmark) SELECT doc_id, count(*) AS names, count(*) FILTER (name IN (SELECT name FROM N)) AS known FROM D GROUP BY doc_id")
 def identifier_refs(spark, sf_dir):
-    pattern = F.lit("([A-Za-z_][A-Za-z0-9_]{5,})")
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(1)))).alias("name"))
-    known = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("name")).distinct().withColumn("known", F.lit(True))
+    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(T.identifiers(F.col("text"))).alias("name")).distinct().withColumn("known", F.lit(True))
     return names.join(known, "name", "left").groupBy("doc_id").agg(F.count("*").alias("names"), F.count("known").alias("known"))
 
 

@@ -106,6 +106,12 @@ def test_focus_hits_by_the_mask(spark):
     assert {tuple(r) for r in evaluate.focus_hits(docs, items).collect()} == want and sum(r[1] for r in want) > 0
 
 
+def test_identifier_refs(spark, tmp_path):
+    spark.createDataFrame([(1, "def f(x): return x + load_config(y1)"), (2, "f ab"), (3, "12 + 3")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "f and load_config"), (2, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in catalog.identifier_refs(spark, str(tmp_path)).collect()} == {(1, 6, 3), (2, 2, 1)}
+
+
 @pytest.fixture(scope="session")
 def db():
     c = duckdb.connect()
