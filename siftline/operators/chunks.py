@@ -51,6 +51,17 @@ def merge_scores(scored: DataFrame, key: str) -> DataFrame:
     return scored.where("end > start AND start >= 0").groupBy(key, "start", "end").agg(F.avg("score").alias("score"))
 
 
+def valid_spans(spans: DataFrame) -> DataFrame:
+    """spans (start, end, length of the text): those that aren't empty and lie within the text, as at the merge of windows."""
+    return spans.where("end > start AND start >= 0 AND end <= length")
+
+
+def clamp_spans(spans: DataFrame) -> DataFrame:
+    """spans (start, end, length of the text): cut to the text, as at the roll-up to lines; without those of which nothing is left."""
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.col("length"))).alias(c)
+    return spans.select(*[inside(c) if c in ("start", "end") else c for c in spans.columns]).where("end > start")
+
+
 def line_ranges(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """key columns, n (from 1), line, start, end: character range without the line's end, for texts with line feeds."""
     parts = F.split(F.col(text), "\n", -1)

@@ -181,7 +181,12 @@ def threshold_mask(spark, sf_dir):
 
 @query(f"WITH {_LINE_SCORES} SELECT doc_id, n, CAST(hi - lo AS BIGINT) AS chars FROM B WHERE hi > lo AND lo >= 0 AND n % 3 = 0")
 def span_filters(spark, sf_dir):
-    return chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id").where("end > start AND start >= 0 AND n % 3 = 0").select("doc_id", F.col("n").cast("long"), (F.col("end") - F.col("start")).cast("long").alias("chars"))
+    # each line's span, and it turned round, begun before the text and ended after it, which are to be dropped
+    lines = chunks.line_ranges(table(spark, sf_dir, "documents").withColumn("length", F.length("text")), "text", "doc_id", "length")
+    start, end, length = F.col("start"), F.col("end"), F.col("length")
+    made = F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in ((start, end), (end, start), (start - length - 1, end), (start, end + length + 1))])
+    spans = lines.select("doc_id", "n", "length", F.inline(made))
+    return chunks.clamp_spans(chunks.valid_spans(spans)).select("doc_id", F.col("n").cast("long"), (F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
 @query(f"WITH {_mask_sql(TOKENS)} SELECT doc_id, count(*) FILTER (k AND NOT k0) AS bridged, count(*) FILTER (k) AS kept FROM M GROUP BY doc_id")
@@ -240,7 +245,7 @@ def repair_gap_render(spark, sf_dir):
 
 @query()
 def viterbi_decode(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.slice(T.lines(F.col("text")), 1, 1_000_000), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
     tags = repair.viterbi_udf("e", F.lit([[0.5, -0.5], [-0.5, 0.5]]), F.lit([0.0, 0.0]), F.lit([0.0, 0.0]))
     return rows.withColumn("tags", tags).select("doc_id", F.size("tags").alias("tags"), F.aggregate("tags", F.lit(0), lambda s, x: s + x).alias("ones"))
 

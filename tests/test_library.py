@@ -112,6 +112,24 @@ def test_identifier_refs(spark, tmp_path):
     assert {tuple(r) for r in catalog.identifier_refs(spark, str(tmp_path)).collect()} == {(1, 6, 3), (2, 2, 1)}
 
 
+def test_span_filters(spark, tmp_path):
+    texts = {1: "one\n\nthree\nfour\n", 2: "", 3: "\n\n", 4: "x"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.span_filters(spark, str(tmp_path)).collect()} == {(i, n, len(x)) for i, t in texts.items() for n, x in enumerate(t.split("\n"), 1) if x}
+
+
+def test_spans_past_the_ends(spark):
+    spans = [(0, 4, 10), (-1, 4, 10), (6, 11, 10), (6, 10, 10), (4, 4, 10), (5, 2, 10), (-3, 0, 10), (10, 12, 10), (-2, 12, 10), (0, 1, 0)]
+    df = spark.createDataFrame(spans, "start int, end int, length int")
+    assert [tuple(r) for r in chunks.valid_spans(df).collect()] == [s for s in spans if 0 <= s[0] < s[1] <= s[2]]
+    assert [tuple(r)[:2] for r in chunks.clamp_spans(df).collect()] == [(0, 4), (0, 4), (6, 10), (6, 10), (0, 10)]
+
+
+def test_viterbi_decodes_every_line(spark, tmp_path):
+    spark.createDataFrame([(1, "\n" * 1_000_003)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.viterbi_decode(spark, str(tmp_path)).first()["tags"] == 1_000_003
+
+
 @pytest.fixture(scope="session")
 def db():
     c = duckdb.connect()
