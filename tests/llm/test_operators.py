@@ -178,6 +178,25 @@ def test_html(spark):
     assert got == sorted([("1", main, len(main)), ("1", main, len(main)), ("2", "", 0), ("3", "", 0), ("4", "plain, text", 11), ("None", "", 0)])
 
 
+LONG = "A long sentence of the text, with commas, goes on and on, and says what there is to say about it. " * 6
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<h1>T</h1><div>{LONG}</div><div>short end</div>", ["T", LONG, "short end"]),
+        (f"<div><p>The lead, short.</p></div><div><p>{LONG}</p><p>{LONG}</p></div>", ["The lead, short.", LONG, LONG]),
+        (f"<h2>Head</h2><div><p>{LONG}</p></div>", ["Head", LONG]),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><ul><li>one</li><li>two</li><li>three</li></ul></div>", [LONG, LONG, "one", "two", "three"]),
+        (f"<div><ul><li>first</li><li>second</li></ul><p>{LONG}</p></div>", ["first", "second", LONG]),
+        (f"<div class=menu>Home</div><div><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul></div><div><div><p>{LONG}</p><p>{LONG}</p></div></div>", [LONG, LONG]),
+    ],
+)
+def test_html_without_article(body, want):
+    got = html_extract.main_text(f"<html><body>{body}</body></html>").split("\n\n")
+    assert [t for t in got if t not in "xyz"] == [t.strip() for t in want]
+
+
 def test_empty_tables(spark, docs):
     none = docs.where(F.lit(False))
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int, quality int"), spark.createDataFrame([(1, "some item text of six words")], "item_id long, text string")
