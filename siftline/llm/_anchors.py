@@ -29,21 +29,30 @@ SHARD_UNITS = {"words": 200_000, "bytes": 1_200_000}
 _POSITION = np.uint64((1 << 24) - 1)
 
 
+def _least(g: np.ndarray, span: int) -> np.ndarray:
+    """For each run of span hashes the place of the least, by the bits above _POSITION, the first of equal ones. Positions count within stretches they have the bits for, so g may have any length."""
+    step = int(_POSITION) + 1 - (span - 1)
+    out = np.empty(len(g) - span + 1, dtype=np.int64)
+    for lo in range(0, len(out), step):
+        part = g[lo : lo + step + span - 1]
+        least = (part & ~_POSITION) | np.arange(len(part), dtype=np.uint64)
+        have = 1
+        while have * 2 <= span:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if span > have:
+            least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
+        out[lo : lo + step] = (least & _POSITION).astype(np.int64) + lo
+    return out
+
+
 def segments(units: np.ndarray, begins: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of concatenated documents (begins: first unit of each, and the end): document, anchor hash, first window, number of windows, anchor position."""
     none = np.zeros(0, dtype=np.int64)
     if len(units) < window:
         return none, none.astype(np.uint64), none, none, none
     g = gram_hashes(units, gram)
-    span = window - gram + 1
-    least = (g & ~_POSITION) | np.arange(len(g), dtype=np.uint64)
-    have = 1
-    while have * 2 <= span:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if span > have:
-        least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-    at = (least & _POSITION).astype(np.int64)
+    at = _least(g, window - gram + 1)
     doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     start = np.flatnonzero(doc[: len(at)] == doc[window - 1 : window - 1 + len(at)])
     at = at[start]

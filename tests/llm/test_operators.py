@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import decontaminate, entries, fingerprints, html_extract, jaccard_join, mixing, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from siftline.llm import _anchors, decontaminate, entries, fingerprints, html_extract, jaccard_join, mixing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 from siftline.llm._store import work_path
+from siftline.llm._text import BYTE_CODES, gram_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, anchor string, size int, score string"
 
@@ -70,6 +71,30 @@ def test_byte_strings(docs, texts):
     assert {r[0]: tuple(r[1:5]) for r in suffix_dedup.dedup_byte_strings(docs).collect()} == want
 
 
+def test_segments_of_a_very_long_text():
+    rng = np.random.default_rng(8)
+    passage, window, gram = rng.integers(0, 256, 600).astype(np.uint8), 400, 20
+    data = rng.integers(0, 256, (1 << 24) + 5000).astype(np.uint8)
+    places = 1000, (1 << 24) - 300, (1 << 24) + 3000
+    for k in places:
+        data[k : k + 600] = passage
+    _, anchor, start, n_win, at = _anchors.segments(BYTE_CODES[data], np.array([0, len(data)]), window, gram)
+    assert (at >= start + n_win - 1).all() and (at <= start + window - gram).all() and n_win.sum() == len(data) - window + 1
+    found = [{(a, p - k) for a, s, n, p in zip(anchor.tolist(), start.tolist(), n_win.tolist(), at.tolist()) if s < k + 201 and s + n > k} for k in places]
+    assert found[0] == found[1] == found[2]
+
+
+def test_segments_in_stretches(monkeypatch):
+    units = BYTE_CODES[np.random.default_rng(9).integers(0, 2, 5000)]
+    begins = np.array([0, 700, 720, 4900, 5000])
+    for window, gram in ((20, 6), (400, 20), (64, 64)):
+        g = gram_hashes(units, gram)
+        monkeypatch.setattr(_anchors, "_POSITION", np.uint64(511))
+        hashes, span = (g & ~np.uint64(511)).tolist(), window - gram + 1
+        assert _anchors._least(g, span).tolist() == [min(range(k, k + span), key=hashes.__getitem__) for k in range(len(g) - span + 1)]
+        assert len(_anchors.segments(units, begins, window, gram)[0])
+
+
 def test_jaccard(docs, texts):
     sets = {}
     for i, t in texts.items():
