@@ -43,12 +43,13 @@ def units_of(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Terms with weights; whole words of five letters or more also within one edit, by an automaton over the trie."""
+    """Terms with weights; those that are whole words of five letters or more also within one edit, by an automaton over the trie."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.trie: dict = {}
         self.reach: set[str] = set()
+        self.longest = 0
         for term in weights:
             if term[-1] != "*" and len(term) >= 5:
                 node = self.trie
@@ -56,6 +57,7 @@ class Lexicon:
                     node = node.setdefault(c, {})
                 node[""] = term
                 self.reach |= self.shortened(term)
+                self.longest = max(self.longest, len(term))
         self.known: dict[str, tuple | None] = {}
 
     @staticmethod
@@ -96,7 +98,7 @@ class Lexicon:
         if hits:
             unit, weight = max(hits, key=lambda x: x[1])
             return unit, weight, int(unit[-1] == "*")
-        if 5 <= len(word) <= 40 and not self.reach.isdisjoint(self.shortened(word)) and (term := self.near(word)) is not None:
+        if 4 <= len(word) <= self.longest + 1 and not self.reach.isdisjoint(self.shortened(word)) and (term := self.near(word)) is not None:
             return term, self.weights[term], 2
         return None
 

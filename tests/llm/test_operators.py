@@ -178,6 +178,14 @@ def test_toxicity(spark, docs):
     assert lexicon.is_quoted('he "blockhead" again'.split(), 1) and not lexicon.is_quoted("you blockhead again".split(), 1)
 
 
+def test_misspelled_terms_at_the_bounds():
+    long = "abcdefghij" * 4
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "dolt": 3.0, "moron*": 3.0, long: 2.0})
+    words = "idot", "diot", "idio", "idiott", "idixt", f"{long}x", f"x{long}", long[1:]
+    assert [lexicon.look(w) for w in words] == [("idiot", 3.0, 2)] * 5 + [(long, 2.0, 2)] * 3
+    assert [lexicon.look(w) for w in ("idt", "dol", "dolts", "moro", f"{long}xy", "ido")] == [None] * 6 and toxicity.Lexicon({}).look("word") is None
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, int(i not in (11, 12, 14))) for i in range(15)], "doc_id long, quality int")
     rows = quality.score_quality(docs, labels).collect()
