@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix),
     ("token_output", write_token_files),
 ]
-#: The trained, iterative and tokenizing stages have no SQL form; tests/llm holds the stages against brute force.
+#: The trained, iterative and tokenizing stages have no SQL form; tests/llm/test_pipeline.py holds the stages and run() against expected rows of a small table.
 ORACLE_SQL = None
 
 
