@@ -165,7 +165,7 @@ def select_terms(counts: list, toxic: float, clean: float) -> dict[str, float]:
 def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -> tuple[dict[str, float], tuple]:
     """Lexicon and model from at most MOST_LABELLED labelled rows that `allowed` (a condition on doc_id) admits, taken by a hash of doc_id."""
     picked = labels.where(allowed & F.col("toxic").isNotNull()).groupBy(doc_id).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(MOST_LABELLED)
-    rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).join(F.broadcast(picked), doc_id).select("toxic", (F.abs(F.xxhash64(F.lit(7), doc_id)) % 2).cast("int").alias("half"), "data")
+    rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).join(F.broadcast(picked), doc_id).select(F.col(doc_id).cast("string").alias("id"), "toxic", (F.abs(F.xxhash64(F.lit(7), doc_id)) % 2).cast("int").alias("half"), "data")
 
     def count(batches: Iterator) -> Iterator:
         sums: dict[tuple, Counter] = {(t, h): Counter() for t in (0, 1) for h in (0, 1)}
@@ -174,10 +174,17 @@ def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -
                 words = {core(w) for w in {*data.decode("utf-8", "replace").lower().split()}} - {""}
                 sums[t, h].update({u for w in words if len(w) <= 40 for u in units_of(w)})
                 sums[t, h][""] += 1
-        units = list({*sums[1, 0], *sums[1, 1]} | {u for s in ((0, 0), (0, 1)) for u, n in sums[s].items() if n > 1} | {""})
+            if sum(map(len, sums.values())) > _CACHE:
+                yield from written(sums)
+                sums = {k: Counter() for k in sums}
+        yield from written(sums)
+
+    def written(sums: dict) -> Iterator:
+        """Every unit that was met, however seldom here: what is seldom in one task may be frequent in all."""
+        units = list(set().union(*sums.values()))
         for i in range(0, len(units), 50_000):
             part = units[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([sums[k][u] for u in part], pa.int64()) for k in ((1, 0), (0, 0), (1, 1), (0, 1)))], ["unit", "t0", "c0", "t1", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([sums[k][u] for u in part], pa.int64()) for k in ((1, 0), (0, 0), (1, 1), (0, 1)))], ["unit", "t0", "c0", "t1", "c1"])
 
     sums = rows.mapInArrow(count, "unit string, t0 long, c0 long, t1 long, c1 long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
     worth = (F.col("unit") == "") | ((F.col("t0") + F.col("t1") >= 3) & ((F.col("t0") + F.col("t1")) * 8 > F.col("c0") + F.col("c1")))
@@ -192,9 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -
         lexicons = [Lexicon(h) for h in halves]
         for batch, texts in chunks(batches, "data"):
             x = [lexicons[h].features(d.decode("utf-8", "replace")) for h, d in zip(column(batch, "half").tolist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "toxic")), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
-    table = rows.mapInArrow(describe, "toxic int, x array<double>").collect()
+    table = sorted(rows.mapInArrow(describe, "id string, toxic int, x array<double>").collect())  # sums of floats depend on their order
     return of(["t0", "t1"], ["c0", "c1"]), fit_logistic(np.array([r["x"] for r in table]), np.array([float(r["toxic"]) for r in table]))
 
 

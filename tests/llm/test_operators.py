@@ -178,6 +178,24 @@ def test_toxicity(spark, docs):
     assert lexicon.is_quoted('he "blockhead" again'.split(), 1) and not lexicon.is_quoted("you blockhead again".split(), 1)
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    """The same lexicon and scores, whether a task has all labelled rows or hardly one."""
+    rng = random.Random(2)
+    words = [f"w{i:03d}" for i in range(900)]
+    rows = [(i, " ".join([*(["nitwit"] if i % 7 == 0 else []), *rng.sample(words, 25)])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(500)], "doc_id long, toxic int")
+    learnt, scores = [], []
+    for n in (1, 8, 300):
+        dealt = docs.repartition(n).cache()
+        weights, model = toxicity.train(dealt, labels, ~toxicity.held_out("doc_id"), "doc_id", "text")
+        learnt.append((weights, *(x.tolist() for x in model)))
+        if n != 8:
+            scores.append(sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(dealt, labels).collect()))
+    assert learnt[0] == learnt[1] == learnt[2] and learnt[0][0].keys() == {"nitwit", "nitwi*"}
+    assert scores[0] == scores[1]
+
+
 def test_misspelled_terms_at_the_bounds():
     long = "abcdefghij" * 4
     lexicon = toxicity.Lexicon({"idiot": 3.0, "dolt": 3.0, "moron*": 3.0, long: 2.0})
