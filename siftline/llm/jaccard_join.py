@@ -5,16 +5,21 @@ reach the threshold, the one of n shingles misses fewer than p = n - ceil(t n) +
 them: single rare shingles are indexed. If it has fewer rare ones, the prefix is extended into the frequent class by b more than are
 missing, and the two share a rare shingle or more than b frequent ones, of which two fall into one of b hash bins: pairs of frequent shingles in a
 bin are indexed. b follows the document's size in powers of two, and pairs are made by the bins of half that number, so documents of neighbouring sizes agree.
+Of a pair, the smaller one shares at least 2t / (1 + t) of its shingles, so its prefix is nearly half as long. A signature from a document's shorter prefix is marked
+(leads); one that none of its documents leads with can't make a pair and is dropped. So a passage that thousands of different documents have is only a signature where it is nearly all of one.
+
+The frequent class is a bitmap of fixed size, by hash, of which any shingle can be looked up; a rare shingle that falls on a set bit counts as frequent everywhere.
 
 Documents that share an indexed signature are candidates. All pairs of a group of copies would grow with its square, and links are needed only as far as they
 join components, so candidates are verified in two rounds: first each document against the least that leads one of its signatures' documents and may be near enough; then, wherever a signature's
-documents are in several components, those outside its largest one against all others in other components. Parity
+documents are in several components, those outside its largest one against all others of like size in other components. Parity
 bitmaps (the symmetric difference is at least the bits in which two differ) dismiss most of the latter within the join, before any row is made. Those
 bitmaps are short; of longer documents, finer ones as wide as the set are compared before any text is sent.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +32,13 @@ from ._text import as_long, chunks, column, gram_hashes, mix, range_hashes, word
 from .components import connected_components
 
 SHINGLE_WORDS = 5
-#: The frequent class: at most so many shingles, each in more than so many documents' prefixes. Both only steer the work; the join is exact for any values.
-MOST_FREQUENT = 1 << 17
+#: The frequent class: shingles in more than so many documents' prefixes, as a bitmap of 2 ** CLASS_BITS bits. Both only steer the work; the join is exact for any values.
 RARE_UP_TO = 32
+CLASS_BITS = 25
+#: A value with more than 1 / HOT_SHARE of all occurrences is hot, so there are fewer than HOT_SHARE of them.
+HOT_SHARE = 2048
+#: Tokens that a group of the counting and of the indexing stage has on average, and that a task adds up before it sends them.
+GROUP_TOKENS, TASK_TOKENS = 1 << 21, 1 << 20
 _BITS = 1024
 _NO_ID = -(1 << 63)
 
@@ -46,72 +55,128 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
 
 
 def set_hashes(tokens: np.ndarray) -> tuple[int, int, int]:
-    """Two independent hashes of a set of shingles, and one of both and its size (0 of the empty set)."""
+    """Two independent hashes of a set of shingles, and one of both and its size, even (0 of the empty set)."""
     if not len(tokens):
         return 0, 0, 0
     one = np.bitwise_xor.reduce(mix(tokens))
     two = np.add.reduce(mix(tokens ^ np.uint64(0xABCDEF)), dtype=np.uint64)
     both = mix(np.array([one, two, len(tokens)], dtype=np.uint64))
-    return int(one.view(np.int64)), int(two.view(np.int64)), int(mix(both[:1] ^ (both[1:2] + both[2:])).view(np.int64)[0])
+    return int(one.view(np.int64)), int(two.view(np.int64)), int((mix(both[:1] ^ (both[1:2] + both[2:])) & ~np.uint64(1)).view(np.int64)[0])
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Of a document's sorted shingles, frequent: which are of that class."""
+def leading_length(n: int, percent: int) -> int:
+    """As prefix_length, against documents that are no smaller."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a document's sorted shingles (frequent: which are of that class): its signatures, ascending, and which of them it leads with."""
     n = len(tokens)
     if n < 2:  # a single shingle is linked with equal sets only
-        return tokens[:0]
-    p = prefix_length(n, percent)
+        return tokens[:0], frequent[:0]
+    p, short = prefix_length(n, percent), leading_length(n, percent)
     rare = tokens[~frequent][:p]
-    if len(rare) == p:
-        return rare
-    bins = 1 << max(0, (p // 4).bit_length() - 1)
-    rest = tokens[frequent][: p - len(rare) + bins]
-    place = mix(rest) & np.uint64(max(1, bins // 2) - 1)
-    by = np.argsort(place, kind="stable")
-    rest, place = rest[by], place[by]
-    pairs = []
-    for step in range(1, len(rest)):
-        same = np.flatnonzero(place[:-step] == place[step:])
-        if not len(same):
-            break
-        pairs.append(mix(mix(rest[same]) + rest[same + step]))
-    return np.concatenate([rare, *pairs])
-
-
-def _deal(values: np.ndarray, parts: int, *others: np.ndarray) -> Iterator[tuple]:
-    """Rows (bucket, values, ...) with what falls into each bucket as bytes."""
-    bucket = (mix(values) % np.uint64(parts)).astype(np.int64)
+    sigs, leads = [rare], [np.arange(len(rare)) < short]
+    if len(rare) < p:
+        bins = 1 << max(0, (p // 4).bit_length() - 1)
+        rest = tokens[frequent][: p - len(rare) + bins]
+        own = np.arange(len(rest)) < (short - len(rare) + bins if len(rare) < short else 0)
+        place = mix(rest) & np.uint64(max(1, bins // 2) - 1)
+        by = np.argsort(place, kind="stable")
+        rest, own, place = rest[by], own[by], place[by]
+        for step in range(1, len(rest)):
+            same = np.flatnonzero(place[:-step] == place[step:])
+            if not len(same):
+                break
+            sigs.append(mix(mix(rest[same]) + rest[same + step]))
+            leads.append(own[same] & own[same + step])
+    sigs, leads = np.concatenate(sigs), np.concatenate(leads)
+    by = np.lexsort((~leads, sigs))
+    sigs, leads = sigs[by], leads[by]
+    first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    return sigs[first], leads[first]
+
+
+def hot_signatures(hot: np.ndarray) -> np.ndarray:
+    """The signatures of pairs of hot shingles (sorted), sorted."""
+    i, j = np.triu_indices(len(hot), 1)
+    return np.unique(mix(mix(hot[i]) + hot[j]))
+
+
+class Classes:
+    """The frequent class as a bitmap by hash, and the hot shingles."""
+
+    def __init__(self, bits: np.ndarray, hot: np.ndarray):
+        self.bits, self.hot = bits, hot
+
+    @staticmethod
+    def place(tokens: np.ndarray) -> np.ndarray:
+        return (mix(tokens) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        at = self.place(tokens)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _deal(by_value: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Rows (bucket, columns) with what falls into each bucket as bytes."""
+    bucket = (mix(by_value) % np.uint64(parts)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     used, begin = np.unique(bucket[by], return_index=True)
-    for b, lo, hi in zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(by)], strict=True):
-        yield b, *(x[by[lo:hi]].tobytes() for x in (values, *others))
+    for b, lo, hi in zip(used.tolist(), begin.tolist(), np.append(begin, len(by))[1:].tolist(), strict=True):
+        yield b, *(x[by[lo:hi]].tobytes() for x in columns)
 
 
 def _joined(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint64)
 
 
-def frequent_shingles(rows: DataFrame, k: int, percent: int, parts: int) -> np.ndarray:
-    """The shingles in more than RARE_UP_TO documents' prefixes in hash order, at most MOST_FREQUENT of them (8 bytes each to the driver)."""
+def frequent_shingles(rows: DataFrame, k: int, percent: int, parts: int, total: int) -> Classes:
+    """Of the shingles in prefixes in hash order (total occurrences in all): those in more than RARE_UP_TO documents', and the hot ones. Tasks add up their counts, so a
+    frequent shingle comes from each but a few times. The driver gets the bitmap in parts, and fewer than HOT_SHARE shingles."""
+    parts = min(parts, 1 << (CLASS_BITS - 3))
+    width, most = (1 << CLASS_BITS) // parts, max(RARE_UP_TO, total // HOT_SHARE)
+
+    def sent(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(tokens), return_counts=True)
+        bucket = Classes.place(token) // width
+        by = np.argsort(bucket, kind="stable")
+        used, begin = np.unique(bucket[by], return_index=True)
+        cut = [by[lo:hi] for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(by)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (token, n.astype(np.int64)))], ["bucket", "tokens", "counts"])
 
     def emit(batches: Iterator) -> Iterator:
+        held, size = [], 0
         for _, texts in chunks(batches, "data"):
-            tokens = [s[: prefix_length(len(s), percent)] for s in shingle_sets(texts, k) if len(s) > 1]
-            out = list(_deal(np.concatenate(tokens), parts)) if tokens else []
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["bucket", "tokens"])
+            for s in shingle_sets(texts, k):
+                if len(s) > 1:
+                    held.append(s[: prefix_length(len(s), percent)].copy())
+                    size += len(held[-1])
+            if size >= TASK_TOKENS:
+                yield sent(held)
+                held, size = [], 0
+        if held:
+            yield sent(held)
 
     def count(pdf):
-        tokens, n = np.unique(_joined(pdf["tokens"]), return_counts=True)
-        many = n > RARE_UP_TO
-        return pdf.iloc[:0].assign(token=as_long(tokens[:0]), n=n[:0])[["token", "n"]].reindex(range(int(many.sum()))).assign(token=as_long(tokens[many]), n=n[many])
+        import pandas as pd
+
+        token, at = np.unique(_joined(pdf["tokens"]), return_inverse=True)
+        n = np.bincount(at, _joined(pdf["counts"]).view(np.int64), minlength=len(token))
+        bits = np.zeros(width, dtype=np.uint8)
+        bits[Classes.place(token[n > RARE_UP_TO]) % width] = 1
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()], "hot": [token[n > most].tobytes()]})
 
-    counts = rows.mapInArrow(emit, "bucket long, tokens binary").groupBy("bucket").applyInPandas(count, "token long, n long")
-    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-    return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    found = rows.mapInArrow(emit, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInPandas(count, "bucket long, bits binary, hot binary")
+    bits, hot = np.zeros((parts, width // 8), dtype=np.uint8), []
+    for r in found.collect():
+        bits[r["bucket"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+        hot.append(r["hot"])
+    return Classes(bits.reshape(-1), np.sort(_joined(hot)))
 
 
 def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int, one_each: bool = False) -> DataFrame:
@@ -180,7 +245,6 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     all, so what is linked with it reaches null. Rows of one doc_id are one node: with different texts, it has the links of each. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = max(shuffle_parts(spark) * 2, 16)
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(_NO_ID)).cast("long").alias("key"), F.col(text).cast("binary").alias("data"))
 
     def describe(batches: Iterator) -> Iterator:
@@ -199,62 +263,81 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     classes = sets.where("n > 0").groupBy(*same, "class").agg(F.min("key").alias("rep"))
     reps = work_table(classes.select("class", "rep"))
     members = work_table(sets.select("key", *same).join(classes.drop("class"), same, "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, k, percent, parts))
+    total = members.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    parts = 1 << (max(shuffle_parts(spark) * 2, 16, -(-total // GROUP_TOKENS)) - 1).bit_length()
+    shared_classes = spark.sparkContext.broadcast(frequent_shingles(rows, k, percent, parts, total))
 
     def index(batches: Iterator) -> Iterator:
-        known = frequent.value
+        known = shared_classes.value
+        hot_sigs = hot_signatures(known.hot)
         for batch, texts in chunks(batches, "data"):
             found = list(shingle_sets(texts, k))
-            tokens = np.concatenate(found or [known[:0]])
-            at = np.searchsorted(known, tokens)
-            often = known[np.minimum(at, len(known) - 1)] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
+            often = known.frequent(np.concatenate(found or [known.hot[:0]]))
             ends = np.cumsum([len(s) for s in found])
-            sigs = [np.unique(signatures(s, often[e - len(s) : e], percent)) for s, e in zip(found, ends.tolist(), strict=True)]
             # documents with equal sets are told apart no further than by their class, and a chunk's are dealt out once
             classes, first = np.unique(np.array([set_hashes(s)[2] for s in found], dtype=np.int64), return_index=True)
-            sigs = [sigs[i] for i in first.tolist()]
-            classes = np.repeat(classes, [len(s) for s in sigs])
-            out = list(_deal(np.concatenate(sigs or [known[:0]]), parts, classes))
+            made = [signatures(found[i], often[ends[i] - len(found[i]) : ends[i]], percent) for i in first.tolist()]
+            sigs = np.concatenate([s for s, _ in made] or [known.hot[:0]])
+            classes = np.repeat(classes.view(np.uint64), [len(s) for s, _ in made]) | np.concatenate([x for _, x in made] or [often[:0]]).astype(np.uint64)
+            hot = hot_sigs[np.minimum(np.searchsorted(hot_sigs, sigs), len(hot_sigs) - 1)] == sigs if len(hot_sigs) else np.zeros(len(sigs), dtype=bool)
+            # hot signatures are dealt by the document, in groups of their own
+            out = list(_deal(sigs[~hot], parts, sigs[~hot], classes[~hot]))
+            out += [(-1 - b, *x) for b, *x in _deal(classes[hot] >> np.uint64(1), parts, sigs[hot], classes[hot])]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in out], pa.int64()), pa.array([s for _, s, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], ["bucket", "sigs", "classes"])
 
     def shared(pdf):
         import pandas as pd
 
-        sigs, keys = _joined(pdf["sigs"]), _joined(pdf["classes"]).view(np.int64)
+        sigs, keys, hot = _joined(pdf["sigs"]), _joined(pdf["classes"]), bool(pdf["bucket"].iloc[0] < 0)
         by = np.lexsort((keys, sigs))
         sigs, keys = sigs[by], keys[by]
-        same_sig = sigs[1:] == sigs[:-1]
-        first = np.concatenate([[True], ~same_sig | (keys[1:] != keys[:-1])])
+        first = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1])])
         sigs, keys = sigs[first], keys[first]
-        same_sig = sigs[1:] == sigs[:-1]
-        many = np.concatenate([same_sig, [False]]) | np.concatenate([[False], same_sig])
-        sigs, keys = sigs[many], keys[many]
+        if not hot:
+            heads = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]) != 0)
+            many = (np.diff(heads, append=len(sigs)) > 1) & (np.maximum.reduceat(keys & np.uint64(1), heads) == 1) if len(heads) else heads > 0
+            keep = np.repeat(many, np.diff(heads, append=len(sigs)))
+            sigs, keys = sigs[keep], keys[keep]
         heads = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]) != 0)
         sizes = np.diff(heads, append=len(sigs))
-        who = [np.repeat(f.reduceat(mix(keys.view(np.uint64) + np.uint64(salt)), heads), sizes) if len(heads) else sigs for f, salt in ((np.add, 1), (np.bitwise_xor, 2))]
-        return pd.DataFrame({"sig": as_long(sigs), "class": keys, "who": as_long(who[0]), "too": as_long(who[1])})
-
-    found = work_table(rows.mapInArrow(index, "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(shared, "sig long, class long, who long, too long"))
+        who = [np.repeat(f.reduceat(mix(keys + np.uint64(salt)), heads), sizes) if len(heads) else sigs for f, salt in ((np.add, 2), (np.bitwise_xor, 4))]
+        return pd.DataFrame({"sig": as_long(sigs), "class": as_long(keys & ~np.uint64(1)), "leads": (keys & np.uint64(1)) == 1, "hot": hot, "who": as_long(who[0]), "too": as_long(who[1])})
+
+    found = work_table(rows.mapInArrow(index, "bucket long, sigs binary, classes binary").groupBy("bucket").applyInPandas(shared, "sig long, class long, leads boolean, hot boolean, who long, too long"))
+    # of hot signatures, partial sums meet here
+    own = [F.xxhash64(F.lit(i), "class", "leads") for i in (1, 2)]
+    hot = found.where("hot").groupBy("sig").agg(F.count("*").alias("m"), F.max("leads").alias("led"), F.bit_xor(own[0]).alias("who"), F.bit_xor(own[1]).alias("too")).where("m > 1 and led").drop("m", "led")
+    found_too = found.where("not hot").drop("hot").unionByName(found.where("hot").drop("hot", "who", "too").join(hot, "sig"))
     # signatures with the same documents say the same: one of them stays
-    lists = work_table(found.join(found.groupBy("who", "too").agg(F.min("sig").alias("sig")), ["who", "too", "sig"], "left_semi").join(reps, "class").select("sig", F.col("rep").alias("key")).distinct())
+    lists = work_table(found_too.join(found_too.groupBy("who", "too").agg(F.min("sig").alias("sig")), ["who", "too", "sig"], "left_semi").join(reps, "class").groupBy("sig", F.col("rep").alias("key")).agg(F.max("leads").alias("leads")))
     drop_table(found)
     drop_table(reps)
     involved = lists.select("key").distinct()
     texts, texts_name = bucketed_table(rows.join(involved, "key", "left_semi"), "key")
     sketch = work_table(sets.join(involved, "key", "left_semi").select("key", "n", "bits", "fine"))
 
-    leaders = lists.groupBy("sig").agg(F.min("key").alias("a"))
-    stars = lists.join(leaders, "sig").where("key != a").select("a", F.col("key").alias("b")).distinct()
+    most = lists.count() // HOT_SHARE + 1
+
+    def by_signature(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """rows joined with facts (sig, m: its number of rows, ...). Facts of signatures with more than 1 / HOT_SHARE of all rows are broadcast, so that these stay where they lie."""
+        often, seldom = facts.where(F.col("m") > most), facts.where(F.col("m") <= most)
+        return rows.join(F.broadcast(often), "sig").unionByName(rows.join(F.broadcast(often.select("sig")), "sig", "left_anti").join(seldom.hint("merge"), "sig")).drop("m")
+
+    leaders = lists.groupBy("sig").agg(F.count("*").alias("m"), F.min("key").alias("a"))
+    stars = by_signature(lists, leaders).where("key != a").select("a", F.col("key").alias("b")).distinct()
     links = work_table(_links(stars, sketch, texts, k, percent, one_each=True))
     parts_of = connected_components(links)
 
-    placed = lists.join(sketch, "key").join(parts_of.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", "bits", F.coalesce("component", "key").alias("comp"))
-    split = lists.select("sig", "key").join(parts_of.withColumnRenamed("node", "key"), "key", "left").groupBy("sig", F.coalesce("component", "key").alias("comp")).agg(F.count("*").alias("m"))
-    largest = split.groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("sig", F.col("top.comp").alias("main"))
-    placed = work_table(placed.join(largest, "sig").withColumn("minor", F.col("comp") != F.col("main")))
-    left = placed.where("minor").select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("comp").alias("comp_a"))
-    right = placed.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("comp").alias("comp_b"), F.col("minor").alias("minor_b"))
-    cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("comp_a") != F.col("comp_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b"))) & _may_link("a", "b", percent)).select("a", "b").distinct()
+    # documents whose sizes differ by no more than the threshold allows are in the same or neighbouring slots
+    slot = F.floor(F.log(F.col("n")) / max(1.0001 * math.log(100 / percent), 1e-3)).alias("slot")
+    placed = lists.join(sketch, "key").join(parts_of.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "leads", "n", slot, "bits", F.coalesce("component", "key").alias("comp"))
+    split = lists.select("sig", "key").join(parts_of.withColumnRenamed("node", "key"), "key", "left").groupBy("sig", F.coalesce("component", "key").alias("comp")).agg(F.count("*").alias("c"))
+    largest = split.groupBy("sig").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("sig", "m", F.col("top.comp").alias("main"))
+    placed = work_table(by_signature(placed, largest).withColumn("minor", F.col("comp") != F.col("main")))
+    left = placed.where("minor").select("sig", "slot", F.col("key").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "bits", "comp", "leads")))
+    right = placed.select("sig", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "bits", "comp", "leads", "minor")))
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("leads_a") | F.col("leads_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
+    cross = left.join(right, (left["sig"] == right["sig"]) & (left["slot"] == right["slot"]) & apart & _may_link("a", "b", percent)).select("a", "b").distinct()
     more = work_table(_links(cross, sketch, texts, k, percent))
     joined = connected_components(links.union(more))
     out = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))

@@ -111,6 +111,62 @@ def test_jaccard(docs, texts):
     assert got == {i: (len(sets[i]), least[i]) for i in texts}
 
 
+def link_components(sets, percent=80):
+    """Least reachable document of each, and the links, by comparing all pairs of sets."""
+    count = collections.Counter(x for s in sets.values() for x in s)
+    number = {x: k for k, x in enumerate(x for x, n in count.items() if n > 1)}
+    ids = list(sets)
+    has = np.zeros((len(ids), len(number)), dtype=np.float32)
+    for row, i in enumerate(ids):
+        has[row, [number[x] for x in sets[i] if x in number]] = 1
+    size, both = np.array([len(sets[i]) for i in ids]), np.rint(has @ has.T)
+    linked = [(ids[a], ids[b]) for a, b in np.argwhere(100 * both >= percent * (size[:, None] + size - both)) if a < b]
+    least, changed = {i: i for i in ids}, True
+    while changed:
+        changed = False
+        for i, j in linked:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                changed = True
+    return least, linked
+
+
+@pytest.mark.parametrize("hot_share", [2048, 20_000_000])
+def test_jaccard_of_one_boilerplate_and_many_documents(spark, monkeypatch, hot_share):
+    """2,000 different documents around one passage: next to the threshold on both sides, in groups of near copies, and across sizes."""
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", hot_share)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(90)]
+    texts = {i: [*(word() for _ in range(rng.randint(0, 22))), *passage[: 90 - rng.randint(0, 3)], *(word() for _ in range(rng.randint(0, 8)))] for i in range(1700)}
+    for i in range(1700, 2000):
+        near = [*texts[i % 40]]
+        near[rng.randrange(len(near))] = word()
+        texts[i] = near
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    least, linked = link_components(sets)
+    assert len({*least.values()}) > 100 and len(linked) > 1000
+    got = jaccard_join.near_duplicate_components(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(6)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == least
+
+
+def test_signatures_meet():
+    """Whatever the frequent class, two sets at the threshold have a signature in common that one of them leads with."""
+    rng = np.random.default_rng(6)
+    for trial in range(400):
+        n = int(rng.integers(2, 300))
+        m = int(rng.integers(n, n * 5 // 4 + 1))
+        both = -(-80 * (n + m) // 180)
+        if both > n:
+            continue
+        tokens = np.unique(rng.integers(0, 1 << 62, n + m - both).astype(np.uint64))
+        rng.shuffle(tokens)
+        often = {*tokens[rng.random(len(tokens)) < rng.choice([0, 0.5, 0.9, 1])].tolist()}
+        x, y = np.sort(tokens[:n]), np.sort(tokens[n - both :])
+        found = [dict(zip(*(a.tolist() for a in jaccard_join.signatures(t, np.array([v in often for v in t.tolist()], dtype=bool), 80)), strict=True)) for t in (x, y)]
+        assert any(found[0][s] or found[1][s] for s in found[0].keys() & found[1].keys()) or n < 2, trial
+
+
 def test_fine_bitmaps():
     rng = np.random.default_rng(5)
     tokens = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
