@@ -304,6 +304,63 @@ def test_html_without_article(body, want):
     assert [t for t in got if t not in "xyz"] == [t.strip() for t in want]
 
 
+def test_html_names_lower_a_path_and_do_not_ban_it():
+    text = lambda body: html_extract.main_text(f"<body>{body}</body>").split("\n\n")
+    want = [LONG.strip()] * 2
+    assert text(f'<article><p>{LONG}</p><div class="post share"><p>{LONG}</p></div><div class="share"><a>Mail</a> <a>Print</a></div></article>') == want
+    assert text(f'<div class="with sidebar"><div><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>Short, by the side.</p></div></div>') == want
+    assert text(f'<article><p>{LONG}</p><p>{LONG}</p><div class="comments"><p>{LONG}</p></div></article>') == want
+    assert text(f"<article><p>{LONG}</p><p>ok</p><ul><li><a>one</a></li></ul></article>") == [LONG.strip(), "ok", "one"]
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Plain divs: an advert of few words stays out by its path's ratio alone, and comes in when ratios are all the same."""
+    page = f"<body><ul><li><a>Home</a></li><li><a>Shop</a></li></ul><div>Buy now</div><div><p>{LONG}</p><p>And so on, it says.</p></div><div><span>Terms of use</span></div></body>"
+    assert html_extract.main_text(page) == f"{LONG.strip()}\n\nAnd so on, it says."
+    monkeypatch.setattr(html_extract, "fused_ratios", lambda page: np.ones(len(page.blocks)))
+    assert "Buy now" in html_extract.main_text(page)
+
+
+def test_html_scores_against_another_form():
+    """Path scores of a well-formed page, counted with the library's parser and dictionaries."""
+    from html.parser import HTMLParser
+
+    page = f"<html><body><div><h2>A head</h2><p>{LONG}</p><p>Short, this.</p><ul><li><a>x y</a></li><li>plain; text</li></ul></div><div><p>Other. Words!</p></div></body></html>"
+    blocks, stack = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append(tag)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            blocks.append(("/".join(t for t in stack if t != "a"), " ".join(data.split()), "a" in stack))
+
+    Reader().feed(page)
+    by = collections.defaultdict(list)
+    for path, text, _ in blocks:
+        by[path].append(text)
+    mean = {p: (sum(map(len, t)) / len(t), (sum(x.count(c) for x in t for c in ".,;:!?") + 0.5) / len(t)) for p, t in by.items()}
+    row = [mean[p] for p, _, _ in blocks]
+    near = lambda k, i: (row[max(0, k - 1)][i] + 6 * row[k][i] + row[min(len(row) - 1, k + 1)][i]) / 8
+    fused = [(near(k, 0) * near(k, 1)) ** 0.5 for k in range(len(row))]
+    score = {p: np.mean([f for f, b in zip(fused, blocks) if b[0] == p]) for p in by}
+    links = {p: sum(len(b[1]) for b in blocks if b[0] == p and b[2]) / sum(len(b[1]) for b in blocks if b[0] == p) for p in by}
+    got = html_extract.path_scores(html_extract.Page(page))
+    assert got[0] == pytest.approx([score[p] for p, _, _ in blocks]) and got[1] == pytest.approx([links[p] for p, _, _ in blocks])
+    assert got[2] == pytest.approx(html_extract.THRESHOLD * sum(f * len(b[1]) for f, b in zip(fused, blocks)) / sum(len(b[1]) for b in blocks))
+
+
+def test_html_deep_and_long_pages():
+    assert html_extract.main_text("<body>" + "<div>" * 10_000 + "some text, here." + "</div>" * 10_000) == "some text, here."
+    deep = html_extract.main_text("<body>" + "".join(f"<div><b><p>text {i}, here.</li>" for i in range(10_000)))
+    assert deep.split("\n\n") == [f"text {i}, here." for i in range(10_000)]
+    long = "<p>Some <i>words</i> of it, &amp; more.</p>" * 240_000
+    assert len(long) > 10_000_000 and html_extract.main_text(f"<div>{long}</div>") == "\n\n".join(["Some words of it, & more."] * 240_000)
+
+
 def test_empty_tables(spark, docs):
     none = docs.where(F.lit(False))
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int, quality int"), spark.createDataFrame([(1, "some item text of six words")], "item_id long, text string")
