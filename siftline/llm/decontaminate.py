@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Of every document, the places of words of the benchmark's own vocabulary are found once and written to a table; all later steps read that alone, each row for itself, and
-shuffle nothing but sums. Passages (64 words, every 32) of all documents are TF-IDF vectors over this vocabulary, without words that a fifth of all documents have. A randomised SVD
-of the passage matrix (range finding with one power iteration; executors sum A'(A Q), the driver holds vocabulary x rank numbers) gives the latent space, to
-which the items' residual directions are added, so that no item is lost for being rare in the corpus. Passages whose cosine with an item there is high enough are
+Of every document, the places of words of the benchmark's own vocabulary are found once, for all items, and written to a table; all later steps read that alone, each row for itself, and
+shuffle nothing but sums. Items are then taken in blocks. Passages (64 words, every 32) of all documents are TF-IDF vectors over a block's vocabulary, without words that a fifth of all documents have. A randomised SVD
+(range finding with one power iteration; executors sum A'(A Q), the driver holds vocabulary x rank numbers) gives the latent space. The matrix has the passages of all
+documents and, weighing as much as these together, the block's items: words that are rare in the corpus would else have no direction of their own. Items and passages are compared by
+their cosine in that space alone. Passages whose cosine with an item is high enough are
 candidates. Each is settled on the words: the longest common subsequence with windows of the document about as long as the item, and the share of the item's
-answer (its last words, or a column of its own) that is found there. Words that no item has can't be part of one, so the places of the others suffice. Items are taken in
-blocks, each against all documents.
+answer (its last words, or a column of its own) that is found there. Words that no item has can't be part of one, so the places of the others suffice.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ PASSAGE, STRIDE, RANK = 64, 32, 64
 COMMON_SHARE, LEAST_COSINE = 0.2, 0.4
 ALIKE, ALIKE_WITH_ANSWER, ANSWER_FOUND, ANSWER_WORDS = 0.75, 0.55, 0.6, 6
 BLOCK_ITEMS = 400
+#: Words of items that one scan of the documents looks for (8 bytes each to every executor).
+SCAN_WORDS = 4_000_000
 CHUNK_HITS = 1 << 20
 _NO_ID = -(1 << 63)
 
@@ -114,11 +116,16 @@ def _locate(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return at[hit], w[hit]
 
 
-def _hits(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (at, word): where each row's hits begin (and the end), their places and their vocabulary numbers."""
-    at, word = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), dtype=np.int32) for c in ("at", "word"))
-    sizes = batch.column(batch.schema.get_field_index("word"))
-    return np.cumsum([0, *(len(x) // 4 for x in sizes.to_pylist())]), at, word
+def _hits(batch, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (at, word): where each row's hits begin (and the end), their places and their numbers in the block's vocabulary (local: these, or -1, of the scan's)."""
+    at, word = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("at", "word"))
+    begins = np.cumsum([0, *(len(x) // 4 for x in word)])
+    at, word = (np.frombuffer(b"".join(x), dtype=np.int32) for x in (at, word))
+    word = local[word]
+    keep = word >= 0
+    if keep.all():
+        return begins, at, word
+    return np.concatenate([[0], np.cumsum(keep)])[begins], at[keep], word[keep]
 
 
 def _passages(begins: np.ndarray, at: np.ndarray, word: np.ndarray, rare: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,16 +153,18 @@ def _project(number: np.ndarray, word: np.ndarray, idf: np.ndarray, basis: np.nd
     return out
 
 
-def _gram(hits: DataFrame, rare: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) for the matrix A of unit passage vectors: a partial sum a task, added up in a second, much smaller stage, then on the driver."""
-    shape, shared = basis.shape, hits.sparkSession.sparkContext.broadcast((rare, idf.astype(np.float32), basis.astype(np.float32)))
+def _gram(hits: DataFrame, local: np.ndarray, rare: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """A'(A basis) for the matrix A of unit passage vectors, and its number of rows: a partial sum a task, added up in a second, much smaller stage, then on the driver."""
+    shape, shared = basis.shape, hits.sparkSession.sparkContext.broadcast((local, rare, idf.astype(np.float32), basis.astype(np.float32)))
 
     def multiply(batches: Iterator) -> Iterator:
-        rare, idf, basis = shared.value
+        local, rare, idf, basis = shared.value
+        passages = 0
         total = np.zeros(shape)
         for batch, _ in chunks(batches, "word", 2 * CHUNK_HITS):
-            _, _, number, word = _passages(*_hits(batch), rare, PASSAGE)
+            _, _, number, word = _passages(*_hits(batch, local), rare, PASSAGE)
             n = int(number[-1]) + 1 if len(number) else 0
+            passages += n
             norm = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=n))
             y = _project(number, word, idf, basis, n) / np.maximum(norm, 1e-9)[:, None] ** 2
             by = np.argsort(word, kind="stable")
@@ -163,28 +172,26 @@ def _gram(hits: DataFrame, rare: np.ndarray, idf: np.ndarray, basis: np.ndarray)
             for a in range(0, len(used), 512):
                 i, j = heads[a], (heads[a + 512] if a + 512 < len(used) else len(by))
                 total[used[a : a + 512]] += np.add.reduceat(y[number[by[i:j]]], heads[a : a + 512] - i) * idf[used[a : a + 512]][:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()]), pa.array([passages])], ["part", "n"])
 
     def add(batches: Iterator) -> Iterator:
-        total = np.zeros(shape)
+        total, passages = np.zeros(shape), 0
         for batch in batches:
             for part in batch.column(0).to_pylist():
                 total += np.frombuffer(part, dtype=np.float32).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["part"])
+            passages += int(column(batch, "n").sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()]), pa.array([passages])], ["part", "n"])
 
-    parts = hits.mapInArrow(multiply, "part binary").repartition(16).mapInArrow(add, "part binary").collect()
-    return np.sum([np.frombuffer(p[0], dtype=np.float32).reshape(shape) for p in parts], axis=0, dtype=np.float64)
+    parts = hits.mapInArrow(multiply, "part binary, n long").repartition(16).mapInArrow(add, "part binary, n long").collect()
+    return np.sum([np.frombuffer(p["part"], dtype=np.float32).reshape(shape) for p in parts], axis=0, dtype=np.float64), sum(p["n"] for p in parts)
 
 
-def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int) -> DataFrame:
-    """Matches of one block of items (id, text, answer)."""
+def _scan(rows: DataFrame, items: list[tuple[int, bytes, bytes]]) -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
+    """Of items (id, text, answer): the places of all their words in all documents (a work table), each text's and then each answer's words by number, and how many documents have each word."""
     spark = rows.sparkSession
     words, begins = terms([*(t for _, t, _ in items), *(a for _, _, a in items)])
     vocabulary, numbers = np.unique(words, return_inverse=True)
-    parts = [numbers[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-    texts = parts[: len(items)]
-    answers = [a if len(a) else t[-ANSWER_WORDS:] for t, a in zip(texts, parts[len(items) :], strict=True)]
-    known = spark.sparkContext.broadcast(vocabulary)
+    known, size = spark.sparkContext.broadcast(vocabulary), len(vocabulary)
 
     def hit(batches: Iterator) -> Iterator:
         for batch, data in chunks(batches, "data"):
@@ -196,7 +203,6 @@ def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "length", "at", "word"])
 
     hits = work_table(rows.mapInArrow(hit, "key long, length long, at binary, word binary"))
-    size = len(vocabulary)
 
     def frequency(batches: Iterator) -> Iterator:
         total = np.zeros(size, dtype=np.int64)
@@ -204,11 +210,23 @@ def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int)
             word = np.frombuffer(b"".join(data), dtype=np.int32).astype(np.int64)
             doc = np.repeat(np.arange(len(data)), [len(x) // 4 for x in data])
             total += np.bincount(np.unique(doc * size + word) % size, minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], ["word", "n"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["word", "n"])
 
     df = np.zeros(size)
     for r in hits.select("word").mapInArrow(frequency, "word int, n long").groupBy("word").agg(F.sum("n")).collect():
         df[r[0]] = r[1]
+    return hits, [numbers[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], df
+
+
+def _block(hits: DataFrame, ids: list, texts: list[np.ndarray], answers: list[np.ndarray], df: np.ndarray, n_docs: int) -> DataFrame:
+    """Matches of one block of items; texts and answers by the scan's numbers of words."""
+    spark = hits.sparkSession
+    own = np.unique(np.concatenate([*texts, *answers]))
+    size, local = len(own), np.full(len(df), -1, dtype=np.int32)
+    local[own] = np.arange(size)
+    texts, answers, df = [local[t] for t in texts], [local[a] for a in answers], df[own]
+    answers = [a if len(a) else t[-ANSWER_WORDS:] for t, a in zip(texts, answers, strict=True)]
     # items of common words only keep them; else common words say nothing, nor do words of answers alone
     kept = (df <= COMMON_SHARE * n_docs) & np.isin(np.arange(size), np.concatenate(texts))
     needed = [t for t in texts if len(t) and not kept[t].any()]
@@ -227,27 +245,24 @@ def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int)
                 owner.append((i, float(np.linalg.norm(v))))
                 vectors.append(v / owner[-1][1])
     if not vectors:
-        drop_table(hits)
         return spark.createDataFrame([], "key long, item_id long, cosine double, lcs double, answer double")
     queries = np.array(vectors)
     basis = np.random.default_rng(5).standard_normal((len(idf), min(RANK, len(idf))))
     for _ in range(2):
-        basis = np.linalg.qr(_gram(hits, rare, idf, basis))[0]
-    rest = queries - queries @ basis @ basis.T
-    u, s, _ = np.linalg.svd(rest.T, full_matrices=False)
-    basis = np.column_stack([basis, u[:, s > 1e-6]])
+        gram, passages = _gram(hits, local, rare, idf, basis)
+        basis = np.linalg.qr(gram + max(1.0, passages / len(queries)) * (queries.T @ (queries @ basis)))[0]
     latent = queries @ basis
-    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     least = LEAST_COSINE * min(n for _, n in owner)
-    model = spark.sparkContext.broadcast((rare, idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), np.array([i for i, _ in owner])))
-    wanted = spark.sparkContext.broadcast((texts, answers, [i for i, _, _ in items]))
+    model = spark.sparkContext.broadcast((local, rare, idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), np.array([i for i, _ in owner])))
+    wanted = spark.sparkContext.broadcast((texts, answers, ids))
 
     def search(batches: Iterator) -> Iterator:
-        rare, idf, basis, latent, owners = model.value
+        local, rare, idf, basis, latent, owners = model.value
         texts, answers, ids = wanted.value
         settler = Settler(texts, answers, size)
         for batch, _ in chunks(batches, "word", CHUNK_HITS):
-            begins, places, words = _hits(batch)
+            begins, places, words = _hits(batch, local)
             row, at, number, word = _passages(begins, places, words, rare, STRIDE)
             mass = np.sqrt(np.bincount(number, idf[word] ** 2, minlength=len(row)))
             strong = mass >= least * 0.999  # with weights of presence, a cosine of t needs t times the query's length
@@ -269,33 +284,38 @@ def _block(rows: DataFrame, items: list[tuple[int, bytes, bytes]], n_docs: int)
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["key", "item_id", "cosine", "lcs", "answer"])
 
-    done = work_table(hits.mapInArrow(search, "key long, item_id long, cosine double, lcs double, answer double"))
-    drop_table(hits)
-    return done
+    return work_table(hits.mapInArrow(search, "key long, item_id long, cosine double, lcs double, answer double"))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words in order) and answer (share of the answer's): one row for each document that has an item, in full or paraphrased.
 
     Null, empty or white texts and items match nothing. A document with a null doc_id is compared and returned with null. Rows of one doc_id are one document: the best of their
-    matches counts for each. Items repeated with one item_id and text are taken once; null item_id is returned as null. Other columns are ignored. Items go through the driver BLOCK_ITEMS at a time.
+    matches counts for each. Items repeated with one item_id and text are taken once; null item_id is returned as null. Other columns are ignored. One scan of the documents serves all items
+up to SCAN_WORDS words of them; the items of a scan go through the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(_NO_ID)).cast("long").alias("key"), F.col(text).cast("binary").alias("data"))
     n_docs = rows.count()
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"), (F.col(answer) if answer else F.lit(None)).cast("binary").alias("a")).where("t is not null").distinct().orderBy("i", "t")
-    out, block = None, []
-
-    def add(out, block):
-        found = _block(rows, block, n_docs)
-        return found if out is None else out.union(found)
+    out, scan, size = None, [], 0
+
+    def add(out, scan):
+        hits, parts, df = _scan(rows, scan)
+        for lo in range(0, len(scan), BLOCK_ITEMS):
+            hi = min(len(scan), lo + BLOCK_ITEMS)
+            found = _block(hits, [i for i, _, _ in scan[lo:hi]], parts[lo:hi], parts[len(scan) + lo : len(scan) + hi], df, n_docs)
+            out = found if out is None else out.union(found)
+        drop_table(hits)
+        return out
 
     for r in items.toLocalIterator():
-        block.append((r["i"], bytes(r["t"]), bytes(r["a"] or b"")))
-        if len(block) == BLOCK_ITEMS:
-            out, block = add(out, block), []
-    if block:
-        out = add(out, block)
+        scan.append((r["i"], bytes(r["t"]), bytes(r["a"] or b"")))
+        size += len(terms([scan[-1][1] + b" " + scan[-1][2]])[0])
+        if size >= SCAN_WORDS:
+            out, scan, size = add(out, scan), [], 0
+    if scan:
+        out = add(out, scan)
     if out is None:
         out = spark.createDataFrame([], "key long, item_id long, cosine double, lcs double, answer double")
     best = out.groupBy("key", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("best"))

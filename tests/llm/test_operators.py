@@ -285,6 +285,45 @@ def test_html(spark):
     assert got == sorted([("1", main, len(main)), ("1", main, len(main)), ("2", "", 0), ("3", "", 0), ("4", "plain, text", 11), ("None", "", 0)])
 
 
+def test_decontamination_recall_of_paraphrases(spark):
+    """Planted items with up to a quarter of their words replaced, against a search of all windows of all texts; more items than the latent space has dimensions."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7))) for _ in range(1500)]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {i: prose(rng.randint(16, 50)) for i in range(90)}
+    texts = {k: prose(rng.randint(30, 500)) for k in range(300)}
+    for i, t in items.items():
+        changed = [rng.choice(vocab) if rng.random() < (0, 0.1, 0.2, 0.26)[i % 4] else w for w in t]
+        at = rng.randrange(len(texts[3 * i]))
+        texts[3 * i][at:at] = changed
+    want = set()
+    for k, b in texts.items():
+        for i, a in items.items():
+            n, masks = len(a), decontaminate.positions(np.array(a))
+            if len({*a} & {*b}) < 0.3 * n:
+                continue
+            for lo in range(0, max(1, len(b) - n // 2), max(1, n // 4)):
+                window = b[lo : lo + n + n // 4 + 4]
+                share = decontaminate.lcs_length(masks, n, window) / n
+                tail = a[-decontaminate.ANSWER_WORDS :]
+                if share >= decontaminate.ALIKE or share >= decontaminate.ALIKE_WITH_ANSWER and decontaminate.lcs_length(decontaminate.positions(np.array(tail)), len(tail), window) >= decontaminate.ANSWER_FOUND * len(tail):
+                    want.add((k, i))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r[0], r[1]) for r in decontaminate.contaminated_pairs(docs, bench).select("doc_id", "item_id").collect()}
+    assert len(items) > decontaminate.RANK and len(want) > 75 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_blocks_of_items_share_a_scan(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    bench = spark.createDataFrame([(i, " ".join(texts[10].split()[k : k + 40])) for i, k in enumerate((100, 900, 1700, 2500, 3300))], "item_id long, text string")
+    scans = []
+    scan = decontaminate._scan
+    monkeypatch.setattr(decontaminate, "_scan", lambda *a: scans.append(1) or scan(*a))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(docs, bench).collect()} == {(10, i) for i in range(5)}
+    assert len(scans) == 1
+
+
 LONG = "A long sentence of the text, with commas, goes on and on, and says what there is to say about it. " * 6
 
 
