@@ -22,7 +22,7 @@ from ._store import drop_table, work_table
 from ._text import chunks, column, word_hashes
 
 PASSAGE, STRIDE, RANK = 64, 32, 64
-COMMON_SHARE, LEAST_COSINE = 0.2, 0.4
+COMMON_SHARE, LEAST_COSINE = 0.2, 0.5
 ALIKE, ALIKE_WITH_ANSWER, ANSWER_FOUND, ANSWER_WORDS = 0.75, 0.55, 0.6, 6
 BLOCK_ITEMS = 400
 #: Words of items that one scan of the documents looks for (8 bytes each to every executor).
