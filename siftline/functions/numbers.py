@@ -42,6 +42,39 @@ def cents(dollars: Column) -> Column:
     return F.when(dollars <= 0, F.struct(F.lit(0).cast("long").alias("units"), F.lit(2).alias("places"))).when(dollars < 0.01, F.struct(F.floor(dollars * 1000 + 0.5).cast("long").alias("units"), F.lit(3).alias("places"))).otherwise(F.struct(F.floor(dollars * 100 + 0.5).cast("long").alias("units"), F.lit(2).alias("places")))
 
 
+def dollars(amount: Column) -> Column:
+    """$0.00 for nothing, three places below a cent, else two (halves up, by integer arithmetic)."""
+    digits = lambda n, places: F.concat(F.lit("$"), F.floor(n / 10**places).cast("long").cast("string"), F.lit("."), F.lpad((n % 10**places).cast("string"), places, "0"))
+    shown = cents(amount)
+    return F.when(shown["places"] == 3, digits(shown["units"], 3)).otherwise(digits(shown["units"], 2))
+
+
+def dollar_range(low: Column, high: Column) -> Column:
+    """~low-high, one amount if both read the same, null if there is nothing to show."""
+    return F.when(high > 0, F.when(dollars(low) == dollars(high), F.concat(F.lit("~"), dollars(high))).otherwise(F.concat(F.lit("~"), dollars(low), F.lit("-"), F.substring(dollars(high), 2, 30))))
+
+
+def token_logit(emission: Column) -> Column:
+    """Of emissions [drop, keep]: how much keep is ahead."""
+    return F.get(emission, F.lit(1)) - F.get(emission, F.lit(0))
+
+
+def is_on(setting: Column) -> Column:
+    """A lenient flag: 0, false, no and off (in any case, blanks around them) are off, anything else is on; null stays null."""
+    return ~F.lower(F.trim(setting)).isin("0", "false", "no", "off")
+
+
+def positive_int(setting: Column) -> Column:
+    """A strict setting: null stays null; what isn't a whole number over 0 is an error."""
+    number = setting.try_cast("int")
+    return F.when(setting.isNull() | (number > 0), number).otherwise(F.raise_error(F.concat(F.lit("not a positive integer: "), setting)).cast("int"))
+
+
+def sum_or_null(x: Column) -> Column:
+    """A sum; null if it is 0 or there is nothing to sum."""
+    return F.nullif(F.sum(x), F.lit(0))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -73,5 +106,5 @@ def window_length(tokens: Column, prompt_tokens: Column, explicit: Column, adapt
 
 
 def memory_allows(available_mb: Column, weights_mb: Column, least_mb: Column) -> Column:
-    need = F.greatest(F.lit(2048), weights_mb + 768)
-    return (least_mb <= 0) | (available_mb >= F.coalesce(least_mb, need)) if least_mb is not None else available_mb >= need
+    """Room for a cold load: the least asked for (0 or less: no test), else weights and 768 MB, 2,048 at least."""
+    return F.coalesce(least_mb <= 0, F.lit(False)) | (available_mb >= F.coalesce(least_mb, F.greatest(F.lit(2048), weights_mb + 768)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import compact_count
+from .numbers import compact_count, dollar_range
 
 MODES = ("chars", "tokens", "cost", "compact")
 _DOT = " · "
@@ -51,5 +51,18 @@ def compact_line(name: Column, saved_chars: Column, calls: Column, columns: Colu
     return fitting(columns, F.concat_ws(_DOT, name, F.concat(compact_count(saved_chars), F.lit("c")), F.concat(calls.cast("string"), F.lit("p"))), name)
 
 
+def cost_line(name: Column, low: Column, high: Column, calls: Column, columns: Column) -> Column:
+    """As token_line, for costs; the name alone as long as nothing has a price."""
+    cost = dollar_range(low, high)
+    full = F.concat_ws(_DOT, name, F.concat(cost, F.lit(" input cost avoided")), plural(calls, "prune"))
+    return F.when(cost.isNull(), name).otherwise(fitting(columns, full, F.concat_ws(_DOT, name, cost), name))
+
+
+def summary(decision: Column, reason: Column, before: Column, after: Column, millis: Column, backend: Column) -> Column:
+    """decision (reason) · in -> out chars · ms · backend; what is null is left out."""
+    sizes = F.concat(before.cast("string"), F.lit(" -> "), after.cast("string"), F.lit(" chars"))
+    return F.concat_ws(_DOT, F.when(reason.isNotNull(), F.concat(decision, F.lit(" ("), reason, F.lit(")"))).otherwise(decision), sizes, F.concat(millis.cast("string"), F.lit(" ms")), backend)
+
+
 def failure_text(error: Column) -> Column:
     return F.concat(F.lit("pruning failed: "), error, F.lit("; original output follows"))

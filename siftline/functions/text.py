@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 # Line boundaries, words that no focus question is about, and marks that always keep a line.
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 STOP_WORDS = ("about", "after", "before", "does", "find", "from", "ignore", "line", "noise", "that", "the", "this", "what", "when", "where", "which", "with")
-ALWAYS_KEPT = ("needle_sentinel", "[showing lines", "command exited with code")
+ALWAYS_KEPT = ("keep_this_line", "[showing lines", "command exited with code")
 ENVELOPE = r"(?:\n*(?:\[[^\]\n]*\]|Command exited with code -?\d+|Command timed out after [^\n]* seconds|Command aborted)[ \t]*)+\s*$"
 CONTINUATIONS = ("elif", "else", "except", "finally")
 
@@ -41,8 +42,9 @@ def query_tokens(question: Column) -> Column:
     return F.array_distinct(F.concat(raw, parts))
 
 
-def is_relevant(line: Column, tokens: Column) -> Column:
-    return let(F.lower(line), lambda low: low.contains(ALWAYS_KEPT[0]) | low.contains(ALWAYS_KEPT[1]) | low.contains(ALWAYS_KEPT[2]) | F.exists(tokens, lambda t: F.contains(low, t)))
+def is_relevant(line: Column, tokens: Column, marks: tuple[str, ...] = ALWAYS_KEPT) -> Column:
+    """The line, in lower case, has one of the tokens or of the marks (in lower case) that always keep a line."""
+    return let(F.lower(line), lambda low: reduce(lambda x, m: x | low.contains(m), marks, F.exists(tokens, lambda t: F.contains(low, t))))
 
 
 def envelope(text: Column) -> Column:

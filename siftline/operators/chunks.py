@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.text import let
+from ..functions.text import let, lines
 
 TOKEN = "array<struct<start:int,end:int>>"
 
@@ -62,47 +66,113 @@ def clamp_spans(spans: DataFrame) -> DataFrame:
     return spans.select(*[inside(c) if c in ("start", "end") else c for c in spans.columns]).where("end > start")
 
 
+def _line_spans(text: pa.Array) -> pa.Array:
+    spans, cut = [], [0]
+    for t in text.to_pylist():
+        at = 0
+        for line in (t or "").splitlines(keepends=True):
+            spans.append((at, at + len(line.rstrip("\r\n"))))
+            at += len(line)
+        cut.append(len(spans))
+    start, end = (pa.array([s[k] for s in spans], pa.int32()) for k in (0, 1))
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([start, end], ["start", "end"]))
+
+
+def line_spans(text: Column) -> Column:
+    """The character range of every line: without carriage returns and line feeds at its end; other ends of lines count as its text. Linear in the text, over Arrow batches."""
+    return F.arrow_udf(_line_spans, TOKEN)(text)
+
+
 def line_ranges(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """key columns, n (from 1), line, start, end: character range without the line's end, for texts with line feeds."""
-    parts = F.split(F.col(text), "\n", -1)
-    rows = df.select(*keep, F.posexplode(F.arrays_zip(parts.alias("line"), _running(parts).alias("start"))).alias("i", "z"), F.size(parts).alias("m"))
-    return rows.where("NOT (i = m - 1 AND z.line = '')").select(*keep, (F.col("i") + 1).alias("n"), F.col("z.line").alias("line"), F.col("z.start").alias("start"), (F.col("z.start") + F.length("z.line")).alias("end"))
+    """key columns, n (from 1), line, start, end: each line and its character range."""
+    rows = df.select(*keep, F.posexplode_outer(F.arrays_zip(lines(F.col(text)).alias("line"), line_spans(F.col(text)).alias("span"))).alias("i", "z"))
+    return rows.where("z IS NOT NULL").select(*keep, (F.col("i") + 1).alias("n"), F.col("z.line").alias("line"), F.col("z.span.start").alias("start"), F.col("z.span.end").alias("end"))
+
 
+def roll_up(begin: np.ndarray, stop: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines (begin, stop, in order) and distinct spans: for each line the mean score of its spans by overlap, within [0, 1], and whether it has any. A span meets
+    the lines from the first that ends after its start to the last that begins before its end, so the cost is that of the meetings."""
+    first, last = np.searchsorted(stop, start, side="right"), np.searchsorted(begin, end, side="left")
+    times = np.maximum(last - first, 0)
+    span = np.repeat(np.arange(len(start)), times)
+    line = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    weight = np.maximum(np.minimum(stop[line], end[span]) - np.maximum(begin[line], start[span]), 0)
+    total = np.bincount(line, weight, minlength=len(begin))
+    sums = np.bincount(line, score[span] * weight, minlength=len(begin))
+    return np.clip(sums / np.maximum(total, 1), 0.0, 1.0), total > 0
 
-def _running(parts: Column) -> Column:
-    fold = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))
-    return fold["starts"]
 
+def words(text: Column) -> Column:
+    """The texts of word_tokens."""
+    return F.filter(F.split(text, "[ \n]", -1), lambda w: w != "")
 
-def line_scores(spans: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """Mean score of the spans on each line, weighted by overlap, clamped to [0, 1]. An interval join within a key: equi on the key, so it deals out by texts."""
-    s, ln = spans.alias("s"), lines.alias("l")
-    joined = ln.join(s, (F.col(f"s.{key}") == F.col(f"l.{key}")) & (F.col("s.start") < F.col("l.end")) & (F.col("l.start") < F.col("s.end")))
-    weight = F.least("s.end", "l.end") - F.greatest("s.start", "l.start")
-    return joined.groupBy(F.col(f"l.{key}").alias(key), F.col("l.n").alias("n")).agg((F.sum(F.col("s.score") * weight) / F.sum(weight)).alias("score")).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+
+def with_line_scores(df: DataFrame, text: str, scores: str, most: int, overlap: int) -> DataFrame:
+    """df with the column scores (an array of each window's scores of word_tokens; neither it nor text null) replaced by the score of each line, null where a line has none.
+
+    Tokens that several windows have get the mean. It stays within the row: no shuffle, and a cost linear in the text.
+    """
+    stride = most - max(0, min(overlap, most - 1))
+
+    def roll(text: pa.Array, scores: pa.Array) -> pa.Array:
+        spans, ranges, out = _word_spans(text), _line_spans(text), []
+        at, cut = ranges.offsets.to_numpy(), spans.offsets.to_numpy()
+        begin, stop = (ranges.values.field(c).to_numpy() for c in ("start", "end"))
+        start, end = (spans.values.field(c).to_numpy() for c in ("start", "end"))
+        of_doc, flat = scores.offsets.to_numpy(), scores.values
+        of_window, value = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+        for k in range(len(text)):
+            ends = of_window[of_doc[k] : of_doc[k + 1] + 1]
+            sizes = np.diff(ends)
+            token = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.arange(len(sizes)) * stride, sizes)
+            n, score = cut[k + 1] - cut[k], value[ends[0] : ends[-1]] if len(ends) else value[:0]
+            mean = np.bincount(token, score, minlength=n) / np.maximum(np.bincount(token, minlength=n), 1)
+            line, any_ = roll_up(begin[at[k] : at[k + 1]], stop[at[k] : at[k + 1]], start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]], mean)
+            out.append(pa.array(line, pa.float64(), mask=~any_))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays(out or [pa.array([], pa.float64())]))
+
+    def emit(batches: Iterator) -> Iterator:
+        for batch in batches:
+            of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            of[scores] = roll(of[text], of[scores])
+            yield pa.RecordBatch.from_arrays([*of.values()], [*of])
+
+    return df.mapInArrow(emit, StructType([StructField(f.name, ArrayType(DoubleType())) if f.name == scores else f for f in df.schema.fields]))
 
 
 def _pack(lengths: Column, closes) -> Column:
-    """Greedy batches of an array, a new one wherever closes(batch so far, next) holds."""
-    kind = "array<array<int>>"
-    state = F.aggregate(
-        lengths,
-        F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<int>").alias("cur")),
-        lambda s, x: F.when((F.size(s["cur"]) > 0) & closes(s["cur"], x), F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), F.array(x).alias("cur"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["cur"], F.array(x)).alias("cur"))),
-        lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]),
-    )
-    return state
+    """Greedy batches of an array, a new one wherever closes(first, size, longest so far, next) holds; over Arrow batches, since a fold over arrays copies them at every step."""
+
+    def packed(column: pd.Series) -> pd.Series:
+        return column.map(pack)
+
+    def pack(row) -> list | None:
+        done, longest = [], 0
+        for x in row if row is not None else ():
+            if not done or closes(done[-1][0], len(done[-1]), longest, x):
+                done.append([])
+                longest = x
+            done[-1].append(x)
+            longest = max(longest, x)
+        return done if row is not None else None
+
+    return F.pandas_udf(packed, "array<array<int>>")(lengths)
 
 
 def bucket_lengths(lengths: Column, most: int, ratio: float) -> Column:
     """Lengths, sorted, in buckets of at most `most` whose longest is at most `ratio` times the shortest."""
-    return _pack(F.array_sort(lengths), lambda cur, x: (F.size(cur) >= most) | (x > F.get(cur, F.lit(0)) * ratio))
+    return _pack(F.array_sort(lengths), lambda first, size, longest, x: size >= most or x > first * ratio)
 
 
 def split_by_budget(lengths: Column, budget: int) -> Column:
     """Batches, in order, whose count times longest stays within the budget; a longer single stands alone."""
-    return _pack(lengths, lambda cur, x: (F.size(cur) + 1) * F.greatest(F.array_max(cur), x) > budget)
+    return _pack(lengths, lambda first, size, longest, x: (size + 1) * max(longest, x) > budget)
 
 
 def pad(ids: Column, length: Column, filler: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(filler), F.greatest(F.lit(0), length - F.size(ids))))
+
+
+def shifted(spans: Column, by: Column) -> Column:
+    """Spans moved by so many characters, as from a window's text to the whole."""
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))

@@ -113,3 +113,14 @@ def focus_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text
     found = docs.select(T.lines(F.lower(text))).mapInArrow(emit, "at int, hits long, docs long").groupBy("at").agg(F.sum("hits").alias("hits"), F.sum("docs").alias("docs"))
     names = spark.createDataFrame(list(zip(ids.values(), ids, strict=True)), f"at int, {item_id} {items.schema[item_id].dataType.simpleString()}")
     return names.join(F.broadcast(found), "at", "left").select(item_id, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; where both have a key, the right one's."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def batch_rollup(batches: DataFrame, key: str, order: str, sums: tuple = (), greatest: tuple = (), latest: tuple = ()) -> DataFrame:
+    """Statistics of batches by key: sums and maxima of what is there (null if none is), and the last of each that isn't null in the given order."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in latest]
+    return batches.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in greatest), *last)

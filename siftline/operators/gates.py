@@ -14,17 +14,23 @@ MAX_FRAME_BYTES = 16 << 20
 _RETRYABLE = "out of memory|oom|insufficient memory|resource exhausted|failed to allocate|cannot allocate|allocation failed"
 
 
-def decision(text: Column, question: Column, verbatim: Column, budget: Column) -> Column:
-    """small, verbatim, missing-focus-question, query-too-long, empty or prune."""
+def decision(text: Column, question: Column, verbatim: Column, budget: Column, least: int = MIN_CHARS) -> Column:
+    """small, verbatim, missing-focus-question, query-too-long, empty (which only shows with least 0, as when the kernel is called directly) or prune."""
     return (
-        F.when(text.isNull() | (T.utf16_length(text) < MIN_CHARS), "small")
+        F.when(text.isNull() | (T.utf16_length(text) < least), "small")
         .when(verbatim, "verbatim")
         .when(question.isNull() | T.is_blank(question), "missing-focus-question")
         .when(budget < MIN_BUDGET, "query-too-long")
+        .when(text == "", "empty")
         .otherwise("prune")
     )
 
 
+def after_scoring(scores: Column, error: Column) -> Column:
+    """Why a scored text passes through after all: batch-resource-error, no-scored-chunks, or null."""
+    return F.when(is_retryable(error), "batch-resource-error").when(scores.isNull() | (F.size(F.filter(scores, lambda s: s.isNotNull())) == 0), "no-scored-chunks")
+
+
 def split_by_gate(df: DataFrame, gate: str = "gate") -> tuple[DataFrame, DataFrame]:
     """Rows to score and the rest. Apart, since a scorer in a CASE would still run on the rest."""
     return df.where(F.col(gate) == "prune"), df.where(F.col(gate) != "prune")

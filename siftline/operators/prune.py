@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import chunks, repair, scorers
 
 PLACEHOLDER_CHARS = len("(filtered 0 lines)")
 LEAST_CONTENT = 0.05
@@ -81,14 +82,17 @@ def content_chars(text: Column) -> Column:
     return F.aggregate(T.lines(text), F.lit(0), lambda s, x: s + F.when(T.is_blank(x) | T.is_marker(x), 0).otherwise(F.length(x)))
 
 
-def with_floor(text: Column, pruned: Column) -> Column:
-    """struct(text, floor): the pruned text, or the original if under a twentieth of it is left."""
-    kept = lambda p: F.when(content_chars(p) >= F.length(text) * LEAST_CONTENT, F.struct(p.alias("text"), F.lit(None).cast("string").alias("floor"))).otherwise(F.struct(text.alias("text"), F.lit("floor-original").alias("floor")))
-    return T.let(pruned, kept)
+def with_floor(text: Column, pruned: Column, is_python: Column | None = None) -> Column:
+    """struct(text, floor): the pruned text; if under a twentieth of the original is left, the skeleton of Python that has more content than that, else the original."""
+    made = lambda out, floor: F.struct(out.alias("text"), F.lit(floor).cast("string").alias("floor"))
+    original = made(text, "floor-original")
+    bare = lambda left: T.let(skeleton(T.lines(text)), lambda s: F.when(is_python & (content_chars(s) > left), made(s, "floor-python-skeleton")).otherwise(original))
+    return T.let(pruned, lambda p: T.let(content_chars(p), lambda left: F.when(left >= F.length(text) * LEAST_CONTENT, made(p, None)).otherwise(original if is_python is None else bare(left))))
 
 
 def verdict(before: Column, after: Column, passed: Column) -> tuple[Column, Column]:
-    """Decision and reason."""
+    """Decision and reason. passed: why the text passes through, or null; a skeleton is a pruned text."""
+    passed = F.when(passed != "floor-python-skeleton", passed)
     same = before == after
     return F.when(passed.isNotNull() | same, "unchanged").otherwise("pruned"), F.coalesce(passed, F.when(same, "no-lines-removed").otherwise("model"))
 
@@ -103,3 +107,33 @@ def prune_lexical(df: DataFrame, question: str, text: str = "text") -> DataFrame
         return T.let(floored, lambda f: F.struct(x.alias("lines"), kept_numbers(m).alias("kept"), f["text"].alias("pruned"), decided(f)[0].alias("decision"), decided(f)[1].alias("reason")))
 
     return df.withColumn("_p", T.let(T.lines(F.col(text)), kernel)).select(*df.columns, "_p.*")
+
+
+def prune_kernel(df: DataFrame, question: str, scorer: str = "lexical", text: str = "text", most: int = 64, overlap: int = 16, threshold: float = 0.5, prefix: int = 0, repaired: bool = False) -> DataFrame:
+    """df with lines, scores, kept, pruned, floor, repair, decision and reason: the whole kernel.
+
+    Words in overlapping windows are scored window by window (scorer: a registered name), equal spans merged, rolled up to lines, cut at the threshold, bridged, rendered,
+    repaired if asked for and Python, put above the floor and judged. All of it stays in the text's row: no shuffle. Null text: passes through as no-scored-chunks.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumn("_t", whole)
+    windows = chunks.token_windows(chunks.words(F.col("_t")), most, overlap)
+    scored = F.transform(windows, lambda w: scorers.get(scorer)(w["tokens"], F.lit(question)))
+    out = chunks.with_line_scores(out.withColumn("scores", scored), "_t", "scores", most, overlap).withColumn("lines", T.lines(F.col("_t")))
+    out = out.withColumn("_mask", bridge_gaps(threshold_mask(F.col("scores"), threshold, prefix))).withColumn("kept", kept_numbers(F.col("_mask")))
+    out = out.withColumn("_plain", render_plain(F.col("lines"), F.col("_mask")))
+    python = F.lit(False)
+    if repaired:
+        # the tests and the repair run on rows that may be Python only; the others give them empty texts
+        maybe = F.when(repair.may_be_python(F.col("_t")), F.col("_t")).otherwise(F.lit(""))
+        out = out.withColumn("_python", repair.parses_udf(maybe) & repair.may_be_python(F.col("_t")))
+        out = out.withColumn("_r", repair.repair_udf(F.when(F.col("_python"), F.col("_t")).otherwise(F.lit("")), F.when(F.col("_python"), F.col("kept")).otherwise(F.array().cast("array<int>"))))
+        fixed = F.col("_python") & (F.col("_r.status") == "ok")
+        out = out.withColumn("repair", F.when(F.col("_python"), F.col("_r.status"))).withColumn("_plain", F.when(fixed, F.col("_r.code")).otherwise(F.col("_plain")))
+        python = F.col("_python")
+    else:
+        out = out.withColumn("repair", F.lit(None).cast("string"))
+    passed = F.when(~F.exists("scores", lambda s: s.isNotNull()), F.lit("no-scored-chunks"))
+    out = out.withColumn("_f", F.when(passed.isNotNull(), F.struct(F.col("_t").alias("text"), F.lit(None).cast("string").alias("floor"))).otherwise(with_floor(F.col("_t"), F.col("_plain"), python)))
+    judged = verdict(F.col("_t"), F.col("_f.text"), F.coalesce(passed, F.col("_f.floor")))
+    return out.select(*df.columns, "lines", "scores", "kept", F.col("_f.text").alias("pruned"), F.col("_f.floor").alias("floor"), "repair", judged[0].alias("decision"), judged[1].alias("reason"))

@@ -66,8 +66,8 @@ def rules_of(tree: ast.Module, lines: list[str]) -> list[Rule]:
         elif isinstance(node, _FLOW):
             rules.append(Rule(node.lineno, node.end_lineno, _head(node, node.lineno), "enclosing_control_flow"))
         elif isinstance(node, _TRIES):
-            parts = {node.lineno}.union(*(_head(h, h.lineno) for h in node.handlers), _word_above(lines, node.orelse, "else"), _word_above(lines, node.finalbody, "finally"))
-            rules.append(Rule(node.lineno, node.end_lineno, parts, "enclosing_try"))
+            parts = {"control_flow": {node.lineno}, "try:except": set().union(*(_head(h, h.lineno) for h in node.handlers)), "try:else": _word_above(lines, node.orelse, "else"), "try:finally": _word_above(lines, node.finalbody, "finally")}
+            rules += [Rule(node.lineno, node.end_lineno, found, f"enclosing_{kind}") for kind, found in parts.items() if found]
         elif node.end_lineno > node.lineno:
             rules.append(Rule(node.lineno, node.end_lineno, _span(node), "statement_integrity"))
     symbols: dict[str, ast.stmt] = {}
@@ -154,14 +154,30 @@ def repair(code: str, kept: list[int]) -> dict:
     """kept, reasons (line: sorted list), code and parses; status ok, input-parse-failed or repair-parse-failed. On failure callers use the unrepaired text."""
     lines = code.splitlines()
     start = {n for n in kept if 1 <= n <= len(lines)}
-    if not _parses(code):
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
         return {"kept": sorted(start), "reasons": {}, "code": None, "parses": False, "status": "input-parse-failed"}
-    reasons = grow(start, lines, ast.parse(code))
+    reasons = grow(start, lines, tree)
     out = render(lines, set(reasons))
     ok = _parses(out)
     return {"kept": sorted(reasons), "reasons": {n: sorted(r) for n, r in reasons.items()}, "code": out, "parses": ok, "status": "ok" if ok else "repair-parse-failed"}
 
 
+def nodes(code: str) -> list[tuple[int, int, str, str | None]]:
+    """first line, last line, kind and name of every statement of a source, outermost first; none if it doesn't parse."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return []
+    return [(_top(n), n.end_lineno, type(n).__name__, getattr(n, "name", None)) for n in ast.walk(tree) if isinstance(n, ast.stmt)]
+
+
+def nodes_udf(code: Column | str) -> Column:
+    """nodes() on columns: explode it for a row a node."""
+    return F.pandas_udf(lambda codes: codes.map(nodes), "array<struct<first:int,last:int,kind:string,name:string>>")(code)
+
+
 def _repairs(code: pd.Series, kept: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repair(c, list(k)) for c, k in zip(code, kept, strict=True)], columns=["kept", "reasons", "code", "parses", "status"])
 
@@ -209,13 +225,26 @@ def viterbi_udf(emissions: Column | str, transitions: Column, start: Column, end
     return F.pandas_udf(_decoded, "array<int>")(emissions, transitions, start, end)
 
 
+class BatchFailed(RuntimeError):
+    """An item of a retried batch failed on its own: how many items there were, how many had been scored, and both errors."""
+
+    def __init__(self, size: int, done: int, first: Exception, last: Exception):
+        super().__init__(f"item {done + 1} of a batch of {size} failed alone: {last!r}; the batch before: {first!r}")
+        self.size, self.done, self.first, self.last = size, done, first, last
+
+
 def with_retries(batches: list[list], score, is_retryable) -> Iterator[tuple[object, bool]]:
-    """Scores of items batch by batch; a batch that fails retryably is scored item by item. Yields (score, whether it was retried); other errors, and an item's own, are raised."""
+    """Scores of items batch by batch; a batch that fails retryably is scored item by item. Yields (score, whether it was retried); other errors are raised, and an item's own as BatchFailed."""
     for batch in batches:
         try:
             results = [(r, False) for r in score(batch)]
         except Exception as error:
             if len(batch) < 2 or not is_retryable(error):
                 raise
-            results = [(score([x])[0], True) for x in batch]
+            results = []
+            for x in batch:
+                try:
+                    results.append((score([x])[0], True))
+                except Exception as own:
+                    raise BatchFailed(len(batch), len(results), error, own) from own
         yield from results

@@ -21,6 +21,6 @@ def get(name: str) -> Scorer:
     return _scorers[name]
 
 
-register("lexical", lambda lines, question: F.transform(lines, lambda x: F.when(T.is_relevant(x, T.query_tokens(question)), 1.0).otherwise(0.0)))
+register("lexical", lambda lines, question: T.let(T.query_tokens(question), lambda known: F.transform(lines, lambda x: F.when(T.is_relevant(x, known), 1.0).otherwise(0.0))))
 register("constant", lambda lines, question: F.transform(lines, lambda x: F.lit(1.0)))
 register("drop", lambda lines, question: F.transform(lines, lambda x: F.when(F.replace(x, F.lit(" the"), F.lit("")) == x, 1.0).otherwise(0.0)))

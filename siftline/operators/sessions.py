@@ -57,3 +57,8 @@ def last_original(calls: DataFrame, session: str, order: str, text: str) -> Data
 def restored(entries: DataFrame, session: str, order: str, *fields: str) -> DataFrame:
     """Each field's last value that isn't null."""
     return entries.groupBy(session).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields))
+
+
+def unloads(spans: DataFrame, ttl_seconds: int) -> DataFrame:
+    """When the last open lease ends, and so what serves them is to be unloaded: ts, each once, however leases race."""
+    return open_leases(spans, ttl_seconds).where("open = 0").select("ts")

@@ -49,13 +49,13 @@ LINES = """L AS (
   FROM (SELECT doc_id, text, CASE WHEN suffix(text, chr(10)) THEN string_split(text[:-2], chr(10)) ELSE string_split(text, chr(10)) END AS x FROM documents))"""
 
 
-def _mask_sql(tokens: tuple[str, ...]) -> str:
+def _mask_sql(tokens: tuple[str, ...], kept: str | None = None) -> str:
     return f"""{LINES},
-K AS (SELECT *, trim(line) = '' AS blank, {_relevant('line', tokens)} AS k0 FROM L),
+K AS (SELECT *, trim(line) = '' AS blank, {kept or _relevant('line', tokens)} AS k0 FROM L),
 M AS (SELECT *, k0 OR (coalesce(lag(k0) OVER w, false) AND coalesce(lead(k0) OVER w, false)) AS k FROM K WINDOW w AS (PARTITION BY doc_id ORDER BY n))"""
 
 
-_RENDER_SQL = f"""WITH {_mask_sql(TOKENS)},
+_RENDERED = """,
 E AS (SELECT *, k AND NOT blank AS emit, sum(CASE WHEN k AND NOT blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM M),
 G AS (SELECT doc_id, island, count(*) AS cnt, sum(CASE WHEN blank THEN 0 ELSE length(line) END) AS chars, string_agg(line, chr(10) ORDER BY n) AS body, max(n) = max(m) AS at_end FROM E WHERE NOT emit GROUP BY ALL),
 P AS (
@@ -65,6 +65,7 @@ R AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY pos) AS out FROM P GROUP BY
 C AS (SELECT doc_id, sum(length(s)) AS content FROM (SELECT doc_id, unnest(string_split(out, chr(10))) AS s FROM R) WHERE trim(s) <> '' AND NOT starts_with(trim(s), '[pruned') AND NOT starts_with(trim(s), '(filtered ') GROUP BY doc_id),
 D AS (SELECT d.doc_id, d.text, CASE WHEN coalesce(content, 0) >= 0.05 * length(d.text) THEN out ELSE d.text END AS fin, coalesce(content, 0) < 0.05 * length(d.text) AS floored FROM documents d JOIN R USING (doc_id) LEFT JOIN C USING (doc_id)),
 N AS (SELECT doc_id, count(*) FILTER (k) AS kept_lines FROM M GROUP BY doc_id)"""
+_RENDER_SQL = f"WITH {_mask_sql(TOKENS)}{_RENDERED}"
 _DECIDED = "CASE WHEN floored OR fin = text THEN 'unchanged' ELSE 'pruned' END AS decision, CASE WHEN floored THEN 'floor-original' WHEN fin = text THEN 'no-lines-removed' ELSE 'model' END AS reason"
 
 
@@ -100,7 +101,19 @@ def prune_trace_render(spark, sf_dir):
     return docs.select("doc_id", F.size(prune.kept_numbers(F.col("mask"))).cast("long").alias("kept_lines"), F.sha2(prune.render_marked(F.col("text"), F.col("x"), F.col("mask")), 256).alias("out_sha"))
 
 
-@query(f"WITH {LINES} SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT item_id, regexp_extract(lower(text), '[a-z0-9_]{{7,}}') AS token FROM benchmark) JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9_]{{7,}}'))) AS token FROM L) USING (token) WHERE token <> '' GROUP BY item_id")
+_STOPPED = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"""WITH {LINES},
+R AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark),
+K AS (SELECT item_id, t FROM R WHERE length(t) > 3 AND t NOT IN ({_STOPPED})),
+P AS (SELECT item_id, unnest(string_split(t, '_')) AS t FROM K),
+F AS (SELECT item_id, t FROM K UNION SELECT item_id, t FROM P WHERE length(t) > 3),
+W AS (SELECT DISTINCT doc_id, n, unnest(regexp_extract_all(lower(line), '[a-z0-9_]+')) AS word FROM L),
+U AS (SELECT DISTINCT word FROM W),
+M AS (SELECT DISTINCT item_id, word FROM F JOIN U ON contains(word, t)),
+H AS (SELECT item_id, doc_id, n FROM M JOIN W USING (word) UNION SELECT item_id, doc_id, n FROM benchmark, L WHERE {_relevant('line', ())})
+SELECT item_id, count(n) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN H USING (item_id) GROUP BY item_id""")
 def prune_by_benchmark_query(spark, sf_dir):
     return evaluate.focus_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -163,23 +176,33 @@ Q AS (SELECT B.doc_id, n, least(1, greatest(0, sum(score * (least(stop, hi) - gr
 
 
 def _line_scores(spark, sf_dir):
-    lines = chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return lines, chunks.line_scores(chunks.merge_scores(_spans(spark, sf_dir), "doc_id"), lines, "doc_id")
+    """doc_id and a score a line (null: none), from the same spans as _spans, within the row."""
+    scores = F.transform(chunks.token_windows(chunks.words(F.col("text")), 64, 16), lambda w: F.transform(w["tokens"], lambda t: (F.length(t) % 5 + w["idx"] % 2) / 4.0))
+    return chunks.with_line_scores(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), scores.alias("scores")), "text", "scores", 64, 16)
 
 
 @query(f"WITH {_LINE_SCORES} SELECT doc_id, n, round(CAST(score AS DOUBLE), 6) AS score FROM Q")
 def line_scores(spark, sf_dir):
-    return _line_scores(spark, sf_dir)[1].select("doc_id", F.col("n").cast("long"), F.round("score", 6).alias("score"))
+    return _line_scores(spark, sf_dir).select("doc_id", F.posexplode_outer("scores").alias("i", "s")).where("s IS NOT NULL").select("doc_id", (F.col("i") + 1).cast("long").alias("n"), F.round("s", 6).alias("score"))
 
 
 @query(f"WITH {_LINE_SCORES}, Z AS (SELECT doc_id, n, n <= 1 OR coalesce(score, 0) >= 0.5 AS keep FROM B LEFT JOIN Q USING (doc_id, n)) SELECT doc_id, count(*) AS line_count, count(*) FILTER (keep) AS kept FROM Z GROUP BY doc_id")
 def threshold_mask(spark, sf_dir):
-    lines, scores = _line_scores(spark, sf_dir)
-    keep = (F.col("n") <= 1) | (F.coalesce("score", F.lit(0.0)) >= 0.5)
-    return lines.join(scores, ["doc_id", "n"], "left").groupBy("doc_id").agg(F.count("*").alias("line_count"), F.count_if(keep).alias("kept"))
+    kept = prune.kept_numbers(prune.threshold_mask(F.col("scores"), 0.5, 1))
+    return _line_scores(spark, sf_dir).select("doc_id", F.size("scores").cast("long").alias("line_count"), F.size(kept).cast("long").alias("kept"))
+
+
+#: A line's score: the share of its words' characters that is in words with a focus token.
+_SHARE = "coalesce(list_sum(list_transform(list_filter(string_split(line, ' '), lambda x: x <> ''), lambda x: CASE WHEN {hit} THEN length(x) ELSE 0 END)) / list_sum(list_transform(string_split(line, ' '), lambda x: length(x))), 0) >= 0.05".format(hit=_relevant("x", TOKENS))
+
+
+@query(f"WITH {_mask_sql(TOKENS, _SHARE)}{_RENDERED} SELECT D.doc_id, {_DECIDED}, CASE WHEN floored THEN 'floor-original' END AS floor, CAST(kept_lines AS BIGINT) AS kept_lines, CAST(length(fin) AS BIGINT) AS out_chars, sha256(fin) AS out_sha FROM D JOIN N USING (doc_id)")
+def prune_kernel(spark, sf_dir):
+    got = prune.prune_kernel(table(spark, sf_dir, "documents").select("doc_id", "text"), QUESTION, threshold=0.05)
+    return got.select("doc_id", "decision", "reason", "floor", F.size("kept").cast("long").alias("kept_lines"), F.length("pruned").cast("long").alias("out_chars"), F.sha2("pruned", 256).alias("out_sha"))
 
 
-@query(f"WITH {_LINE_SCORES} SELECT doc_id, n, CAST(hi - lo AS BIGINT) AS chars FROM B WHERE hi > lo AND lo >= 0 AND n % 3 = 0")
+@query(f"WITH {_LINE_SCORES} SELECT doc_id, n, CAST(hi - lo AS BIGINT) AS chars FROM B WHERE hi > lo AND lo >= 0")
 def span_filters(spark, sf_dir):
     # each line's span, and it turned round, begun before the text and ended after it, which are to be dropped
     lines = chunks.line_ranges(table(spark, sf_dir, "documents").withColumn("length", F.length("text")), "text", "doc_id", "length")
@@ -223,6 +246,23 @@ def skeleton(spark, sf_dir):
     return _sources(spark, sf_dir).select("doc_id", prune.skeleton(F.col("x")).alias("skeleton"))
 
 
+@query(f"""WITH {_CODE_SQL},
+S AS (SELECT *, regexp_matches(line, '^\\s*(import |from |def |async def |class |@)') AS k FROM CL),
+E AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY n), false) AS prev, max(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS begun FROM S),
+B AS (SELECT doc_id, string_agg(CASE WHEN k THEN line ELSE '[pruned]' END, chr(10) ORDER BY n) AS bare FROM E WHERE k OR (prev AND begun = 1) GROUP BY doc_id),
+Z AS (SELECT doc_id, bare, array_to_string(x, chr(10)) AS code FROM C JOIN B USING (doc_id))
+SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'floor-python-skeleton' WHEN 0 THEN NULL ELSE 'floor-original' END AS floor,
+CASE doc_id % 4 WHEN 1 THEN 'pruned' WHEN 0 THEN 'pruned' ELSE 'unchanged' END AS decision, sha256(CASE doc_id % 4 WHEN 0 THEN code[1:60] WHEN 1 THEN bare WHEN 2 THEN code ELSE replace(code, 'def ', 'fed ') END) AS sha FROM Z""")
+def floor_skeleton(spark, sf_dir):
+    # enough is left; nearly nothing of Python; nothing of a text that is said not to be Python; nearly nothing of what doesn't parse
+    kind, code = F.col("doc_id") % 4, F.array_join("x", "\n")
+    rows = _sources(spark, sf_dir).select("doc_id", F.when(kind == 3, F.replace(code, F.lit("def "), F.lit("fed "))).otherwise(code).alias("code"))
+    rows = rows.withColumn("python", (kind != 2) & repair.may_be_python(F.col("code")) & repair.parses_udf("code"))
+    left = F.when(kind == 0, F.substring("code", 1, 60)).otherwise(F.lit("x\n(filtered 9 lines)"))
+    rows = rows.withColumn("f", prune.with_floor(F.col("code"), left, F.col("python")))
+    return rows.select("doc_id", "f.floor", prune.verdict(F.col("code"), F.col("f.text"), F.col("f.floor"))[0].alias("decision"), F.sha2("f.text", 256).alias("sha"))
+
+
 @query(f"WITH {_CODE_SQL} SELECT doc_id, n, CAST(length(regexp_extract(line, '^\\s*')) AS BIGINT) AS indent, suffix(rtrim(CASE WHEN contains(line, '#') THEN split_part(line, '#', 1) ELSE line END), ':') AS opens, regexp_matches(trim(line), '^(elif|else|except|finally)($|[ :(])') AS continues, contains(line, 'def ') OR contains(line, 'class ') OR contains(line, 'import ') AS maybe FROM CL")
 def python_like_lines(spark, sf_dir):
     rows = _sources(spark, sf_dir).select("doc_id", F.posexplode("x").alias("i", "line"))
@@ -419,7 +459,7 @@ def relevance_softmax(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(N.yes_probability(N.dot(F.col("embedding"), anchor(3, 1)), N.dot(F.col("embedding"), anchor(5, 2))), 6).alias("relevance"))
 
 
-@query("WITH D AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}'))) AS name FROM documents), N AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{5,}')) AS name FROM benchmark) SELECT doc_id, count(*) AS names, count(*) FILTER (name IN (SELECT name FROM N)) AS known FROM D GROUP BY doc_id")
+@query("WITH D AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\\pL\\p{Nd}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*')))) AS name FROM documents), N AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(text, '[\\pL\\p{Nd}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM benchmark) SELECT doc_id, count(*) AS names, count(*) FILTER (name IN (SELECT name FROM N)) AS known FROM D GROUP BY doc_id")
 def identifier_refs(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
     known = table(spark, sf_dir, "benchmark").select(F.explode(T.identifiers(F.col("text"))).alias("name")).distinct().withColumn("known", F.lit(True))
@@ -573,3 +613,101 @@ def stream_leases(spark, sf_dir):
     from ..streaming import replay
 
     return replay.leases(spark, f"{sf_dir}/events.parquet")
+
+
+_OPS = ("enable", "prune", "heartbeat", "prune", "disable", "prune", "enable")
+
+
+@query()
+def session_replies(spark, sf_dir):
+    from ..streaming import replay
+
+    def ops(rows):
+        step = F.col("turn") % len(_OPS)
+        return rows.select(
+            F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), (F.col("turn") * 40 + F.floor((F.col("turn") + 1) / 5) * 60).cast("double").alias("ts"),
+            F.element_at(F.lit(list(_OPS)), (step + 1).cast("int")).alias("op"), "text", ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("fails"),
+        )
+
+    got = replay.replies(spark, f"{sf_dir}/conversations.parquet", ops, 90)
+    return got.select("session", "seq", "op", "ok", "error", "backend", F.sha2("original", 256).alias("original_sha"), "closed")
+
+
+@query(f"WITH {_LEASES_SQL}, V AS (SELECT ts, sum(step) AS step FROM (SELECT opened AS ts, 1 AS step FROM S UNION ALL SELECT last_beat + INTERVAL 6 HOUR, -1 FROM S) GROUP BY ts) SELECT epoch_us(ts) AS ts FROM (SELECT ts, sum(step) OVER (ORDER BY ts) AS o FROM V) WHERE o = 0")
+def unload_times(spark, sf_dir):
+    return sessions.unloads(_leases(spark, sf_dir), 6 * 3600).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'batch-resource-error' WHEN turn % 3 = 1 THEN 'no-scored-chunks' END AS passed, CASE WHEN turn % 4 = 0 THEN 'empty' ELSE 'prune' END AS gate FROM conversations")
+def score_gates(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    k = F.col("turn") % 3
+    scores = F.when(k == 0, F.lit(None).cast("array<double>")).when(k == 1, F.array(F.lit(None).cast("double"))).otherwise(F.array(F.lit(0.5)))
+    error = F.when(k == 0, F.lit("CUDA: Out of Memory")).when(k == 1, F.lit("no such file"))
+    text = F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", gates.after_scoring(scores, error).alias("passed"), gates.decision(text, F.lit(QUESTION), F.lit(False), F.lit(1000), least=0).alias("gate"))
+
+
+@query("""WITH X AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s FROM lineitem),
+Y AS (SELECT *, p * 10 + s AS hi, (p * 10 + s) // 2 AS lo FROM X)
+SELECT l_orderkey, l_linenumber, CASE WHEN hi <= 0 THEN NULL WHEN lo = hi THEN '~$' || hi // 100 || '.' || lpad(CAST(hi % 100 AS VARCHAR), 2, '0') ELSE '~$' || lo // 100 || '.' || lpad(CAST(lo % 100 AS VARCHAR), 2, '0') || '-' || hi // 100 || '.' || lpad(CAST(hi % 100 AS VARCHAR), 2, '0') END AS cost,
+'pruned (model) · ' || p || ' -> ' || s || ' chars' || CASE WHEN l_linenumber % 2 = 0 THEN ' · ' || l_linenumber || ' ms' ELSE '' END || ' · lexical' AS summary, p - s AS logit, l_linenumber % 2 = 0 AS enabled, CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_linenumber AS INT) END AS width FROM Y""")
+def report_fields(spark, sf_dir):
+    from ..functions import status as S
+
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_partkey").cast("long").alias("p"), c("l_suppkey").cast("long").alias("s"))
+    high = (c("p") * 10 + c("s")).cast("long")
+    even = c("l_linenumber") % 2 == 0
+    return rows.select(
+        "l_orderkey", "l_linenumber", N.dollar_range(F.floor(high / 2) / 100, high / 100).alias("cost"),
+        S.summary(F.lit("pruned"), F.lit("model"), c("p"), c("s"), F.when(even, c("l_linenumber")), F.lit("lexical")).alias("summary"),
+        N.token_logit(F.array(c("s"), c("p"))).alias("logit"), N.is_on(F.when(even, " Yes ").otherwise(" OFF")).alias("enabled"), N.positive_int(F.when(c("l_linenumber") % 3 > 0, c("l_linenumber").cast("string"))).alias("width"),
+    )
+
+
+@query("""SELECT conv_id, '{"a":{"b":' || max(turn) || ',"z":[{"c":1,"d":' || count(*) || '}]},"n":"x"}' AS stable, 'user,assistant' AS strings, '0=a,1=c,2=d' AS merged, string_agg(DISTINCT role, ',' ORDER BY role) AS backends, nullif(CAST(sum(CASE WHEN conv_id % 3 = 0 THEN 0 ELSE turn END) AS BIGINT), 0) AS total, '5-9' AS shifted FROM conversations GROUP BY conv_id""")
+def json_and_maps(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("t"), F.count("*").alias("c"), F.array_sort(F.collect_set("role")).alias("roles"), N.sum_or_null(F.when(F.col("conv_id") % 3 == 0, 0).otherwise(F.col("turn"))).alias("total"))
+    value = F.format_string('{"n": "x", "a": {"z": [{"d": %d, "c": 1}], "b": %d}}', F.col("c"), F.col("t"))
+    merged = evaluate.merged_maps(F.create_map(F.lit(0), F.lit("a"), F.lit(1), F.lit("b")), F.create_map(F.lit(1), F.lit("c"), F.lit(2), F.lit("d")))
+    shifted = T.let(chunks.shifted(F.array(F.struct(F.lit(1).alias("start"), F.lit(5).alias("end"))), F.lit(4)), lambda a: F.concat_ws("-", F.get(a, F.lit(0))["start"].cast("string"), F.get(a, F.lit(0))["end"].cast("string")))
+    return rows.select(
+        "conv_id", requests.stable_json(value).alias("stable"), F.array_join(requests.string_list(F.lit('["user", 3, null, "assistant", ["x"]]')), ",").alias("strings"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("merged"), F.array_join("roles", ",").alias("backends"), "total", shifted.alias("shifted"),
+    )
+
+
+@query(f"WITH {_CALLS_SQL} SELECT conv_id, CAST(sum(CASE WHEN turn % 3 = 0 THEN b END) AS BIGINT) AS padded, CAST(sum(a) AS BIGINT) AS scored, max(CASE WHEN turn % 2 = 1 THEN b END) AS peak, arg_max(b, turn) AS active, max(a) AS best FROM T GROUP BY conv_id")
+def batch_rollup(spark, sf_dir):
+    rows = _calls(spark, sf_dir).select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("before")).alias("padded"), F.col("after").alias("scored"), F.when(F.col("turn") % 2 == 1, F.col("before")).alias("peak"), F.col("before").alias("active"), F.col("after").alias("best"))
+    return evaluate.batch_rollup(rows, "conv_id", "turn", sums=("padded", "scored"), greatest=("peak", "best"), latest=("active",))
+
+
+@query("SELECT n, 'line ' || n || CASE WHEN n = 400 THEN ' holds the answer' ELSE ' of noise' END AS line FROM (SELECT unnest(range(1, 432)) AS n)")
+def synthetic_case(spark, sf_dir):
+    return requests.tail_case(spark, 431, 400)
+
+
+@query("SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM conversations WHERE length(text) >= 20")
+def case_files(spark, sf_dir):
+    import uuid
+
+    from ..streaming.replay import folder
+
+    path = f"{folder(spark)}/cases-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("what is it about").alias("goal"), F.col("text").alias("output"))).alias("value"))
+    rows.where("turn % 2 = 0").select("value").write.text(f"{path}/lines")
+    listed = rows.where("turn % 2 = 1").groupBy("conv_id").agg(F.array_join(F.collect_list("value"), ",").alias("v"))
+    listed.select(F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("["), "v", F.lit("]"))).otherwise(F.concat(F.lit('{"records": ['), "v", F.lit("]}"))).alias("value"), "conv_id").repartition("conv_id").write.partitionBy("conv_id").option("lineSep", "\n").text(f"{path}/whole")
+    found = requests.read_records(spark, f"{path}/lines", lines=True).unionByName(requests.read_records(spark, f"{path}/whole/*/*.txt"))
+    key = F.split("case_id", ":")
+    return requests.cases(found).select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, turn % 3 <> 1 AS ok FROM conversations WHERE turn % 3 <> 2")
+def stream_responses(spark, sf_dir):
+    from ..streaming import replay
+
+    asked = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 3 == 2, " ").otherwise(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 3 == 1, "dance").otherwise("status").alias("op")))).alias("value"))
+    return replay.responses(spark, asked).select("id", "ok")

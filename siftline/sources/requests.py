@@ -12,10 +12,53 @@ from pyspark.sql.functions import udtf
 from ..operators.gates import MAX_FRAME_BYTES
 
 REQUEST = "id bigint, op string, text string, query string, _corrupt string"
+# Names of the fields that hold a question and a text, first ones first, and of lists of records.
 QUERY_KEYS = ("query", "goal_hint", "goal", "hint", "context_focus_question", "question")
 TEXT_KEYS = ("code", "text", "observation", "output", "tool_output", "content", "stdout")
 
 
+RECORD_KEYS = ("cases", "records", "trajectories", "data")
+
+
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of JSON files (lines: of JSON lines) as (path, pos, value): those of a list, of the first list below one of RECORD_KEYS, else the object itself. Blank lines and
+    what is no JSON give none. A file of lines is read in splits; other files are read whole, as a JSON document must be."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), "value")
+    kind = lambda v: F.when(F.ltrim(v).startswith("["), v)
+    listed = F.col("value") if lines else F.coalesce(kind(F.col("value")), *[kind(F.get_json_object("value", f"$.{k}")) for k in RECORD_KEYS])
+    records = F.lit(None).cast("array<string>") if lines else F.from_json(listed, "array<string>")
+    one = F.when(F.get_json_object("value", "$").isNotNull() & F.ltrim("value").startswith("{"), F.array("value"))
+    return raw.select("path", F.posexplode(F.coalesce(records, one)).alias("pos", "value"))
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Session traces (JSON lines) with the fields that reports need."""
+    counters = "calls bigint, originalChars bigint, prunedChars bigint, savedChars bigint"
+    return spark.read.schema(f"id string, kind string, backend string, needle struct<details:struct<decision:string,reason:string,originalChars:bigint,prunedChars:bigint>,counters:struct<{counters}>>".replace("needle", TRACE_FIELD)).json(path)
+
+
+#: The traces' field with the prune's details and the session's counters.
+TRACE_FIELD = "prune"
+
+
+def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Request lines of files as they come: parse_requests of a stream."""
+    return parse_requests(spark.readStream.text(folder))
+
+
+def write_responses(replies: DataFrame, folder: str, checkpoint: str):
+    """Starts writing a stream of replies as compact JSON lines, each once; what is there is taken, then it stops."""
+    lines = replies.select(F.to_json(F.struct(*[F.col(c) for c in replies.columns])).alias("value"))
+    return lines.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def string_list(value: Column) -> Column:
+    """The strings of a JSON list; of anything else, none."""
+    items = F.from_json(F.when(F.ltrim(value).startswith("["), value), "array<variant>")
+    strings = F.filter(F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))), lambda s: s.isNotNull())
+    return F.coalesce(strings, F.array().cast("array<string>"))
+
+
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
@@ -68,6 +111,21 @@ class WalkObjects:
             yield i, json.dumps(x, sort_keys=True, ensure_ascii=False)
 
 
+def _stable(values):
+    return values.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+
+
+def stable_json(value: Column) -> Column:
+    """A JSON text with the keys of all its objects in order, compact."""
+    return F.pandas_udf(_stable, "string")(value)
+
+
 def sorted_json(**columns: Column) -> Column:
     """A JSON object with its keys in order."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
+
+
+def tail_case(spark: SparkSession, count: int, answer: int) -> DataFrame:
+    """A synthetic case of count lines (n, line), of which one, near the end, matters."""
+    n = F.col("id").cast("string")
+    return spark.range(1, count + 1).select(F.col("id").alias("n"), F.concat(F.lit("line "), n, F.when(F.col("id") == answer, " holds the answer").otherwise(" of noise")).alias("line"))
