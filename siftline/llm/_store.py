@@ -12,8 +12,10 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests) a folder of this process."""
+    """The cluster's spark.checkpoint.dir; only where that is unset and the master is local (tests) a folder of this process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: executors share no local folders")
     return base or _own.setdefault("dir", tempfile.mkdtemp(prefix="siftline-"))
 
 
@@ -31,6 +33,12 @@ def work_path(spark: SparkSession) -> str:
     return path
 
 
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A new folder for files that outlive the application: below spark.siftline.output.dir, else below shared_dir()."""
+    base = spark.conf.get("spark.siftline.output.dir", None) or shared_dir(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def work_table(df: DataFrame, **options: str) -> DataFrame:
     """Writes df as Parquet and reads it again: lineage ends here, and a lost executor costs no recomputation.
 

@@ -5,11 +5,13 @@ or fewer), doc_id and the running starts are delta-encoded, row groups and pages
 documents skip all other pages, and a reader of metadata all tokens.
 
 The tokenizer splits texts before merging bytes, and never across the place before a blank or line feed that follows other than white space. Texts are cut
-there, every distinct piece is encoded by the tokenizer once, and pieces' ids are put together again: several times as fast, with the same ids.
+there, every distinct piece is encoded by the tokenizer once, and pieces' ids are put together again: several times as fast, with the same ids. A tokenizer file that splits texts in
+another way encodes every text whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -49,6 +51,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        first = told["pre_tokenizer"] or {}
+        # only of this way to split a text is it known where it may be cut
+        self.cuts = told["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -87,6 +93,9 @@ class PieceEncoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8) one after another, and how many each text has."""
         texts = [t if _is_utf8(t) else t.decode("utf-8", "replace").encode() for t in texts]
+        if not self.cuts:
+            found = [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4") for t in texts]
+            return np.concatenate([self.ids[:0], *found]), np.array([len(x) for x in found], dtype=np.int64)
         data, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
         starts = piece_starts(np.frombuffer(data, dtype=np.uint8), begins)
         bounds = np.append(starts, len(data)).astype(np.int64)

@@ -71,6 +71,29 @@ def test_byte_strings(docs, texts):
     assert {r[0]: tuple(r[1:5]) for r in suffix_dedup.dedup_byte_strings(docs).collect()} == want
 
 
+@pytest.mark.parametrize("test", [test_word_windows, test_byte_strings])
+def test_hot_segments(docs, texts, monkeypatch, test):
+    """The ways of hot anchors and hot segments, which small tables don't reach, give the same."""
+    monkeypatch.setattr(_anchors, "HOT_SEGMENTS", 1)
+    monkeypatch.setattr(_anchors, "HOT_SHARE", 1 << 40)
+    test(docs, texts)
+
+
+def test_repeated_rows_by_value(docs, texts):
+    """Every row twice: of a text of one window or more, the copy (op1) or everything (op6) goes; components don't change."""
+    twice = docs.union(docs)
+    for r in suffix_dedup.dedup_byte_strings(twice).collect():
+        n = len(texts[r["doc_id"]].encode())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (n, n * (n >= 400), int(n >= 400))
+    once = {r["doc_id"]: r for r in substring_dedup.dedup_word_windows(docs).collect()}
+    found = collections.defaultdict(list)
+    for r in substring_dedup.dedup_word_windows(twice).collect():
+        found[r["doc_id"]].append(r["n_removed"])
+    assert all(len(x) == 2 and min(x) >= once[i]["n_removed"] and max(x) <= once[i]["n_words"] for i, x in found.items())
+    pairs = lambda df: {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_components(df).collect()}
+    assert pairs(twice) == pairs(docs)
+
+
 def test_segments_of_a_very_long_text():
     rng = np.random.default_rng(8)
     passage, window, gram = rng.integers(0, 256, 600).astype(np.uint8), 400, 20
@@ -197,6 +220,39 @@ def test_fingerprints(docs, texts):
     assert fingerprints.likeness(fingerprints.chunk_sets(texts[10].encode()), fingerprints.chunk_sets(b"inserted " + texts[10].encode())) > 0.9
 
 
+def slow_chunks(data, scale):
+    """Chunks by the definition: the hash of the last 32 bytes at every place, and one place after the other."""
+    least, normal, most, hard, easy = scale
+    gear, ends, begin = fingerprints._GEAR.tolist(), [], 0
+    h = [sum(gear[data[i - j]] << j for j in range(min(32, i + 1))) % 2**32 for i in range(len(data))]
+    for i in range(len(data)):
+        size = i + 1 - begin
+        bits = hard if size <= normal else easy
+        if size > least and h[i] >> (32 - bits) == 0 or size == most or i == len(data) - 1:
+            ends.append(data[begin : i + 1])
+            begin = i + 1
+    return {*ends}
+
+
+def test_fingerprints_against_slow_chunks(docs, texts):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    down = order(texts)[::-1]
+
+    def likeness(a, b):
+        a, b = a.encode(), b.encode()
+        if not a or not b:
+            return float(not a and not b)
+        scale = next(s for s in "cft" if min(len(a), len(b)) >= fingerprints.SERVES[s])
+        x, y = (slow_chunks(t, fingerprints.SCALES[scale]) for t in (a, b))
+        return sum(map(len, x & y)) / min(sum(map(len, x)), sum(map(len, y)))
+
+    for k, i in enumerate(down):
+        following = texts[down[(k + 1) % len(down)]]
+        if max(len(texts[i]), len(following)) < 5000:
+            want = likeness(texts[i], fingerprints.edited(texts[i], following)), likeness(texts[i], following)
+            assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx(want), i
+
+
 @pytest.mark.parametrize("short, long", [(80, 400), (90, 5000), (300, 2048), (1000, 50_000)])
 def test_fingerprints_of_short_texts_in_long_ones(spark, short, long):
     rng = random.Random(short)
@@ -221,6 +277,46 @@ def test_tokens(spark, docs, texts):
     assert {r[0]: tuple(r[1:]) for r in token_output.with_checksums(token_output.read_tokens(spark, path)).collect()} == want
 
 
+def test_token_files(spark, docs, texts):
+    """Encodings, page indexes and row groups of the files, and a read of one document's rows alone."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = work_path(spark)
+    token_output.write_tokens(docs, path, entries.tokenizer_path(), files=2)
+    files = [pq.ParquetFile(f) for f in sorted(glob.glob(f"{path}/*.parquet")) if pq.ParquetFile(f).metadata.num_rows]
+    assert len(files) == 2
+    for f in files:
+        group = f.metadata.row_group(0)
+        columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["ids"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["shard_start"].encodings
+        assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+        assert all(f.metadata.row_group(k).total_byte_size <= 40 << 20 for k in range(f.metadata.num_row_groups))
+    one = token_output.read_tokens(spark, path).where("doc_id = 5").select("doc_id", "n_tokens")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,5)" in plan and one.count() == 1
+    light = pq.read_table(glob.glob(f"{path}/*.parquet"), columns=["doc_id", "n_tokens"])
+    assert light.num_rows == len(texts)
+
+
+def test_other_tokenizer_files(tmp_path):
+    """A file that splits texts in another way is used on whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(open(entries.tokenizer_path(), encoding="utf-8").read())
+    told["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    path = str(tmp_path / "other.json")
+    open(path, "w", encoding="utf-8").write(json.dumps(told))
+    texts = ["one 12  two", "", "x y"]
+    ids, sizes = token_output.PieceEncoder.of(path).encode([t.encode() for t in texts])
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert token_output.PieceEncoder.of(entries.tokenizer_path()).cuts
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(1)
     rows = [(i, ("you utter blockhead nitwit " if i % 4 == 0 else "") + " ".join(rng.choice(["tea", "rain", "wood", "bread", "road"]) for _ in range(30))) for i in range(300)]
@@ -267,6 +363,47 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_quality_by_hand(spark):
+    """Posteriors of sites and paths, and scores, in plain arithmetic from the texts' probabilities."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        host, lang = rng.choice([("a", "en"), ("a", "de"), ("b", "en"), ("b", "en"), ("c", "fr"), (None, "en")])
+        good = rng.random() < {"a": 0.9, "b": 0.2, "c": 0.5, None: 0.5}[host]
+        rows.append((i, " ".join(rng.choice(["tea", "rain", "wood"]) if good else rng.choice(["@#$", "%%", "!!"]) for _ in range(20)) + ".", host, lang, int(good)))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    got = quality.score_quality(docs, spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")).collect()
+    p = {r["doc_id"]: r["text_probability"] for r in got}
+    site, path = ({r[0]: key(r) for r in rows} for key in (lambda r: r[2], lambda r: (r[2], r[3])))
+    total = np.mean([*p.values()])
+
+    def groups(of):
+        out = collections.defaultdict(list)
+        for i, g in of.items():
+            out[g].append(p[i])
+        return out
+
+    def strength(members, parent):
+        spread = sum(len(x) * (np.mean(x) - parent[g]) ** 2 for g, x in members.items() if len(x) > 1)
+        noise = {g: parent[g] * (1 - parent[g]) for g in members}
+        rho = max(0, (spread - sum(noise[g] for g, x in members.items() if len(x) > 1)) / sum(len(x) * noise[g] for g, x in members.items() if len(x) > 1))
+        return min(10_000, max(2, 1 / rho - 1 if rho > 0 else 10_000))
+
+    sites, paths = groups(site), groups(path)
+    k = strength(sites, dict.fromkeys(sites, total))
+    of_site = {g: (sum(x) + k * total) / (len(x) + k) for g, x in sites.items()}
+    k = strength(paths, {g: of_site[g[0]] for g in paths})
+    logit = lambda x: np.log(x / (1 - x))
+    for r in got:
+        i, g = r["doc_id"], path[r["doc_id"]]
+        of_path = (sum(paths[g]) - p[i] + k * of_site[g[0]]) / (len(paths[g]) - 1 + k)
+        odds = logit(p[i]) - logit(total) + logit(of_path)
+        assert (r["host_mean"], r["path_mean"], r["score"]) == pytest.approx((of_site[g[0]], of_path, 1 / (1 + np.exp(-odds))))
+        assert r["keep"] == (r["score"] >= 0.5)
+    held = [(r["keep"], bool(rows[r["doc_id"]][4])) for r in got]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
 def test_decontamination(spark, docs, texts):
     item = " ".join(texts[10].split()[100:140])
     words = item.split()
