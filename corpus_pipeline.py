@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, jaccard_join, mixing, token_output, toxicity
-from siftline.llm._store import work_path, work_table
+from siftline.llm._store import lasting_path, work_table
 from siftline.llm.entries import tokenizer_path
 
 
@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in ascending doc_id order, read back: doc_id, start, n_tokens, ids_crc32 of every copy."""
-    path = work_path(spark)
+    """Token files in ascending doc_id order, in a folder token_files-... that stays (see lasting_path), read back: doc_id, start, n_tokens, ids_crc32 of every copy."""
+    path = lasting_path(spark, "token_files")
     token_output.write_tokens(docs, path, tokenizer_path())
     return token_output.with_checksums(token_output.read_tokens(spark, path))
 
