@@ -31,14 +31,11 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return raw.select("path", F.posexplode(F.coalesce(records, one)).alias("pos", "value"))
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Session traces (JSON lines) with the fields that reports need."""
-    counters = "calls bigint, originalChars bigint, prunedChars bigint, savedChars bigint"
-    return spark.read.schema(f"id string, kind string, backend string, needle struct<details:struct<decision:string,reason:string,originalChars:bigint,prunedChars:bigint>,counters:struct<{counters}>>".replace("needle", TRACE_FIELD)).json(path)
-
-
-#: The traces' field with the prune's details and the session's counters.
-TRACE_FIELD = "prune"
+def read_traces(spark: SparkSession, path: str, field: str = "prune") -> DataFrame:
+    """Session traces (JSON lines) with the fields that reports need; field: the one with the prune's details and the session's counters."""
+    details = "details:struct<decision:string,reason:string,originalChars:bigint,prunedChars:bigint>"
+    counters = "counters:struct<calls:bigint,originalChars:bigint,prunedChars:bigint,savedChars:bigint>"
+    return spark.read.schema(f"id string, kind string, backend string, `{field}` struct<{details},{counters}>").json(path)
 
 
 def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
