@@ -123,7 +123,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next (likeness to the edited and to the following text).
     Null text: empty. A null doc_id comes last. Rows of one doc_id follow one another by text. Other columns are ignored.
 
-    Documents are dealt by ranges of doc_id; each range also gets a copy of the document that follows its last one, so no order over all rows is needed.
+    Documents are dealt by ranges of doc_id, a task each (the range's number is the partition's, so no two meet by hash); each range also gets a copy of the document that follows its last one, so no order over all rows is needed.
     The driver gets one number a range.
     """
     spark = docs.sparkSession
@@ -141,7 +141,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     heads = sorted(((r["range"], r["key"]) for r in rows.select("key").withColumn("range", range_of("key")).groupBy("range").agg(F.max("key").alias("key")).collect()), reverse=True)
     after = [(r, heads[(i + 1) % len(heads)][1]) for i, (r, _) in enumerate(heads)]
     copies = placed.drop("range").join(F.broadcast(spark.createDataFrame(after, "range int, key long")), "key").select("key", "data", "range", F.lit(1).alias("copy"))
-    dealt = placed.select("key", "data", "range", F.lit(0).alias("copy")).union(copies).repartition(ranges, "range").sortWithinPartitions("range", "copy", F.desc("key"), "data")
+    dealt = placed.select("key", "data", "range", F.lit(0).alias("copy")).union(copies).repartitionById(ranges, "range").sortWithinPartitions("range", "copy", F.desc("key"), "data")
 
     def rows_of(out: list) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [()] * 7
