@@ -11,6 +11,8 @@ P = np.uint64(0x9E3779B97F4A7C15)
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
 P_INV = np.uint64(pow(int(P), -1, 1 << 64))
 CHUNK_BYTES = 3 << 20
+#: Bytes of text whose words are hashed at once where workers must stay small; hashing takes several 64-bit arrays of that length.
+HASHED_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -28,16 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * Q)
 
 _powers: dict[str, np.ndarray] = {}
+#: A worker keeps so many powers of each kind at most.
+MOST_POWERS = 4 << 20
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """P (or its inverse) to the 0th ... nth power modulo 2^64."""
+    """P (or its inverse) to the 0th ... nth power modulo 2^64; those of very long texts are not kept."""
     name = "inv" if inverse else "pow"
     have = _powers.get(name)
     if have is None or len(have) <= n:
         have = np.full(max(n + 1, 1 << 16), P_INV if inverse else P, dtype=np.uint64)
         have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= MOST_POWERS:
+            _powers[name] = have
     return have[: n + 1]
 
 
@@ -89,18 +95,24 @@ def word_hashes(texts: list[bytes], lower: bool = False, terms: bool = False) ->
     return range_hashes(BYTE_CODES[data], starts, ends), np.searchsorted(starts, begins)
 
 
+def stretches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges [lo, hi) of consecutive rows, that of a single row apart of no more than limit in all."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield begin, i
+            begin, total = i, 0
+        total += n + 1
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def chunks(batches: Iterable, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[object, list[bytes]]]:
     """Slices of Arrow batches whose binary column `text` has about limit bytes (a longer row stands alone), with that column's values (null: empty)."""
     for batch in batches:
         values = [v or b"" for v in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        begin = size = 0
-        for i, v in enumerate(values):
-            if size and size + len(v) > limit:
-                yield batch.slice(begin, i - begin), values[begin:i]
-                begin, size = i, 0
-            size += len(v) + 1
-        if begin < len(values):
-            yield batch.slice(begin), values[begin:]
+        for lo, hi in stretches([len(v) for v in values], limit):
+            yield batch.slice(lo, hi - lo), values[lo:hi]
 
 
 def column(batch, name: str) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import drop_table, work_table
-from ._text import chunks, column, word_hashes
+from ._text import HASHED_BYTES, chunks, column, word_hashes
 
 PASSAGE, STRIDE, RANK = 64, 32, 64
 COMMON_SHARE, LEAST_COSINE = 0.2, 0.5
@@ -194,7 +194,7 @@ def _scan(rows: DataFrame, items: list[tuple[int, bytes, bytes]]) -> tuple[DataF
     known, size = spark.sparkContext.broadcast(vocabulary), len(vocabulary)
 
     def hit(batches: Iterator) -> Iterator:
-        for batch, data in chunks(batches, "data"):
+        for batch, data in chunks(batches, "data", HASHED_BYTES):
             words, begins = terms(data)
             at, w = _locate(words, known.value)
             cut = np.searchsorted(at, begins)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import bucketed_table, drop_table, shuffle_parts, work_table
-from ._text import as_long, chunks, column, gram_hashes, mix, range_hashes, word_hashes
+from ._text import HASHED_BYTES, as_long, chunks, column, gram_hashes, mix, range_hashes, stretches, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -151,7 +151,7 @@ def frequent_shingles(rows: DataFrame, k: int, percent: int, parts: int, total:
 
     def emit(batches: Iterator) -> Iterator:
         held, size = [], 0
-        for _, texts in chunks(batches, "data"):
+        for _, texts in chunks(batches, "data", HASHED_BYTES):
             for s in shingle_sets(texts, k):
                 if len(s) > 1:
                     held.append(s[: prefix_length(len(s), percent)].copy())
@@ -199,11 +199,10 @@ def _links(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percen
     def verify(batches: Iterator) -> Iterator:
         for batch in batches:
             a, b = column(batch, "a"), column(batch, "b")
-            data = [batch.column(batch.schema.get_field_index(f"data_{c}")).to_pylist() for c in "ab"]
+            data = [[t or b"" for t in batch.column(batch.schema.get_field_index(f"data_{c}")).to_pylist()] for c in "ab"]
             ok = []
-            for i in range(0, len(a), 256):
-                sets = [shingle_sets([t or b"" for t in d[i : i + 256]], k) for d in data]
-                for x, y in zip(*sets, strict=True):
+            for lo, hi in stretches([len(x) + len(y) for x, y in zip(*data, strict=True)], HASHED_BYTES):
+                for x, y in zip(*(shingle_sets(d[lo:hi], k) for d in data), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
             ok = np.array(ok, dtype=bool)
@@ -248,7 +247,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(_NO_ID)).cast("long").alias("key"), F.col(text).cast("binary").alias("data"))
 
     def describe(batches: Iterator) -> Iterator:
-        for batch, texts in chunks(batches, "data"):
+        for batch, texts in chunks(batches, "data", HASHED_BYTES):
             n, hashes, bits, fine = [], [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
@@ -270,7 +269,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 80, k: int = SHING
     def index(batches: Iterator) -> Iterator:
         known = shared_classes.value
         hot_sigs = hot_signatures(known.hot)
-        for batch, texts in chunks(batches, "data"):
+        for batch, texts in chunks(batches, "data", HASHED_BYTES):
             found = list(shingle_sets(texts, k))
             often = known.frequent(np.concatenate(found or [known.hot[:0]]))
             ends = np.cumsum([len(s) for s in found])
