@@ -615,24 +615,6 @@ def stream_leases(spark, sf_dir):
     return replay.leases(spark, f"{sf_dir}/events.parquet")
 
 
-_OPS = ("enable", "prune", "heartbeat", "prune", "disable", "prune", "enable")
-
-
-@query()
-def session_replies(spark, sf_dir):
-    from ..streaming import replay
-
-    def ops(rows):
-        step = F.col("turn") % len(_OPS)
-        return rows.select(
-            F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), (F.col("turn") * 40 + F.floor((F.col("turn") + 1) / 5) * 60).cast("double").alias("ts"),
-            F.element_at(F.lit(list(_OPS)), (step + 1).cast("int")).alias("op"), "text", ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("fails"),
-        )
-
-    got = replay.replies(spark, f"{sf_dir}/conversations.parquet", ops, 90)
-    return got.select("session", "seq", "op", "ok", "error", "backend", F.sha2("original", 256).alias("original_sha"), "closed")
-
-
 @query(f"WITH {_LEASES_SQL}, V AS (SELECT ts, sum(step) AS step FROM (SELECT opened AS ts, 1 AS step FROM S UNION ALL SELECT last_beat + INTERVAL 6 HOUR, -1 FROM S) GROUP BY ts) SELECT epoch_us(ts) AS ts FROM (SELECT ts, sum(step) OVER (ORDER BY ts) AS o FROM V) WHERE o = 0")
 def unload_times(spark, sf_dir):
     return sessions.unloads(_leases(spark, sf_dir), 6 * 3600).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
@@ -711,3 +693,6 @@ def stream_responses(spark, sf_dir):
 
     asked = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 3 == 2, " ").otherwise(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 3 == 1, "dance").otherwise("status").alias("op")))).alias("value"))
     return replay.responses(spark, asked).select("id", "ok")
+
+
+from . import leases  # noqa: E402, F401  (registers its queries)

@@ -1,12 +1,9 @@
-"""Streaming twins of operators.sessions: keyed state, processed with event time so that a replay gives the batch results."""
+"""Streaming twins of operators.sessions, by event time so that a replay gives the batch results; leases with timers are in leases."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_counters(calls: DataFrame, session: str) -> DataFrame:
@@ -17,53 +14,3 @@ def stream_counters(calls: DataFrame, session: str) -> DataFrame:
 def stream_leases(events: DataFrame, session: str, ts: str, ttl: str, delay: str = "1 hour") -> DataFrame:
     """Leases, each emitted when the watermark has passed its end, for append mode. Events later than the delay are dropped."""
     return events.withWatermark(ts, delay).groupBy(session, F.session_window(ts, ttl)).agg(F.count("*").alias("beats"), F.min(ts).alias("opened"), F.max(ts).alias("last_beat")).drop("session_window")
-
-
-class SessionState(StatefulProcessor):
-    """Enable, heartbeat, prune, disable: lease, last original (if it fits), backend state; one reply a request, none lost.
-
-    A load or prune that fails leaves the lease and the original and sets the backend to failed; the next one that works sets it to resident. A lease ends by disable or a pause
-    of more than ttl, and its original with it. Every lease has a number (epoch); closed is the number of a lease that this request ended or found ended, and each number is given
-    once, so that whatever is to happen at the end of a lease happens once however often a batch is replayed.
-    """
-
-    def __init__(self, ttl_seconds: int = 90, max_original: int = 4 << 20):
-        self.ttl, self.max_original = ttl_seconds, max_original
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lease = handle.getValueState("lease", "last double, backend string, original string, epoch long, open boolean")
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        last, backend, original, epoch, open_ = self.lease.get() if self.lease.exists() else (0.0, "cold", None, 0, False)
-        replies = []
-        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.seq)):
-            closed, error = None, None
-            if open_ and (r.ts - last > self.ttl or r.op == "disable"):
-                open_, backend, original, closed = False, "cold", None, epoch
-            if r.op == "enable":
-                epoch, open_ = epoch + (not open_), True
-            elif r.op in ("prune", "heartbeat") and not open_:
-                error = f"session {key[0]} has no lease; enable first"
-            if open_:
-                last = float(r.ts)
-                if r.op == "prune":
-                    original = r.text if r.text is not None and len(r.text.encode()) <= self.max_original else None
-                if r.op in ("enable", "prune"):
-                    backend = "failed" if r.fails else "resident"
-                    error = f"{r.op} failed" if r.fails else None
-            replies.append((key[0], int(r.seq), r.op, error is None, error, backend, original, closed))
-        self.lease.update((last, backend, original, epoch, open_))
-        yield pd.DataFrame(replies, columns=["session", "seq", "op", "ok", "error", "backend", "original", "closed"]).astype({"closed": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-REPLY = "session string, seq long, op string, ok boolean, error string, backend string, original string, closed long"
-
-
-def session_replies(ops: DataFrame, ttl_seconds: int = 90) -> DataFrame:
-    """ops (session, seq, ts: seconds, op, text, fails) to replies; needs the RocksDB state store."""
-    return ops.groupBy("session").transformWithStateInPandas(SessionState(ttl_seconds), REPLY, "append", "none")

@@ -226,31 +226,6 @@ def test_repair_queries(spark):
         assert (rows[i]["kept"], rows[i]["status"], rows[i]["sha"]) == (len(want["kept"]), want["status"], hashlib.sha256(want["code"].encode()).hexdigest())
 
 
-def test_session_replies_query(spark):
-    """The stream's replies against a plain loop over the table."""
-    want = set()
-    for conv, rows in itertools.groupby(spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect(), lambda r: r["conv_id"]):
-        lease, backend, original, epoch = None, "cold", None, 0
-        for r in rows:
-            k, closed, error = r["turn"], None, None
-            now, op, fails = k * 40 + (k + 1) // 5 * 60, catalog._OPS[k % 7], (conv + k) % 3 == 0
-            if lease is not None and (now - lease > 90 or op == "disable"):
-                lease, backend, original, closed = None, "cold", None, epoch
-            if op == "enable":
-                epoch += lease is None
-                lease, backend, error = now, "failed" if fails else "resident", "enable failed" if fails else None
-            elif op in ("prune", "heartbeat"):
-                if lease is None:
-                    error = f"session {conv} has no lease; enable first"
-                else:
-                    lease = now
-                    if op == "prune":
-                        original, backend, error = r["text"], "failed" if fails else "resident", "prune failed" if fails else None
-            want.add((str(conv), k, op, error is None, error, backend, original and hashlib.sha256(original.encode()).hexdigest(), closed))
-    got = [tuple(r) for r in catalog.session_replies(spark, SF).select("session", "seq", "op", "ok", "error", "backend", "original_sha", "closed").collect()]
-    assert len(got) == len(want) and set(got) == want and any(w[-1] for w in want)
-
-
 def test_settings_and_lines(spark):
     from siftline.functions import status as S
     from siftline.operators import gates
@@ -304,4 +279,4 @@ def test_query(spark, db, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert rows_of(got) == rows_of(want)
     else:
-        assert len(got) and name in {"batch_retry", "repair_gap_render", "repair_python", "session_replies", "viterbi_decode"}  # each has a test of its own above
+        assert len(got) and name in {"batch_retry", "repair_gap_render", "repair_python", "viterbi_decode"}  # each has a test of its own above
