@@ -20,13 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import Memo, distinct_pieces, spread, valid
-from ._text import chunks, word_bounds
+from ._text import chunks
 
 #: Symbols read before stable tokens are looked for.
 BLOCK = 1024
+#: Strings of so many symbols are merged by looking over all their pairs each time, longer ones by a heap.
+SHORT = 48
+NEVER = 1 << 62
+_NONE = (NEVER, -1)
 #: Bytes of text encoded at once, and tokens decoded at once.
 TEXT_BYTES, DECODED_TOKENS = 1 << 20, 1 << 18
+# Fixed value: the pattern of words by which it is known that letters, digits and marks are apart, and that only an apostrophe can join them.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _transducers: dict[str, TextTransducer] = {}
+_KINDS = np.zeros(256, dtype=np.uint8)  # of ASCII bytes: white space 1, letters 2, digits 3, other marks 4; apostrophes and other bytes 0
+_KINDS[[9, 10, 11, 12, 13, 32]] = 1
+_KINDS[[*range(65, 91), *range(97, 123)]] = 2
+_KINDS[48:58] = 3
+_KINDS[[i for i in range(128) if not _KINDS[i] and i != 39]] = 4
 
 
 class Merges:
@@ -56,6 +67,17 @@ class Merges:
     def merge(self, units: list[int]) -> list[int]:
         """The tokens of a string of symbols: of all pairs of neighbours the one of least rank is merged, of equal ones the leftmost, until there is none."""
         rules, ids, n = self.rules, list(units), len(units)
+        if n <= SHORT:
+            ranks = [rules.get(pair, _NONE)[0] for pair in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) < NEVER:
+                i = ranks.index(best)
+                ids[i : i + 2] = [rules[ids[i], ids[i + 1]][1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rules.get((ids[i], ids[i + 1]), _NONE)[0]
+                if i:
+                    ranks[i - 1] = rules.get((ids[i - 1], ids[i]), _NONE)[0]
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*r, i) for i in range(n - 1) if (r := rules.get((ids[i], ids[i + 1])))]
         heap = [(rank, i, whole) for rank, whole, i in heap]
@@ -142,6 +164,11 @@ class TextTransducer:
         as_bytes = lambda t: bytes(letters[c] for c in t) if told["decoder"] and all(c in letters for c in t) else t.encode()
         written = [self.between + as_bytes(names.get(i, "")) for i in range(max(names) + 1)]
         self.written, self.sizes = np.frombuffer(b"".join(written), dtype=np.uint8), np.array([len(w) for w in written], dtype=np.int64)
+        # where it is known how the file splits texts, they are cut at every such place, and plain letters are one word
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.split = steps[0].get("pattern") == {"Regex": WORDS} and steps[0].get("invert") and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lowers = self.split and self.tools.normalizer is not None and self.tools.normalizer.normalize_str(letters) == letters.lower()
         self.words: dict[str, list[int]] = {}
         self.memo = Memo(lambda pieces: [np.array(self.piece(p), dtype="<u4") for p in pieces])
 
@@ -160,6 +187,8 @@ class TextTransducer:
         yield from stream.finish()
 
     def piece(self, piece: str) -> list[int]:
+        if self.lowers and len(piece) <= SHORT and piece.isascii() and piece.isalpha():
+            return self.merges.merge([self.vocabulary[c] for c in piece[:-1].lower()] + [self.vocabulary[piece[-1].lower() + self.word_end]])
         out: list[int] = []
         for part in self.marks.split(piece) if self.marks else [piece]:
             if part in self.added:
@@ -178,13 +207,23 @@ class TextTransducer:
                 out += ids
         return out
 
+    @staticmethod
+    def cuts(data: np.ndarray, begins: np.ndarray, fine: bool) -> np.ndarray:
+        """Where no word goes on: at ASCII white space and, if fine, between ASCII letters, digits and marks; and at the texts' first bytes."""
+        kinds = _KINDS[data]
+        before, after = kinds[:-1], kinds[1:]
+        at = np.zeros(len(data), dtype=bool)
+        at[1:] = (before != after) & ((before == 1) | (after == 1) | (fine & (before > 0) & (after > 0)))
+        at[begins[:-1][np.diff(begins) > 0]] = True
+        return np.flatnonzero(at)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (UTF-8) one after another, and how many each text has. Words never hold white space, so texts are cut before words that ASCII white space parts."""
+        """All ids of the texts (UTF-8) one after another, and how many each text has."""
         texts = [valid(t) for t in texts]
         data, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
         if not data:
             return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
-        starts = np.union1d(word_bounds(np.frombuffer(data, dtype=np.uint8))[0], begins[:-1][np.diff(begins) > 0])
+        starts = self.cuts(np.frombuffer(data, dtype=np.uint8), begins, self.split and not any(t.encode() in data for t in self.added))
         which, pieces = distinct_pieces(data, starts)
         ids = self.memo.of(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
