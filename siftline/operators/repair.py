@@ -45,13 +45,28 @@ def _span(node: ast.stmt) -> set[int]:
     return set(range(node.lineno, node.end_lineno + 1))
 
 
-def _shell(node: ast.ClassDef) -> set[int]:
-    return _head(node, _top(node)).union(*(_span(c) for c in node.body if isinstance(c, (ast.Assign, ast.AnnAssign, ast.Pass))))
+def _shell(node: ast.ClassDef, reason: str) -> list[tuple[set[int], str]]:
+    """A class's head, fields and passes, each with its reason."""
+    kinds = {"field": (ast.Assign, ast.AnnAssign), "pass": (ast.Pass,)}
+    inner = [(set().union(*(_span(c) for c in node.body if isinstance(c, types))), f"{reason}:{kind}") for kind, types in kinds.items()]
+    return [(_head(node, _top(node)), reason), *(x for x in inner if x[0])]
+
+
+def parsed(code: str | None) -> ast.Module | None:
+    """The tree of a source; None for null, for what doesn't parse, and for what is nested too deep for the parser."""
+    try:
+        return None if code is None else ast.parse(code)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return None
+
+
+def keyword_line(lines: list[str], block: list[ast.stmt], word: str) -> int | None:
+    """The line above a block that begins with the word and a colon."""
+    return next((n for n in range(block[0].lineno - 1, 0, -1) if re.match(rf"\s*{word}\s*:", lines[n - 1])), None)
 
 
 def _word_above(lines: list[str], block: list[ast.stmt], word: str) -> set[int]:
-    above = (n for n in range(block[0].lineno - 1, 0, -1) if re.match(rf"\s*{word}\s*:", lines[n - 1])) if block else iter(())
-    return {n for n in [next(above, None)] if n}
+    return {n for n in [keyword_line(lines, block, word) if block else None] if n}
 
 
 def rules_of(tree: ast.Module, lines: list[str]) -> list[Rule]:
@@ -60,7 +75,7 @@ def rules_of(tree: ast.Module, lines: list[str]) -> list[Rule]:
         if not isinstance(node, ast.stmt):
             continue
         if isinstance(node, ast.ClassDef):
-            rules.append(Rule(_top(node), node.end_lineno, _shell(node), "enclosing_class"))
+            rules += [Rule(_top(node), node.end_lineno, *part) for part in _shell(node, "enclosing_class")]
         elif isinstance(node, _SCOPES):
             rules.append(Rule(_top(node), node.end_lineno, _head(node, _top(node)), "enclosing_definition"))
         elif isinstance(node, _FLOW):
@@ -82,7 +97,7 @@ def rules_of(tree: ast.Module, lines: list[str]) -> list[Rule]:
         if not isinstance(node, ast.ClassDef):
             rules.append(Rule(0, 0, set(range(_top(node), node.lineno + 1)), reason, name))
             continue
-        rules.append(Rule(0, 0, _shell(node), reason, name))
+        rules += [Rule(0, 0, *part, name) for part in _shell(node, reason)]
         for child in node.body:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 whole = set(range(_top(child), child.end_lineno + 1))
@@ -142,21 +157,16 @@ def render(lines: list[str], kept: set[int]) -> str:
     return "\n".join(out)
 
 
-def _parses(code: str) -> bool:
-    try:
-        ast.parse(code)
-    except (SyntaxError, ValueError):
-        return False
-    return True
+def _parses(code: str | None) -> bool:
+    return parsed(code) is not None
 
 
 def repair(code: str, kept: list[int]) -> dict:
-    """kept, reasons (line: sorted list), code and parses; status ok, input-parse-failed or repair-parse-failed. On failure callers use the unrepaired text."""
-    lines = code.splitlines()
-    start = {n for n in kept if 1 <= n <= len(lines)}
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+    """kept, reasons (line: sorted list), code and parses; status ok, input-parse-failed or repair-parse-failed. On failure, null code included, callers use the unrepaired text."""
+    lines = (code or "").splitlines()
+    start = {int(n) for n in kept if n is not None and 1 <= n <= len(lines)}
+    tree = parsed(code)
+    if tree is None:
         return {"kept": sorted(start), "reasons": {}, "code": None, "parses": False, "status": "input-parse-failed"}
     reasons = grow(start, lines, tree)
     out = render(lines, set(reasons))
@@ -165,10 +175,9 @@ def repair(code: str, kept: list[int]) -> dict:
 
 
 def nodes(code: str) -> list[tuple[int, int, str, str | None]]:
-    """first line, last line, kind and name of every statement of a source, outermost first; none if it doesn't parse."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+    """first line, last line, kind and name of every statement of a source, outermost first; none if it is null or doesn't parse."""
+    tree = parsed(code)
+    if tree is None:
         return []
     return [(_top(n), n.end_lineno, type(n).__name__, getattr(n, "name", None)) for n in ast.walk(tree) if isinstance(n, ast.stmt)]
 
@@ -179,7 +188,7 @@ def nodes_udf(code: Column | str) -> Column:
 
 
 def _repairs(code: pd.Series, kept: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repair(c, list(k)) for c, k in zip(code, kept, strict=True)], columns=["kept", "reasons", "code", "parses", "status"])
+    return pd.DataFrame([repair(c, [] if k is None else list(k)) for c, k in zip(code, kept, strict=True)], columns=["kept", "reasons", "code", "parses", "status"])
 
 
 def repair_udf(code: Column | str, kept: Column | str) -> Column:
@@ -193,7 +202,7 @@ def may_be_python(text: Column) -> Column:
 
 
 def _all_parse(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _parses("\n".join(_indent(x) + "pass" if x.strip().startswith((MARKER[:-1], "(filtered ")) else x for x in t.splitlines())))
+    return text.map(lambda t: t is not None and _parses("\n".join(_indent(x) + "pass" if x.strip().startswith((MARKER[:-1], "(filtered ")) else x for x in t.splitlines())))
 
 
 def parses_udf(text: Column | str) -> Column:

@@ -695,4 +695,4 @@ def stream_responses(spark, sf_dir):
     return replay.responses(spark, asked).select("id", "ok")
 
 
-from . import leases  # noqa: E402, F401  (registers its queries)
+from . import code, leases  # noqa: E402, F401  (they register their queries)

@@ -12,11 +12,9 @@ from pyspark.sql.functions import udtf
 from ..operators.gates import MAX_FRAME_BYTES
 
 REQUEST = "id bigint, op string, text string, query string, _corrupt string"
-# Names of the fields that hold a question and a text, first ones first, and of lists of records.
+# Names of the fields that hold a question and a text, first ones first, and of those that hold lists of records.
 QUERY_KEYS = ("query", "goal_hint", "goal", "hint", "context_focus_question", "question")
 TEXT_KEYS = ("code", "text", "observation", "output", "tool_output", "content", "stdout")
-
-
 RECORD_KEYS = ("cases", "records", "trajectories", "data")
 
 
@@ -109,11 +107,17 @@ class WalkObjects:
 
 
 def _stable(values):
-    return values.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+    def one(v: str | None) -> str | None:
+        try:
+            return None if v is None else json.dumps(json.loads(v), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return values.map(one)
 
 
 def stable_json(value: Column) -> Column:
-    """A JSON text with the keys of all its objects in order, compact."""
+    """A JSON text with the keys of all its objects in order, compact; null for what is no JSON, or nested too deep to be read."""
     return F.pandas_udf(_stable, "string")(value)
 
 

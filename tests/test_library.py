@@ -175,7 +175,7 @@ def test_repair_reasons():
     code = "import os\nimport re as r\n\n@wrap\nclass Box:\n    size = 1\n\n    def __init__(self):\n        self.x = 0\n\n    def grow(self):\n        try:\n            go(\n                1,\n                os)\n        except E:\n            pass\n        else:\n            end()\n        finally:\n            done()\n"
     got = repair.repair(code, [14])
     want = {
-        1: ["referenced_import"], 4: ["enclosing_class"], 5: ["enclosing_class"], 6: ["enclosing_class"], 11: ["enclosing_definition"], 12: ["enclosing_control_flow"],
+        1: ["referenced_import"], 4: ["enclosing_class"], 5: ["enclosing_class"], 6: ["enclosing_class:field"], 11: ["enclosing_definition"], 12: ["enclosing_control_flow"],
         13: ["statement_integrity"], 14: ["semantic", "statement_integrity"], 15: ["statement_integrity"], 16: ["enclosing_try:except"], 18: ["enclosing_try:else"], 20: ["enclosing_try:finally"],
     }
     assert all({*want[n]} <= {*got["reasons"][n]} for n in want) and got["parses"] and 2 not in got["reasons"]
