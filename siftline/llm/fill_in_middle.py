@@ -17,6 +17,8 @@ UNIT = "[A-Za-z]+|[^A-Za-z]"
 #: Blocks end after other than a letter, so no unit is cut; an array of units has no more than a block's.
 BLOCK = "(?s).{0,65535}[^A-Za-z]|[A-Za-z]+"
 PLAIN_SHARE, SPM_SHARE = 10, 20
+#: Exchange partitions for each of the session's: a text's units take some thirty times its bytes while they are sorted, which is to fit in memory.
+PARTS = 4
 
 
 def draws(doc_id: Column) -> Column:
@@ -48,7 +50,7 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     in code points, null where plain. No rows: none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.repartition(shuffle_parts(docs.sparkSession), "_row")
+    rows = rows.repartition(PARTS * shuffle_parts(docs.sparkSession), "_row")
     drawn = draws(F.col("doc_id"))
     told = rows.withColumn("n", unit_count(F.col("text"))).withColumn("form", form(F.col("text"), drawn))
     first, second = drawn[0] % (F.col("n") + 1), drawn[1] % (F.col("n") + 1)
