@@ -7,8 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: A worker forgets its pieces beyond so many, and never keeps one of more bytes than LONG_PIECE.
-MOST_PIECES, LONG_PIECE = 400_000, 1 << 10
+#: A worker keeps the pieces it met last, so many to twice as many, and never one of more characters than LONG_PIECE.
+KEPT_PIECES, LONG_PIECE = 100_000, 1 << 10
 
 
 def distinct_pieces(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -19,19 +19,21 @@ def distinct_pieces(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[s
 
 
 class Memo:
-    """What `work` gives for lists of new pieces, remembered within bounds."""
+    """What `work` gives for lists of new pieces, remembered in two generations: when the younger is full it becomes the older, and what is used again moves on."""
 
     def __init__(self, work: Callable[[list[str]], list]):
-        self.work, self.known = work, {}
+        self.work, self.young, self.old = work, {}, {}
 
     def of(self, pieces: list[str]) -> list:
-        if len(self.known) > MOST_PIECES:
-            self.known = {}
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        made = dict(zip(new, self.work(new), strict=True))
-        known.update((p, x) for p, x in made.items() if len(p) <= LONG_PIECE)
-        return [known[p] if p in known else made[p] for p in pieces]
+        if len(self.young) > KEPT_PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = [young.get(p) or old.get(p) for p in pieces]
+        at = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(at, self.work([pieces[i] for i in at]), strict=True):
+            out[i] = x
+        young.update((p, x) for p, x in zip(pieces, out, strict=True) if len(p) <= LONG_PIECE)
+        return out
 
 
 def spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ Both token sequences spell the same bytes. The transducer's state is which side
 and either shortens those bytes or takes the lead. Transitions are remembered by state and token. Where no bytes are left over, both sides' tokens end: a group closes, and
 its last two tokens are linked.
 
-Neither tokenizer's tokens cross the place before a blank that follows other than white space, so texts are cut there and each distinct piece is aligned once.
+Neither tokenizer's tokens cross the place before a blank that follows other than white space, nor that between an ASCII letter and a digit or mark (but an apostrophe), so texts
+are cut there and each distinct piece is aligned once.
 
 Two ids can only be linked if the bytes of one end with those of the other, so the vocabularies alone bound the number of id pairs (a few hundred thousand,
 however large the corpus). The counts are summed in Spark; only this bounded table is broadcast.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,12 @@ from .bpe_stream import _bytes_of_letters
 from .token_output import piece_starts
 
 TEXT_BYTES = 1 << 20
-MOST_TRANSITIONS = 1_000_000
+_LETTERS, _MARKS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_MARKS[[i for i in range(33, 127) if not _LETTERS[i] and i != 39]] = True
+_MIXED = re.compile(r"[A-Za-z][!-&(-@\[-`{-~]|[!-&(-@\[-`{-~][A-Za-z]")
+MOST_TRANSITIONS = 200_000
+_DIFFERENT = (0, 0, 0, "", b"")
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -136,6 +144,11 @@ class Aligner:
         if told["normalizer"] or rule.get("type") != "ByteLevel" or not rule.get("use_regex") or rule.get("add_prefix_space") or any(blank in n.lstrip(blank) for n in names) or "".join(kept) != f"{blank}a{blank * 2}b{blank}":
             raise ValueError("tokenizers that can't be aligned piece by piece")
         self.blank = self.second.encode("a ")[-1]
+        # what stands before a piece that doesn't begin with a blank, and how many tokens that has
+        self.before = {True: (",", len(self.second.encode(","))), False: ("a", len(self.second.encode("a")))}
+        kinds = (self.second.is_byte, self.second.is_control, self.second.is_unknown)
+        self.fine = not any(_MIXED.search(n) for i, n in enumerate(names) if not any(k(i) for k in kinds))
+        self.written = [str(i) for i in range(max(len(self.a), len(self.b)))]
         self.transducer = Transducer(self.a, self.b)
         self.memo = Memo(self._work)
 
@@ -147,26 +160,29 @@ class Aligner:
         return _aligners[key]
 
     def _work(self, pieces: list[str]) -> list[tuple]:
-        """For each piece: tokens of A, of B, groups, the groups as text, and the linked pairs as a * (size of B) + b; None if the bytes differ."""
+        """For each piece: tokens of A, of B, groups, the groups as text, and the linked pairs, each a * (size of B) + b, as bytes; _DIFFERENT if the bytes are."""
         out = []
         for i in range(0, len(pieces), 1024):
             part = pieces[i : i + 1024]
             firsts = self.first.encode_batch_fast(part, add_special_tokens=False)
-            # the model puts a blank of its own before each
-            seconds = self.second.encode([p[1:] for p in part], num_threads=1)
-            out += [self._aligned(p, f.ids, s if len(p) > 1 else [self.blank]) for p, f, s in zip(part, firsts, seconds, strict=True)]
+            # the model puts a blank of its own before each; where the text has none, the piece stands behind one that can't be merged with it
+            led = [("", 0) if p[0] == " " else self.before[p[0].isalpha()] for p in part]
+            seconds = self.second.encode([p[1:] if p[0] == " " else c + p for p, (c, _) in zip(part, led, strict=True)], num_threads=1)
+            out += [self._aligned(p, f.ids, s[k:] if p != " " else [self.blank]) for p, f, s, (_, k) in zip(part, firsts, seconds, led, strict=True)]
         return out
 
-    def _aligned(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
+    def _aligned(self, piece: str, a: list[int], b: list[int]) -> tuple:
         groups = self.transducer.groups(a, b)
         if groups is None or b"".join(map(self.a.__getitem__, a)) != piece.encode():
-            return None
+            return _DIFFERENT
+        written, size = self.written, len(self.b)
         texts, links, i, j = [], [], 0, 0
         for p, q in groups:
-            texts.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            links.append(a[p - 1] * len(self.b) + b[q - 1])
+            x, y = a[p - 1], b[q - 1]
+            texts.append(f"{x}|{y}" if p - i == q - j == 1 else ",".join(map(written.__getitem__, a[i:p])) + "|" + ",".join(map(written.__getitem__, b[j:q])))
+            links.append(x * size + y)
             i, j = p, q
-        return len(a), len(b), len(groups), ";".join(texts), np.array(links, dtype=np.int64)
+        return len(a), len(b), len(groups), ";".join(texts), struct.pack(f"={len(links)}q", *links)
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Of each text: tokens of A, of B, groups (links) and their text; and all linked pairs one after another."""
@@ -177,20 +193,24 @@ class Aligner:
         first = np.zeros(len(data) + 1, dtype=bool)
         first[begins] = True
         starts = starts[(flat[starts] == 32) | first[starts]]
+        if self.fine:
+            letters, marks = _LETTERS[flat], _MARKS[flat]
+            first[1:-1] |= letters[:-1] & marks[1:] | marks[:-1] & letters[1:]
+            first[starts] = True
+            starts = np.flatnonzero(first[:-1])
         which, pieces = distinct_pieces(data, starts)
         made = self.memo.of(pieces)
         cut = np.searchsorted(starts, begins)
-        good = per_text(np.fromiter((m is None for m in made), np.int64, len(made))[which], cut) == 0
+        good = per_text(np.fromiter((m is _DIFFERENT for m in made), np.int64, len(made))[which], cut) == 0
         good &= np.fromiter(map(bool, texts), bool, len(texts))
         kept = np.repeat(good, np.diff(cut))
         which = which[kept]
         cut = np.concatenate([[0], np.cumsum(np.diff(cut) * good)])
-        made = [(0, 0, 0, "", np.zeros(0, dtype=np.int64)) if m is None else m for m in made]
         sums = [per_text(np.fromiter((m[k] for m in made), np.int64, len(made))[which], cut) for k in range(3)]
         names, at = [m[3] for m in made], which.tolist()
         written = [";".join(map(names.__getitem__, at[lo:hi])) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         sizes = np.fromiter((m[2] for m in made), np.int64, len(made))
-        return *sums, written, spread(np.concatenate([np.zeros(0, dtype=np.int64), *(m[4] for m in made)]), sizes, which)
+        return *sums, written, spread(np.frombuffer(b"".join(m[4] for m in made), dtype=np.int64), sizes, which)
 
 
 def align(docs: DataFrame, byte_file: str, piece_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

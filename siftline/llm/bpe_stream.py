@@ -170,7 +170,7 @@ class TextTransducer:
         letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.lowers = self.split and self.tools.normalizer is not None and self.tools.normalizer.normalize_str(letters) == letters.lower()
         self.words: dict[str, list[int]] = {}
-        self.memo = Memo(lambda pieces: [np.array(self.piece(p), dtype="<u4") for p in pieces])
+        self.memo = Memo(lambda pieces: [(np.array(self.piece(p), dtype="<u4").tobytes(),) for p in pieces])
 
     @staticmethod
     def of(path: str) -> TextTransducer:
@@ -201,7 +201,7 @@ class TextTransducer:
                 if ids is None:
                     ids = list(self.word(word))
                     if len(word) <= 64:
-                        if len(self.words) > 200_000:
+                        if len(self.words) > 50_000:
                             self.words = {}
                         self.words[word] = ids
                 out += ids
@@ -225,10 +225,10 @@ class TextTransducer:
             return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
         starts = self.cuts(np.frombuffer(data, dtype=np.uint8), begins, self.split and not any(t.encode() in data for t in self.added))
         which, pieces = distinct_pieces(data, starts)
-        ids = self.memo.of(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = [x for (x,) in self.memo.of(pieces)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         counts = np.concatenate([[0], np.cumsum(sizes[which])])
-        return spread(np.concatenate([np.zeros(0, dtype="<u4"), *ids]), sizes, which), np.diff(counts[np.searchsorted(starts, begins)])
+        return spread(np.frombuffer(b"".join(ids), dtype="<u4"), sizes, which), np.diff(counts[np.searchsorted(starts, begins)])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, some at a time."""
