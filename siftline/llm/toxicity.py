@@ -1,9 +1,10 @@
 """Toxicity: a learnt lexicon in a trie, met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon (words, and stems of word beginnings) is learnt from labelled texts by smoothed log odds. Scoring walks the trie with a Levenshtein automaton of
-the text's word: states are a place in the word and whether the edit is spent, so misspelled terms are found in one walk over all
-terms. Exact terms and stems need no walk. The words around each hit (a window) say whether it is quoted or spoken about. A logistic
-model over the counts gives the score; it is fitted on features whose lexicon was learnt from the other half of the sample.
+the text's word: states are a place in the word and whether the edit is spent (a letter more, less or another, or two neighbours swapped), so misspelled terms are found in
+one walk over all terms. Exact terms and stems need no walk. A misspelled term counts as the term itself, at a little less weight; what clean texts of the sample have as a word of their own
+is none. The words around each hit (a window) say whether it is quoted or spoken about. A logistic model over the counts gives the score; it is fitted on
+features whose lexicon was learnt from the other half of the sample.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from ._text import chunks, column
 #: Bounds of what training brings to the driver: labelled texts looked at, lexicon entries, and the texts' feature rows.
 MOST_LABELLED, MOST_TERMS = 20_000, 2048
 LEAST_RATIO = 11.0
-N_FEATURES = 8
+N_FEATURES = 7
+#: The weight of a misspelled term, as a share of the term's.
+MISSPELLED = 0.9
 STEMS = (5, 6, 7)
 THRESHOLD = 0.3
 WINDOW = 6
@@ -30,7 +33,8 @@ WINDOW = 6
 QUOTES = "\"“”„«»‘’‹›"
 MENTIONS = {"said", "says", "wrote", "writes", "called", "quote", "quoted", "word", "term", "sagte", "schrieb", "nannte", "wort", "zitat", "dit", "écrit", "mot", "citation", "dijo", "escribió", "llamó", "palabra", "cita"}
 _STRIP = ".,;:!?()[]{}<>*_-#/\\|'" + QUOTES
-_CACHE = 400_000
+#: Tokens looked up that a worker remembers, and counts that a task adds up before it sends them.
+_CACHE, _COUNTED = 60_000, 150_000
 
 
 def core(token: str) -> str:
@@ -45,8 +49,9 @@ def units_of(word: str) -> list[str]:
 class Lexicon:
     """Terms with weights; those that are whole words of five letters or more also within one edit, by an automaton over the trie."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], own: frozenset[str] = frozenset()):
+        """own: words near a term that are no misspellings of it."""
+        self.weights, self.own = weights, own
         self.trie: dict = {}
         self.reach: set[str] = set()
         self.longest = 0
@@ -59,6 +64,7 @@ class Lexicon:
                 self.reach |= self.shortened(term)
                 self.longest = max(self.longest, len(term))
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     @staticmethod
     def shortened(word: str) -> set[str]:
@@ -86,6 +92,8 @@ class Lexicon:
                     found = rest(child, i)
                 if found:
                     return found
+            if i + 1 < len(word) and (swapped := node.get(word[i + 1], {}).get(word[i])) is not None and (found := rest(swapped, i + 2)):
+                return found
             node = node.get(word[i]) if i < len(word) else None
             if node is None:
                 return None
@@ -98,32 +106,35 @@ class Lexicon:
         if hits:
             unit, weight = max(hits, key=lambda x: x[1])
             return unit, weight, int(unit[-1] == "*")
-        if 4 <= len(word) <= self.longest + 1 and not self.reach.isdisjoint(self.shortened(word)) and (term := self.near(word)) is not None:
+        if word not in self.own and (term := self.misspelled(word)) is not None:
             return term, self.weights[term], 2
         return None
 
+    def misspelled(self, word: str) -> str | None:
+        if 4 <= len(word) <= self.longest + 1 and not self.reach.isdisjoint(self.shortened(word)):
+            return self.near(word)
+        return None
+
     def features(self, text: str) -> list[float]:
         tokens = text.lower().split()
         if len(self.known) > _CACHE:
-            self.known = {}
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for t in {*tokens}:
             if t not in known:
-                known[t] = self.look(t)
+                known[t] = older[t] if t in older else self.look(t)
         hits = [(i, h) for i, h in enumerate(map(known.__getitem__, tokens)) if h]
         if not hits:
             return [0.0] * (N_FEATURES - 1) + [float(np.log1p(len(tokens)))]
         best: dict[str, float] = {}
-        exact = quoted = 0
+        quoted = 0
         for i, (unit, weight, kind) in hits:
             quoted += self.is_quoted(tokens, i)
-            if kind < 2:
-                exact += 1
-                best[unit] = weight
+            best[unit] = max(weight * (MISSPELLED if kind == 2 else 1.0), best.get(unit, 0.0))
         sure = len(hits) - quoted
         return [
-            min(sum(best.values()), 15.0), float(min(len(best), 4)), max(best.values(), default=0.0), float(np.log1p(max(0, exact - quoted))),
-            float(np.log1p(100 * sure / len(tokens))), quoted / len(hits), float(np.log1p(len(hits) - exact)), float(np.log1p(len(tokens))),
+            min(sum(best.values()), 15.0), float(min(len(best), 4)), max(best.values()), float(np.log1p(sure)),
+            float(np.log1p(100 * sure / len(tokens))), quoted / len(hits), float(np.log1p(len(tokens))),
         ]
 
     @staticmethod
@@ -162,8 +173,8 @@ def select_terms(counts: list, toxic: float, clean: float) -> dict[str, float]:
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -> tuple[dict[str, float], tuple]:
-    """Lexicon and model from at most MOST_LABELLED labelled rows that `allowed` (a condition on doc_id) admits, taken by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -> tuple[dict[str, float], frozenset[str], tuple]:
+    """Lexicon, words of their own near it, and model from at most MOST_LABELLED labelled rows that `allowed` (a condition on doc_id) admits, taken by a hash of doc_id."""
     picked = labels.where(allowed & F.col("toxic").isNotNull()).groupBy(doc_id).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(MOST_LABELLED)
     rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).join(F.broadcast(picked), doc_id).select(F.col(doc_id).cast("string").alias("id"), "toxic", (F.abs(F.xxhash64(F.lit(7), doc_id)) % 2).cast("int").alias("half"), "data")
 
@@ -174,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -
                 words = {core(w) for w in {*data.decode("utf-8", "replace").lower().split()}} - {""}
                 sums[t, h].update({u for w in words if len(w) <= 40 for u in units_of(w)})
                 sums[t, h][""] += 1
-            if sum(map(len, sums.values())) > _CACHE:
+            if sum(map(len, sums.values())) > _COUNTED:
                 yield from written(sums)
                 sums = {k: Counter() for k in sums}
         yield from written(sums)
@@ -191,18 +202,34 @@ def train(docs: DataFrame, labels: DataFrame, allowed, doc_id: str, text: str) -
     found = sums.where(worth).orderBy(F.col("unit") != "", F.desc(F.col("t0") + F.col("t1") - (F.col("c0") + F.col("c1")) / 8), "unit").limit(16 * MOST_TERMS).collect()
     total = next((r for r in found if r["unit"] == ""), None)
     if total is None or not total["t0"] + total["t1"]:
-        return {}, (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), -3.0))
+        return {}, frozenset(), (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.append(np.zeros(N_FEATURES), -3.0))
     of = lambda t, c: select_terms([(r["unit"], sum(r[k] for k in t), sum(r[k] for k in c)) for r in found if r["unit"]], sum(total[k] for k in t), sum(total[k] for k in c))
     halves = [of(["t1"], ["c1"]), of(["t0"], ["c0"])]  # features of half 0 by the lexicon of half 1, and so on
 
+    whole = of(["t0", "t1"], ["c0", "c1"])
+    terms = Lexicon({t: w for x in (*halves, whole) for t, w in x.items()})
+
+    def neighbours(batches: Iterator) -> Iterator:
+        for batch, texts in chunks(batches, "data"):
+            met: Counter = Counter()
+            for t, data in zip(column(batch, "toxic").tolist(), texts, strict=True):
+                for w in {core(w) for w in {*data.decode("utf-8", "replace").lower().split()}}:
+                    if w and (hit := terms.look(w)) and hit[2] == 2:
+                        met[w] += 1 if t == 0 else -1
+            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], ["word", "clean"])
+
+    # at most the sample's words within one edit of a term: those that clean texts have as often as toxic ones, or more often
+    near = rows.mapInArrow(neighbours, "word string, clean long").groupBy("word").agg(F.sum("clean").alias("clean")).where("clean >= 0")
+    own = frozenset(r["word"] for r in near.collect())
+
     def describe(batches: Iterator) -> Iterator:
-        lexicons = [Lexicon(h) for h in halves]
+        lexicons = [Lexicon(h, own) for h in halves]
         for batch, texts in chunks(batches, "data"):
             x = [lexicons[h].features(d.decode("utf-8", "replace")) for h, d in zip(column(batch, "half").tolist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "toxic")), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
     table = sorted(rows.mapInArrow(describe, "id string, toxic int, x array<double>").collect())  # sums of floats depend on their order
-    return of(["t0", "t1"], ["c0", "c1"]), fit_logistic(np.array([r["x"] for r in table]), np.array([float(r["toxic"]) for r in table]))
+    return whole, own, fit_logistic(np.array([r["x"] for r in table]), np.array([float(r["toxic"]) for r in table]))
 
 
 def held_out(doc_id: str):
@@ -217,13 +244,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     No label of a toxic text: a low constant score. Columns named held_out, score or predicted are replaced.
     """
     docs = docs.drop("held_out", "score", "predicted")
-    weights, (mean, scale, coefficients) = train(docs, labels, ~held_out(doc_id), doc_id, text)
-    model = docs.sparkSession.sparkContext.broadcast((weights, mean, scale, coefficients))
+    weights, own, (mean, scale, coefficients) = train(docs, labels, ~held_out(doc_id), doc_id, text)
+    model = docs.sparkSession.sparkContext.broadcast((weights, own, mean, scale, coefficients))
     names = docs.columns
 
     def emit(batches: Iterator) -> Iterator:
-        weights, mean, scale, coefficients = model.value
-        lexicon = Lexicon(weights)
+        weights, own, mean, scale, coefficients = model.value
+        lexicon = Lexicon(weights, own)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             x = np.array([lexicon.features(t or "") for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, len(mean))

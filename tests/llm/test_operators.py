@@ -340,8 +340,8 @@ def test_toxicity_does_not_depend_on_partitions(spark):
     learnt, scores = [], []
     for n in (1, 8, 300):
         dealt = docs.repartition(n).cache()
-        weights, model = toxicity.train(dealt, labels, ~toxicity.held_out("doc_id"), "doc_id", "text")
-        learnt.append((weights, *(x.tolist() for x in model)))
+        weights, own, model = toxicity.train(dealt, labels, ~toxicity.held_out("doc_id"), "doc_id", "text")
+        learnt.append((weights, own, *(x.tolist() for x in model)))
         if n != 8:
             scores.append(sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(dealt, labels).collect()))
     assert learnt[0] == learnt[1] == learnt[2] and learnt[0][0].keys() == {"nitwit", "nitwi*"}
