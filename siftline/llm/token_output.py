@@ -140,7 +140,8 @@ def piece_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> None:
     """Writes doc_id, shard, shard_start (ids before it in its file), n_tokens and ids, in ascending doc_id order, null first.
 
-    Null or empty text: the end id alone. Rows of one doc_id follow one another by text. Other columns are ignored. No rows: a file without rows.
+    Null or empty text: the end id alone. Rows of one doc_id follow one another; where they fill more than one file, they are dealt to these by a hash of the text, and
+    stand by text in each. Other columns are ignored. No rows: a file without rows.
     """
     def emit(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
