@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed odd multipliers of the polynomial and finalising hashes.
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -14,6 +17,12 @@ CHUNK_BYTES = 3 << 20
 #: Bytes of text whose words are hashed at once where workers must stay small; hashing takes several 64-bit arrays of that length.
 HASHED_BYTES = 1 << 20
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library, which has no such call
+    _libc = None
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -110,9 +119,18 @@ def stretches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def chunks(batches: Iterable, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[object, list[bytes]]]:
     """Slices of Arrow batches whose binary column `text` has about limit bytes (a longer row stands alone), with that column's values (null: empty)."""
     for batch in batches:
-        values = [v or b"" for v in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        for lo, hi in stretches([len(v) for v in values], limit):
-            yield batch.slice(lo, hi - lo), values[lo:hi]
+        at = batch.schema.get_field_index(text)
+        for lo, hi in stretches(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), limit):
+            part = batch.slice(lo, hi - lo)
+            yield part, [v or b"" for v in part.column(at).to_pylist()]
+    give_back()
+
+
+def give_back() -> None:
+    """Hands memory that a task no longer needs back to the system: workers outlive their tasks, and several of them share a machine."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def column(batch, name: str) -> np.ndarray:

@@ -38,7 +38,7 @@ CLASS_BITS = 25
 #: A value with more than 1 / HOT_SHARE of all occurrences is hot, so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 2048
 #: Tokens that a group of the counting and of the indexing stage has on average, and that a task adds up before it sends them.
-GROUP_TOKENS, TASK_TOKENS = 1 << 21, 1 << 20
+GROUP_TOKENS, TASK_TOKENS = 1 << 19, 1 << 19
 _BITS = 1024
 _NO_ID = -(1 << 63)
 
