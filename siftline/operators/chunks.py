@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import let, lines
 
@@ -66,16 +66,38 @@ def clamp_spans(spans: DataFrame) -> DataFrame:
     return spans.select(*[inside(c) if c in ("start", "end") else c for c in spans.columns]).where("end > start")
 
 
+_BREAKS = np.array([10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029], dtype=np.uint32)
+
+
 def _line_spans(text: pa.Array) -> pa.Array:
-    spans, cut = [], [0]
-    for t in text.to_pylist():
-        at = 0
-        for line in (t or "").splitlines(keepends=True):
-            spans.append((at, at + len(line.rstrip("\r\n"))))
-            at += len(line)
-        cut.append(len(spans))
-    start, end = (pa.array([s[k] for s in spans], pa.int32()) for k in (0, 1))
-    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([start, end], ["start", "end"]))
+    """Over all texts at once: the code points at which lines end, and so where they begin."""
+    texts = [t or "" for t in text.to_pylist()]
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])  # behind each text stands a line feed that isn't its own
+    breaks = (points <= 13) & (points >= 10) | (points >= 0x1C) & np.isin(points, _BREAKS) if len(points) else points > 0
+    breaks[begins[1:] - 1] = False
+    second = np.zeros(len(points), dtype=bool)
+    second[1:] = breaks[1:] & (points[1:] == 10) & breaks[:-1] & (points[:-1] == 13)
+    at = np.flatnonzero(breaks & ~second)
+    after = at + 1
+    two = after < len(points)
+    two[two] = second[after[two]]
+    after = after + two
+    kept = at + ~((points[at] == 10) | (points[at] == 13))  # other ends of lines count as text
+    # a line begins with each text that isn't empty and behind each break that isn't its text's end
+    full = np.flatnonzero(np.diff(begins) > 1)
+    last = begins[1:] - 1
+    opened = after[after < last[np.searchsorted(begins, at, side="right") - 1]]
+    starts = np.sort(np.concatenate([begins[full], opened]))
+    ended = last[np.searchsorted(begins, starts, side="right") - 1]
+    first = np.searchsorted(at, starts)
+    stops = np.append(kept, len(points))[first]
+    found = np.append(at, len(points))[first]
+    stops = np.where(found < ended, stops, ended)
+    cut = np.searchsorted(starts, begins)
+    base = np.repeat(begins[:-1], np.diff(cut))
+    spans = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int32)), pa.array((stops - base).astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans)
 
 
 def line_spans(text: Column) -> Column:
@@ -119,25 +141,47 @@ def with_line_scores(df: DataFrame, text: str, scores: str, most: int, overlap:
         at, cut = ranges.offsets.to_numpy(), spans.offsets.to_numpy()
         begin, stop = (ranges.values.field(c).to_numpy() for c in ("start", "end"))
         start, end = (spans.values.field(c).to_numpy() for c in ("start", "end"))
-        of_doc, flat = scores.offsets.to_numpy(), scores.values
-        of_window, value = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+        means = _merged(cut, scores, stride)
         for k in range(len(text)):
-            ends = of_window[of_doc[k] : of_doc[k + 1] + 1]
-            sizes = np.diff(ends)
-            token = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.arange(len(sizes)) * stride, sizes)
-            n, score = cut[k + 1] - cut[k], value[ends[0] : ends[-1]] if len(ends) else value[:0]
-            mean = np.bincount(token, score, minlength=n) / np.maximum(np.bincount(token, minlength=n), 1)
-            line, any_ = roll_up(begin[at[k] : at[k + 1]], stop[at[k] : at[k + 1]], start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]], mean)
+            line, any_ = roll_up(begin[at[k] : at[k + 1]], stop[at[k] : at[k + 1]], start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]], means[cut[k] : cut[k + 1]])
             out.append(pa.array(line, pa.float64(), mask=~any_))
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays(out or [pa.array([], pa.float64())]))
 
+    return _with_column(df, text, scores, roll, ArrayType(DoubleType()))
+
+
+def with_merged_spans(df: DataFrame, text: str, scores: str, most: int, overlap: int) -> DataFrame:
+    """As with_line_scores, but scores becomes the tokens' spans with their mean scores: (start, end, score)."""
+    stride = most - max(0, min(overlap, most - 1))
+
+    def merge(text: pa.Array, scores: pa.Array) -> pa.Array:
+        spans = _word_spans(text)
+        means = pa.array(_merged(spans.offsets.to_numpy(), scores, stride))
+        return pa.ListArray.from_arrays(spans.offsets, pa.StructArray.from_arrays([spans.values.field(0), spans.values.field(1), means], ["start", "end", "score"]))
+
+    return _with_column(df, text, scores, merge, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])))
+
+
+def _merged(cut: np.ndarray, scores: pa.Array, stride: int) -> np.ndarray:
+    """The mean score of every token of a batch's texts (cut: where each text's tokens begin), over the windows that have it."""
+    of_text, windows = scores.offsets.to_numpy(), scores.values
+    of_window = windows.offsets.to_numpy()[of_text[0] : of_text[-1] + 1]
+    value = windows.values.to_numpy(zero_copy_only=False)[of_window[0] : of_window[-1]] if len(of_window) else np.zeros(0)
+    sizes = np.diff(of_window)
+    nth = np.arange(len(sizes)) - np.repeat(of_text[:-1] - of_text[0], np.diff(of_text))  # of its text's windows
+    first = np.repeat(cut[:-1], np.diff(of_text)) + nth * stride
+    token = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+    return np.bincount(token, value, minlength=cut[-1]) / np.maximum(np.bincount(token, minlength=cut[-1]), 1)
+
+
+def _with_column(df: DataFrame, text: str, scores: str, made, kind) -> DataFrame:
     def emit(batches: Iterator) -> Iterator:
         for batch in batches:
             of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            of[scores] = roll(of[text], of[scores])
+            of[scores] = made(of[text], of[scores])
             yield pa.RecordBatch.from_arrays([*of.values()], [*of])
 
-    return df.mapInArrow(emit, StructType([StructField(f.name, ArrayType(DoubleType())) if f.name == scores else f for f in df.schema.fields]))
+    return df.mapInArrow(emit, StructType([StructField(f.name, kind) if f.name == scores else f for f in df.schema.fields]))
 
 
 def _pack(lengths: Column, closes) -> Column:

@@ -115,6 +115,17 @@ def focus_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text
     return names.join(F.broadcast(found), "at", "left").select(item_id, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
+def known_names(rows: DataFrame, names: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """rows (key, names: distinct) to key, names and known: how many it has, and how many of them are in names (name).
+
+    Up to `most` names are broadcast, so no name is shuffled and a frequent one is no hot key; more are met by a join that splits hot ones. Counts are summed within a task first. Rows without names go.
+    """
+    known = names.select("name").distinct().withColumn("known", F.lit(True))
+    few = known.limit(most + 1).count() <= most
+    spread = rows.select(key, F.explode("names").alias("name"))
+    return spread.join(F.broadcast(known) if few else known, "name", "left").groupBy(key).agg(F.count("*").alias("names"), F.count("known").alias("known"))
+
+
 def merged_maps(a: Column, b: Column) -> Column:
     """Both maps' entries; where both have a key, the right one's."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)

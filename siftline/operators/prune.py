@@ -13,7 +13,11 @@ LEAST_CONTENT = 0.05
 SKELETON = ("import ", "from ", "def ", "async def ", "class ", "@")
 
 
-def lexical_mask(lines: Column, tokens: Column) -> Column:
+def lexical_mask(lines: Column, tokens: Column | str) -> Column:
+    """Which lines have one of the tokens, or, if tokens is a string, of those of that question."""
+    if isinstance(tokens, str):
+        pattern = T.focus_pattern(tokens)
+        return F.transform(lines, lambda line: F.lower(line).rlike(pattern))
     return T.let(tokens, lambda known: F.transform(lines, lambda line: T.is_relevant(line, known)))
 
 
@@ -100,7 +104,7 @@ def verdict(before: Column, after: Column, passed: Column) -> tuple[Column, Colu
 def prune_lexical(df: DataFrame, question: str, text: str = "text") -> DataFrame:
     """df with lines, kept (numbers), pruned, decision and reason, by the lexical scorer, bridge, plain rendering and floor."""
     def kernel(x: Column) -> Column:
-        return T.let(bridge_gaps(lexical_mask(x, T.query_tokens(F.lit(question)))), lambda m: result(x, m, with_floor(F.col(text), render_plain(x, m))))
+        return T.let(bridge_gaps(lexical_mask(x, question)), lambda m: result(x, m, with_floor(F.col(text), render_plain(x, m))))
 
     def result(x: Column, m: Column, floored: Column) -> Column:
         decided = lambda f: verdict(F.col(text), f["text"], f["floor"])

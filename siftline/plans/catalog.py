@@ -97,7 +97,7 @@ P AS (SELECT doc_id, string_agg(CASE WHEN k0 THEN line WHEN prev THEN '[pruned]'
 R AS (SELECT d.doc_id, d.text, kept, CASE WHEN any_kept THEN trim(s, chr(10) || ' ') ELSE trim(d.text, chr(10) || ' ') END AS o FROM P JOIN documents d USING (doc_id))
 SELECT doc_id, CAST(kept AS BIGINT) AS kept_lines, sha256(CASE WHEN suffix(text, chr(10)) AND o <> '' THEN o || chr(10) ELSE o END) AS out_sha FROM R""")
 def prune_trace_render(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text"))).withColumn("mask", prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(QUESTION))))
+    docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text"))).withColumn("mask", prune.lexical_mask(F.col("x"), QUESTION))
     return docs.select("doc_id", F.size(prune.kept_numbers(F.col("mask"))).cast("long").alias("kept_lines"), F.sha2(prune.render_marked(F.col("text"), F.col("x"), F.col("mask")), 256).alias("out_sha"))
 
 
@@ -135,7 +135,8 @@ def envelope_split(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT doc_id, n, s AS start, s + length(line) AS \"end\" FROM (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM L)")
 def line_index(spark, sf_dir):
-    return chunks.line_ranges(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", F.col("n").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.line_spans(F.col("text"))).alias("i", "s"))
+    return spans.select("doc_id", (F.col("i") + 1).cast("long").alias("n"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 _WINDOWS = """W AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS t FROM documents),
@@ -149,11 +150,10 @@ def token_windows(spark, sf_dir):
     return chunks.explode_windows(docs, "t", 64, 16, "doc_id").select("doc_id", F.col("chunk_idx").cast("long"), F.size("tokens").cast("long").alias("tokens"), size.cast("long").alias("chars"))
 
 
-def _spans(spark, sf_dir):
+def _scored(spark, sf_dir):
     """Scores in quarters, from a token's length and its window's number, so that sums are exact."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", chunks.word_tokens(F.col("text")).alias("t"))
-    rows = chunks.explode_windows(docs, "t", 64, 16, "doc_id").select("doc_id", "chunk_idx", F.explode("tokens").alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), (((F.col("s.end") - F.col("s.start")) % 5 + F.col("chunk_idx") % 2) / 4.0).alias("score"))
+    scores = F.transform(chunks.token_windows(chunks.words(F.col("text")), 64, 16), lambda w: F.transform(w["tokens"], lambda t: (F.length(t) % 5 + w["idx"] % 2) / 4.0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), scores.alias("scores"))
 
 
 _SPANS = f"""W AS (SELECT doc_id, regexp_split_to_array(text, '[ \\n]') AS p FROM documents),
@@ -167,7 +167,8 @@ A AS (SELECT doc_id, start, stop, avg(score) AS score FROM S GROUP BY ALL)"""
 
 @query(f"WITH {_SPANS} SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS \"end\", CAST(score AS DOUBLE) AS score FROM A")
 def merge_overlap_scores(spark, sf_dir):
-    return chunks.merge_scores(_spans(spark, sf_dir), "doc_id").select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
+    merged = chunks.with_merged_spans(_scored(spark, sf_dir), "text", "scores", 64, 16).select("doc_id", F.explode("scores").alias("s"))
+    return merged.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.score").alias("score"))
 
 
 _LINE_SCORES = f"""{_SPANS}, {LINES},
@@ -176,9 +177,8 @@ Q AS (SELECT B.doc_id, n, least(1, greatest(0, sum(score * (least(stop, hi) - gr
 
 
 def _line_scores(spark, sf_dir):
-    """doc_id and a score a line (null: none), from the same spans as _spans, within the row."""
-    scores = F.transform(chunks.token_windows(chunks.words(F.col("text")), 64, 16), lambda w: F.transform(w["tokens"], lambda t: (F.length(t) % 5 + w["idx"] % 2) / 4.0))
-    return chunks.with_line_scores(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), scores.alias("scores")), "text", "scores", 64, 16)
+    """doc_id and a score a line (null: none), within the row."""
+    return chunks.with_line_scores(_scored(spark, sf_dir), "text", "scores", 64, 16)
 
 
 @query(f"WITH {_LINE_SCORES} SELECT doc_id, n, round(CAST(score AS DOUBLE), 6) AS score FROM Q")
@@ -214,7 +214,7 @@ def span_filters(spark, sf_dir):
 
 @query(f"WITH {_mask_sql(TOKENS)} SELECT doc_id, count(*) FILTER (k AND NOT k0) AS bridged, count(*) FILTER (k) AS kept FROM M GROUP BY doc_id")
 def gap_bridge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("m0", prune.lexical_mask(T.lines(F.col("text")), T.query_tokens(F.lit(QUESTION)))).withColumn("m", prune.bridge_gaps(F.col("m0")))
+    docs = table(spark, sf_dir, "documents").withColumn("m0", prune.lexical_mask(T.lines(F.col("text")), QUESTION)).withColumn("m", prune.bridge_gaps(F.col("m0")))
     kept = lambda c: F.size(prune.kept_numbers(F.col(c)))
     return docs.select("doc_id", (kept("m") - kept("m0")).cast("long").alias("bridged"), kept("m").cast("long").alias("kept"))
 
@@ -222,7 +222,7 @@ def gap_bridge(spark, sf_dir):
 @query(f"WITH {_mask_sql(TOKENS)}, E AS (SELECT *, sum(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM M) SELECT doc_id, CAST(island AS BIGINT) AS island, count(*) AS cnt, CAST(sum(length(line)) AS BIGINT) AS chars FROM E WHERE NOT k GROUP BY ALL")
 def gap_islands(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("x"))
-    rows = docs.withColumn("m", prune.bridge_gaps(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(QUESTION))))).select("doc_id", F.posexplode(F.arrays_zip("x", "m")).alias("n", "z"))
+    rows = docs.withColumn("m", prune.bridge_gaps(prune.lexical_mask(F.col("x"), QUESTION))).select("doc_id", F.posexplode(F.arrays_zip("x", "m")).alias("n", "z"))
     island = F.sum(F.when(F.col("z.m"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n"))
     return rows.withColumn("island", island).where("NOT z.m").groupBy("doc_id", "island").agg(F.count("*").alias("cnt"), F.sum(F.length("z.x")).alias("chars"))
 
@@ -384,7 +384,7 @@ Y AS (SELECT doc_id, ao + bo = 0 AS exact, CASE WHEN m > 0 THEN (m - ao - bo) /
 
 def _compared(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text")))
-    mask = lambda q: prune.kept_numbers(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(q))))
+    mask = lambda q: prune.kept_numbers(prune.lexical_mask(F.col("x"), q))
     docs = docs.select("doc_id", F.size("x").cast("long").alias("line_count"), mask(QUESTION).alias("a"), mask(OTHER).alias("b"))
     return docs.select("doc_id", *evaluate.compare_masks(F.col("a"), F.col("b"), F.col("line_count")), "line_count")
 
@@ -402,7 +402,7 @@ def mask_summary(spark, sf_dir):
 @query(f"WITH {LINES}, R AS (SELECT doc_id, count(*) FILTER ({_relevant('line', TOKENS)}) AS a, count(*) FILTER ({_relevant('line', OTHER_TOKENS)}) AS b FROM L GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN a END AS a_kept, CASE WHEN doc_id % 3 <> 1 THEN b END AS b_kept, CASE WHEN doc_id % 3 = 0 THEN 'b' WHEN doc_id % 3 = 1 THEN 'a' ELSE 'a,b' END AS backends FROM R")
 def report_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("x"))
-    part = lambda q, rest: docs.where(F.col("doc_id") % 3 != rest).select("doc_id", F.size(prune.kept_numbers(prune.lexical_mask(F.col("x"), T.query_tokens(F.lit(q))))).cast("long").alias("kept"))
+    part = lambda q, rest: docs.where(F.col("doc_id") % 3 != rest).select("doc_id", F.size(prune.kept_numbers(prune.lexical_mask(F.col("x"), q))).cast("long").alias("kept"))
     merged = evaluate.merge_reports(part(QUESTION, 0), part(OTHER, 1), "doc_id")
     return merged.withColumn("backends", F.array_join(F.array_sort(F.array_compact(F.array(F.when(F.col("b_kept").isNotNull(), "b"), F.when(F.col("a_kept").isNotNull(), "a")))), ","))
 
@@ -410,7 +410,7 @@ def report_merge(spark, sf_dir):
 @query(f"WITH {LINES}, R AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) FILTER ({_relevant('line', TOKENS)}) AS out FROM L GROUP BY doc_id) SELECT doc_id, " + " || ".join(f"CASE WHEN contains(coalesce(out, ''), '{t}') THEN '' ELSE '{t};' END" for t in TOKENS) + " AS missing FROM R")
 def must_contain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("x", T.lines(F.col("text")))
-    kept = F.array_join(F.filter(F.col("x"), lambda line: T.is_relevant(line, T.query_tokens(F.lit(QUESTION)))), "\n")
+    kept = F.array_join(F.filter(F.col("x"), lambda line: F.lower(line).rlike(T.focus_pattern(QUESTION))), "\n")
     gone = evaluate.missing(kept, F.lit(list(TOKENS)))
     return docs.select("doc_id", F.concat(F.array_join(gone, ";"), F.when(F.size(gone) > 0, ";").otherwise("")).alias("missing"))
 
@@ -461,9 +461,8 @@ def relevance_softmax(spark, sf_dir):
 
 @query("WITH D AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\\pL\\p{Nd}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*')))) AS name FROM documents), N AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(text, '[\\pL\\p{Nd}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM benchmark) SELECT doc_id, count(*) AS names, count(*) FILTER (name IN (SELECT name FROM N)) AS known FROM D GROUP BY doc_id")
 def identifier_refs(spark, sf_dir):
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
-    known = table(spark, sf_dir, "benchmark").select(F.explode(T.identifiers(F.col("text"))).alias("name")).distinct().withColumn("known", F.lit(True))
-    return names.join(known, "name", "left").groupBy("doc_id").agg(F.count("*").alias("names"), F.count("known").alias("known"))
+    names = table(spark, sf_dir, "benchmark").select(F.explode(T.identifiers(F.col("text"))).alias("name"))
+    return evaluate.known_names(table(spark, sf_dir, "documents").select("doc_id", T.identifiers(F.col("text")).alias("names")), names, "doc_id")
 
 
 @query("WITH C AS (SELECT conv_id, turn, text, role FROM conversations) SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN '' ELSE md5(string_agg(text, chr(10) ORDER BY turn)) END AS strict, md5(string_agg(text, chr(10) ORDER BY turn)) AS lenient, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'system'), '')) AS flat FROM C GROUP BY conv_id")
