@@ -226,14 +226,6 @@ def viterbi(emissions, transitions, start, end) -> list[int]:
     return tags[::-1]
 
 
-def _decoded(emissions: pd.Series, transitions: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    return pd.Series([viterbi(*row) for row in zip(emissions, transitions, start, end, strict=True)])
-
-
-def viterbi_udf(emissions: Column | str, transitions: Column, start: Column, end: Column) -> Column:
-    return F.pandas_udf(_decoded, "array<int>")(emissions, transitions, start, end)
-
-
 class BatchFailed(RuntimeError):
     """An item of a retried batch failed on its own: how many items there were, how many had been scored, and both errors."""
 

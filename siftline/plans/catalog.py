@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import chunks, evaluate, gates, prune, repair, sessions
+from ..operators import chunks, decode, evaluate, gates, prune, repair, sessions
 from ..sources import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,7 +286,7 @@ def repair_gap_render(spark, sf_dir):
 @query()
 def viterbi_decode(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
-    tags = repair.viterbi_udf("e", F.lit([[0.5, -0.5], [-0.5, 0.5]]), F.lit([0.0, 0.0]), F.lit([0.0, 0.0]))
+    tags = decode.viterbi_udf("e", F.lit([[0.5, -0.5], [-0.5, 0.5]]), F.lit([0.0, 0.0]), F.lit([0.0, 0.0]))
     return rows.withColumn("tags", tags).select("doc_id", F.size("tags").alias("tags"), F.aggregate("tags", F.lit(0), lambda s, x: s + x).alias("ones"))
 
 
@@ -694,4 +694,4 @@ def stream_responses(spark, sf_dir):
     return replay.responses(spark, asked).select("id", "ok")
 
 
-from . import code, leases  # noqa: E402, F401  (they register their queries)
+from . import code, decoding, leases  # noqa: E402, F401  (they register their queries)
