@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from . import scans
 from .gates import original_fits
 
 
@@ -20,19 +21,19 @@ def session_counters(calls: DataFrame, session: str) -> DataFrame:
     return sums.withColumn("saved_chars", F.col("before") - F.col("after")).withColumn("saved_tokens", N.saved(F.col("before_tokens"), F.col("after_tokens")))
 
 
-def running_counters(calls: DataFrame, session: str, order: str) -> DataFrame:
-    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = lambda c: F.sum(c).over(w)
-    return calls.select(session, order, F.count("*").over(w).alias("calls"), (run("before") - run("after")).alias("saved_chars"), F.greatest(F.lit(0), run("before_tokens") - run("after_tokens")).alias("saved_tokens"))
+def running_counters(calls: DataFrame, session: str, order: str, block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """Totals after each call; a session of many calls is summed in blocks."""
+    rows = calls.select(session, order, F.lit(1).cast("long").alias("calls"), (F.col("before") - F.col("after")).alias("saved_chars"), (F.col("before_tokens") - F.col("after_tokens")).alias("saved_tokens"))
+    return scans.carry_sum(rows, [session], [order], ["calls", "saved_chars", "saved_tokens"], block_rows).withColumn("saved_tokens", F.greatest(F.lit(0), "saved_tokens"))
 
 
-def as_of(calls: DataFrame, prices: DataFrame, key: str, ts: str, *values: str) -> DataFrame:
-    """calls with the latest values of prices (key, ts, values) at or before each; one shuffle of both by key, no range join."""
+def as_of(calls: DataFrame, prices: DataFrame, key: str, ts: str, *values: str, block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """calls with the latest values of prices (key, ts, values) at or before each: both in one order, in blocks of time, so neither a range join nor one task for a hot key."""
     left = calls.withColumn("_call", F.lit(True))
     right = prices.select(key, ts, *(F.col(v).alias(f"_{v}") for v in values), F.lit(False).alias("_call"))
-    w = Window.partitionBy(key).orderBy(ts, "_call").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True)
-    return both.select(*calls.columns, "_call", *(F.last(f"_{v}", ignorenulls=True).over(w).alias(v) for v in values)).where("_call").drop("_call")
+    carried = scans.carry_last(both, [key], [ts, "_call"], [f"_{v}" for v in values], block_rows)
+    return carried.where("_call").select(*calls.columns, *(F.col(f"_{v}").alias(v) for v in values))
 
 
 def leases(events: DataFrame, session: str, ts: str, ttl: str) -> DataFrame:
