@@ -694,4 +694,4 @@ def stream_responses(spark, sf_dir):
     return replay.responses(spark, asked).select("id", "ok")
 
 
-from . import code, decoding, leases  # noqa: E402, F401  (they register their queries)
+from . import code, decoding, leases, states  # noqa: E402, F401  (they register their queries)
