@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backend
+from ..operators import backend, chunks, tokens
 from ..sources import variants
-from .catalog import query, table
+from .catalog import _SPANS, query, table
 
 _EVENT_SQL = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(backend.EVENTS)) + " ELSE 'load-resident' END"
 _ALIVE_FIRST = "CASE WHEN event IN ('load-resident', 'ok-untold', 'refused') THEN true WHEN event IN ('transport-failed', 'child-exited', 'stopped') THEN false ELSE alive END"
@@ -37,3 +37,19 @@ def json_objects(spark, sf_dir):
     value = F.to_json(F.struct(F.lit("top").alias("name"), F.transform("x", lambda y: y["t"]).alias("turns")))
     found = variants.objects(rows.select("conv_id", value.alias("value")), "conv_id")
     return found.select("conv_id", "pos", "depth", F.try_variant_get("object", "$.name", "string").alias("name"))
+
+
+@query(f"""WITH C AS (SELECT doc_id, 'char' AS tokenizer, length(text) AS m, unnest(range(0, greatest(0, CAST(ceil((length(text) - 512) / 448.0) AS BIGINT)) + 1)) AS idx FROM documents),
+{_SPANS}, B AS (SELECT doc_id, 'word' AS tokenizer, m, unnest(range(0, greatest(0, CAST(ceil((m - 64) / 48.0) AS BIGINT)) + 1)) AS idx FROM (SELECT DISTINCT doc_id, m FROM T2))
+SELECT doc_id, tokenizer, idx AS chunk_idx, least(512, m - idx * 448) AS tokens, idx * 448 AS start, least(m, idx * 448 + 512) AS "end" FROM C
+UNION ALL SELECT B.doc_id, tokenizer, idx, count(*), CAST(min(start) AS BIGINT), CAST(max(stop) AS BIGINT) FROM B JOIN T2 ON T2.doc_id = B.doc_id AND k BETWEEN idx * 48 AND idx * 48 + 63 GROUP BY ALL""")
+def tokenizer_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+
+    def windows(name, most, overlap):
+        rows = docs.select("doc_id", F.lit(name).alias("tokenizer"), tokens.tokens("text", name).alias("t")).where(F.size("t") > 0)
+        cut = chunks.explode_windows(rows, "t", most, overlap, "doc_id", "tokenizer")
+        ends = (F.element_at("tokens", 1)["start"].alias("start"), F.element_at("tokens", -1)["end"].alias("end"))
+        return cut.select("doc_id", "tokenizer", F.col("chunk_idx").cast("long"), F.size("tokens").cast("long").alias("tokens"), *(e.cast("long").alias(n) for e, n in zip(ends, ("start", "end"))))
+
+    return windows("char", 512, 64).unionByName(windows("word", 64, 16))
