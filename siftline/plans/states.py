@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backend, chunks, tokens
-from ..sources import variants
+from ..sources import frames, variants
+from ..sources.work import folder
 from .catalog import _SPANS, query, table
 
 _EVENT_SQL = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(backend.EVENTS)) + " ELSE 'load-resident' END"
@@ -53,3 +54,14 @@ def tokenizer_windows(spark, sf_dir):
         return cut.select("doc_id", "tokenizer", F.col("chunk_idx").cast("long"), F.size("tokens").cast("long").alias("tokens"), *(e.cast("long").alias(n) for e, n in zip(ends, ("start", "end"))))
 
     return windows("char", 512, 64).unionByName(windows("word", 64, 16))
+
+
+@query("""WITH X AS (SELECT conv_id, turn, conv_id || ':' || turn || ':' || replace(text, chr(10), ' ') AS f FROM conversations)
+SELECT CASE WHEN strlen(f) <= 300 THEN conv_id END AS conv_id, CASE WHEN strlen(f) > 300 THEN 'frame too large' END AS error, count(*) AS frames, CAST(coalesce(sum(CASE WHEN strlen(f) <= 300 THEN strlen(f) END), 0) AS BIGINT) AS bytes FROM X GROUP BY ALL""")
+def frame_source(spark, sf_dir):
+    path = folder(spark, "frames")
+    spark.dataSource.register(frames.FrameSource)
+    frame = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    table(spark, sf_dir, "conversations").select(frame.alias("frame")).write.format("frames").mode("append").save(path)
+    rows = spark.read.format("frames").option("maxFrameBytes", 300).option("splitBytes", 20_000).load(path)
+    return rows.groupBy(F.substring_index("frame", ":", 1).cast("long").alias("conv_id"), "error").agg(F.count("*").alias("frames"), F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).cast("long").alias("bytes"))
