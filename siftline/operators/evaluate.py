@@ -126,6 +126,12 @@ def known_names(rows: DataFrame, names: DataFrame, key: str, most: int = 200_000
     return spread.join(F.broadcast(known) if few else known, "name", "left").groupBy(key).agg(F.count("*").alias("names"), F.count("known").alias("known"))
 
 
+def fixture_paths(texts: DataFrame, fixtures: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """texts with path: of fixtures (path, text) the least with the same text, else null. Both meet by a hash of the text; each fixture text is one row, so copies are no hot key on its side."""
+    known = fixtures.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("_sha")).agg(F.min(path).alias(path))
+    return texts.withColumn("_sha", F.sha2(text, 256)).join(known, "_sha", "left").drop("_sha")
+
+
 def merged_maps(a: Column, b: Column) -> Column:
     """Both maps' entries; where both have a key, the right one's."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)

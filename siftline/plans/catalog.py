@@ -270,19 +270,6 @@ def python_like_lines(spark, sf_dir):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("n"), F.length(T.indent(line)).cast("long").alias("indent"), T.opens_block(line).alias("opens"), T.continues_block(line).alias("continues"), repair.may_be_python(line).alias("maybe"))
 
 
-@query()
-def repair_python(spark, sf_dir):
-    rows = _sources(spark, sf_dir).select("doc_id", F.array_join("x", "\n").alias("code"), F.expr("filter(sequence(1, size(x)), n -> (n * 7 + doc_id) % 11 = 0)").alias("asked"))
-    fixed = rows.where(repair.may_be_python(F.col("code"))).withColumn("r", repair.repair_udf("code", "asked"))
-    return fixed.select("doc_id", F.size("asked").alias("asked"), F.size("r.kept").alias("kept"), "r.parses", "r.status", F.sha2("r.code", 256).alias("sha"))
-
-
-@query()
-def repair_gap_render(spark, sf_dir):
-    rows = _sources(spark, sf_dir).select("doc_id", F.array_join("x", "\n").alias("code"), F.array(F.lit(24)).alias("asked")).withColumn("r", repair.repair_udf("code", "asked"))
-    return rows.select("doc_id", F.explode("r.reasons").alias("n", "reasons")).select("doc_id", "n", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query()
 def viterbi_decode(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
@@ -575,11 +562,11 @@ def scorer_matrix(spark, sf_dir):
     return docs.select("doc_id", F.explode(marks).alias("scorer", "scores")).select("doc_id", "scorer", F.size(prune.kept_numbers(prune.threshold_mask(F.col("scores")))).cast("long").alias("kept"))
 
 
-@query("SELECT range AS n, 'fixture ' || range % 5 AS body, CASE WHEN range % 5 < 3 THEN 'path' || range % 5 END AS found FROM range(500)")
+@query("SELECT doc_id, found FROM documents LEFT JOIN (SELECT text, min('doc/' || doc_id) AS found FROM documents WHERE doc_id % 10 = 0 GROUP BY text) USING (text)")
 def fixture_lookup(spark, sf_dir):
-    rows = spark.range(500).select(F.col("id").alias("n"), F.format_string("fixture %d", F.col("id") % 5).alias("body"))
-    known = spark.createDataFrame([(f"fixture {i}", f"path{i}") for i in range(3)], "body string, found string")
-    return rows.join(F.broadcast(known), "body", "left").select("n", "body", "found")
+    docs = table(spark, sf_dir, "documents")
+    fixtures = docs.where("doc_id % 10 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("found"), "text")
+    return evaluate.fixture_paths(docs.select("doc_id", "text"), fixtures, path="found").select("doc_id", "found")
 
 
 @query()
@@ -665,9 +652,9 @@ def batch_rollup(spark, sf_dir):
     return evaluate.batch_rollup(rows, "conv_id", "turn", sums=("padded", "scored"), greatest=("peak", "best"), latest=("active",))
 
 
-@query("SELECT n, 'line ' || n || CASE WHEN n = 400 THEN ' holds the answer' ELSE ' of noise' END AS line FROM (SELECT unnest(range(1, 432)) AS n)")
+@query("SELECT item_id, n, CASE WHEN n = 425 THEN text WHEN n % 3 = 1 THEN 'def unrelated_' || n || '(value):' WHEN n % 3 = 2 THEN '    return value + ' || n ELSE '' END AS line FROM (SELECT item_id, text, unnest(range(1, 432)) AS n FROM benchmark)")
 def synthetic_case(spark, sf_dir):
-    return requests.tail_case(spark, 431, 400)
+    return requests.tail_cases(table(spark, sf_dir, "benchmark"), "item_id", "text", 431, 425)
 
 
 @query("SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM conversations WHERE length(text) >= 20")

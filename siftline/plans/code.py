@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import intervals, syntax
+from ..operators import intervals, repair, syntax
 from .catalog import LINES, query, table
 
 #: A line's source lines by kind; {a} and {b} are its first two words.
@@ -108,3 +108,37 @@ SELECT doc_id, n, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FR
 def repair_closure(spark, sf_dir):
     sources = modules(spark, sf_dir)
     return syntax.closure(sources, _asked(sources)).select(F.col("source").alias("doc_id"), F.col("n").cast("long"), F.array_join("reasons", ",").alias("reasons"))
+
+
+_KEPT = _CLOSURE[: _CLOSURE.index("\nSELECT doc_id, n, string_agg")] + ", KK AS (SELECT DISTINCT doc_id, n FROM Z)"
+
+
+def _repaired(spark, sf_dir):
+    """The same masks, repaired source by source."""
+    asked = F.filter(F.sequence(F.lit(1), "size"), lambda n: (n * 7 + F.col("source")) % 23 == 0)
+    rows = modules(spark, sf_dir).where("size > 0").select(F.col("source").alias("doc_id"), "code", asked.alias("asked"))
+    return rows.withColumn("r", repair.repair_udf("code", "asked"))
+
+
+@query(f"{_KEPT} SELECT doc_id, count(A.n) AS asked, count(KK.n) AS kept, true AS parsed FROM (SELECT DISTINCT doc_id FROM U) LEFT JOIN KK USING (doc_id) LEFT JOIN A USING (doc_id, n) GROUP BY doc_id")
+def repair_python(spark, sf_dir):
+    return _repaired(spark, sf_dir).select("doc_id", F.size("asked").cast("long").alias("asked"), F.size("r.kept").cast("long").alias("kept"), (F.col("r.status") != "input-parse-failed").alias("parsed"))
+
+
+_TEXTS = _values("CT", "kind, pos, t", [(k, i, line.replace("'", "''")) for k, unit in enumerate(UNITS) for i, line in enumerate(unit, 1)])
+
+
+@query(f"""{_KEPT}, {_TEXTS},
+C0 AS (SELECT doc_id, pos + o AS n, replace(replace(t, '{{a}}', a), '{{b}}', b) AS line FROM U JOIN CT USING (kind)),
+C1 AS (SELECT C0.*, KK.n IS NOT NULL AS k FROM C0 JOIN (SELECT doc_id, max(n) AS m, arg_max(line, n) AS z FROM C0 GROUP BY doc_id) USING (doc_id) LEFT JOIN KK ON KK.doc_id = C0.doc_id AND KK.n = C0.n WHERE C0.n < m OR z <> ''),
+C2 AS (SELECT *, sum(CASE WHEN k THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island, regexp_extract(line, '^\\s*') AS indent,
+  min(CASE WHEN k AND trim(line) <> '' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS anchor,
+  min(CASE WHEN k THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM C1),
+GP AS (SELECT doc_id, island, sum(length(line)) + count(*) AS chars, string_agg(line, chr(10) ORDER BY n) AS body, min(CASE WHEN nxt IS NULL THEN NULL ELSE coalesce(anchor, nxt) END) AS anchor FROM C2 WHERE NOT k GROUP BY ALL),
+MK AS (SELECT GP.*, CASE WHEN suffix(rtrim(p.line), ':') THEN p.indent || '    ' WHEN q.line IS NOT NULL AND NOT regexp_matches(trim(q.line), '^(elif|else|except|finally)($|[ :(])') THEN q.indent WHEN p.line IS NOT NULL THEN p.indent ELSE '' END || '[pruned]' AS mark
+  FROM GP LEFT JOIN C2 p ON p.doc_id = GP.doc_id AND p.island = GP.island AND p.k LEFT JOIN C2 q ON q.doc_id = GP.doc_id AND q.n = GP.anchor),
+PC AS (SELECT doc_id, island * 2 AS pos, line AS s, 0 AS marks FROM C2 WHERE k UNION ALL SELECT doc_id, island * 2 + 1, CASE WHEN chars >= length(mark) THEN mark ELSE body END, CASE WHEN chars >= length(mark) THEN 1 ELSE 0 END FROM MK)
+SELECT doc_id, sha256(string_agg(s, chr(10) ORDER BY pos)) AS sha, CAST(sum(marks) AS BIGINT) AS markers FROM PC GROUP BY doc_id""")
+def repair_gap_render(spark, sf_dir):
+    code = F.col("r.code")
+    return _repaired(spark, sf_dir).select("doc_id", F.sha2(code, 256).alias("sha"), F.regexp_count(code, F.lit(r"\[pruned\]")).cast("long").alias("markers"))

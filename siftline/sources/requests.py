@@ -126,7 +126,9 @@ def sorted_json(**columns: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
 
 
-def tail_case(spark: SparkSession, count: int, answer: int) -> DataFrame:
-    """A synthetic case of count lines (n, line), of which one, near the end, matters."""
-    n = F.col("id").cast("string")
-    return spark.range(1, count + 1).select(F.col("id").alias("n"), F.concat(F.lit("line "), n, F.when(F.col("id") == answer, " holds the answer").otherwise(" of noise")).alias("line"))
+def tail_cases(items: DataFrame, key: str, answer: str, count: int, at: int) -> DataFrame:
+    """A synthetic case of count lines (key, n, line) for each item: definitions that have nothing to do with it, and its answer (null: an empty line) as line `at`, near the end."""
+    n = F.col("n")
+    noise = F.when(n % 3 == 1, F.format_string("def unrelated_%d(value):", n)).when(n % 3 == 2, F.format_string("    return value + %d", n)).otherwise("")
+    rows = items.select(key, F.coalesce(answer, F.lit("")).alias("_a"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("n"))
+    return rows.select(key, n.cast("long").alias("n"), F.when(n == at, F.col("_a")).otherwise(noise).alias("line"))
