@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from ..functions import text as T
 _NAME = re.compile("[a-z0-9_]+")
 #: Bits of lines by items that are counted at a time, and words whose items a task remembers; neither changes a result.
 COUNTED_BITS, REMEMBERED = 1 << 25, 500_000
+#: Items whose tokens are broadcast at a time.
+MOST_ITEMS = 2_000
 
 
 def sha16(text: Column) -> Column:
@@ -57,8 +60,15 @@ def focus_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text
     """item_id, hits, docs of every item as focus question (items of one id: as one): the (document, line) pairs that is_relevant keeps for all its query_tokens, and the documents (rows) with one.
 
     A focus token has only letters, digits and _, so it is in a line if it is in one of the line's words; each distinct word is looked up once, and a line's items
-    are the union of its words' as a bit set. The items' tokens are collected; the documents aren't shuffled.
+    are the union of its words' as a bit set. Items are taken in blocks of about MOST_ITEMS, dealt by a hash of their id, and only a block's tokens come to the driver and are broadcast;
+    the documents are read once a block and never shuffled.
     """
+    blocks = max(1, -(-items.select(item_id).distinct().count() // MOST_ITEMS))
+    block = F.pmod(F.xxhash64(item_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_focus_hits(docs, items.where(block == k), item_id, text) for k in range(blocks)])
+
+
+def _focus_hits(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     ids: dict = {}
     owners: dict[str, int] = {}
@@ -66,10 +76,11 @@ def focus_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text
         bit = 1 << ids.setdefault(key, len(ids))
         for t in tokens:
             owners[t] = owners.get(t, 0) | bit
+    shared = spark.sparkContext.broadcast(owners)
     lengths, width, everyone = sorted({len(t) for t in owners}), -(-len(ids) // 8), (1 << len(ids)) - 1
 
     def items_of(word: str) -> int:
-        found = 0
+        found, owners = 0, shared.value
         for n in lengths:
             if n > len(word):
                 break

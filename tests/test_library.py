@@ -109,6 +109,13 @@ def test_focus_hits_by_the_mask(spark):
     assert {tuple(r) for r in evaluate.focus_hits(docs, items).collect()} == want and sum(r[1] for r in want) > 0
 
 
+def test_focus_hits_in_blocks(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = {tuple(r) for r in evaluate.focus_hits(docs, items).collect()}
+    monkeypatch.setattr(evaluate, "MOST_ITEMS", 15)
+    assert {tuple(r) for r in evaluate.focus_hits(docs, items).collect()} == whole and len(whole) == items.select("item_id").distinct().count()
+
+
 def test_identifier_refs(spark, tmp_path):
     spark.createDataFrame([(1, "def f(x): return x + load_config(y1)"), (2, "f ab"), (3, "12 + 3")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "f and load_config"), (2, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
