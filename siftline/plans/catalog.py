@@ -270,7 +270,22 @@ def python_like_lines(spark, sf_dir):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("n"), F.length(T.indent(line)).cast("long").alias("indent"), T.opens_block(line).alias("opens"), T.continues_block(line).alias("continues"), repair.may_be_python(line).alias("maybe"))
 
 
-@query()
+#: SQL: best tags of a document's lines by two recursions, there and back; {{e}}: the score of tag 1.
+VITERBI = f"""WITH RECURSIVE {LINES},
+E AS (SELECT doc_id, n, m, {{e}}::DOUBLE AS e FROM L),
+F AS (
+  SELECT doc_id, n, 1.0::DOUBLE AS s0, e AS s1, 0 AS b0, 0 AS b1 FROM E WHERE n = 1
+  UNION ALL
+  SELECT E.doc_id, E.n, greatest(s0 + 0.5, s1 - 0.5) + 1.0, greatest(s0 - 0.5, s1 + 0.5) + e, CASE WHEN s1 - 0.5 > s0 + 0.5 THEN 1 ELSE 0 END, CASE WHEN s1 + 0.5 > s0 - 0.5 THEN 1 ELSE 0 END
+  FROM F JOIN E ON E.doc_id = F.doc_id AND E.n = F.n + 1),
+B AS (
+  SELECT F.doc_id, F.n, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS tag, b0, b1 FROM F JOIN E ON E.doc_id = F.doc_id AND E.n = F.n WHERE F.n = m
+  UNION ALL
+  SELECT F.doc_id, F.n, CASE WHEN B.tag = 1 THEN B.b1 ELSE B.b0 END, F.b0, F.b1 FROM B JOIN F ON F.doc_id = B.doc_id AND F.n = B.n - 1)
+"""
+
+
+@query(VITERBI.format(e="length(line) % 7 / 3.0::DOUBLE") + "SELECT doc_id, CAST(count(*) AS INT) AS tags, CAST(sum(tag) AS INT) AS ones FROM B GROUP BY doc_id")
 def viterbi_decode(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 3.0)).alias("e"))
     tags = decode.viterbi_udf("e", F.lit([[0.5, -0.5], [-0.5, 0.5]]), F.lit([0.0, 0.0]), F.lit([0.0, 0.0]))
@@ -569,22 +584,18 @@ def fixture_lookup(spark, sf_dir):
     return evaluate.fixture_paths(docs.select("doc_id", "text"), fixtures, path="found").select("doc_id", "found")
 
 
-@query()
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS score FROM documents")
 def batch_retry(spark, sf_dir):
+    from ..operators import scorers
+
     def score(texts: list[str]) -> list[int]:
-        if len(texts) > 1 and sum(map(len, texts)) > 6000:
-            raise MemoryError("out of memory")
+        """Scores a padded batch, as long as it fits."""
+        if len(texts) > 1 and len(texts) * max(map(len, texts)) > 8000:
+            raise MemoryError("the padded batch is too large")
         return [len(t) for t in texts]
 
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            done = list(repair.with_retries([texts[i : i + 4] for i in range(0, len(texts), 4)], score, lambda e: isinstance(e, MemoryError)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [s for s, _ in done]})
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, score long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return scorers.score_batches(docs, "text", score, "score long", 4, (MemoryError,)).select("doc_id", "score")
 
 
 @query(f"WITH {_CALLS_SQL} SELECT conv_id, count(*) AS calls, CAST(sum(b) - sum(a) AS BIGINT) AS saved_chars FROM T GROUP BY conv_id")

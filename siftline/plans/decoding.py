@@ -6,21 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import decode, scans
-from .catalog import LINES, query, table
+from .catalog import VITERBI, query, table
 
 
-@query(f"""WITH RECURSIVE {LINES},
-E AS (SELECT doc_id, n, m, length(line) % 7 / 4.0::DOUBLE AS e FROM L),
-F AS (
-  SELECT doc_id, n, 1.0::DOUBLE AS s0, e AS s1, 0 AS b0, 0 AS b1 FROM E WHERE n = 1
-  UNION ALL
-  SELECT E.doc_id, E.n, greatest(s0 + 0.5, s1 - 0.5) + 1.0, greatest(s0 - 0.5, s1 + 0.5) + e, CASE WHEN s1 - 0.5 > s0 + 0.5 THEN 1 ELSE 0 END, CASE WHEN s1 + 0.5 > s0 - 0.5 THEN 1 ELSE 0 END
-  FROM F JOIN E ON E.doc_id = F.doc_id AND E.n = F.n + 1),
-B AS (
-  SELECT F.doc_id, F.n, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS tag, b0, b1 FROM F JOIN E ON E.doc_id = F.doc_id AND E.n = F.n WHERE F.n = m
-  UNION ALL
-  SELECT F.doc_id, F.n, CASE WHEN B.tag = 1 THEN B.b1 ELSE B.b0 END, F.b0, F.b1 FROM B JOIN F ON F.doc_id = B.doc_id AND F.n = B.n - 1)
-SELECT doc_id, string_agg(tag, '' ORDER BY n) AS tags FROM B GROUP BY doc_id""")
+@query(VITERBI.format(e="length(line) % 7 / 4.0::DOUBLE") + "SELECT doc_id, string_agg(tag, '' ORDER BY n) AS tags FROM B GROUP BY doc_id")
 def viterbi_blocks(spark, sf_dir):
     # blocks of four lines, so that most documents have several
     steps = F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 4.0))

@@ -219,6 +219,19 @@ def test_batch_retry_query(spark):
             raise MemoryError("oom")
         return batch
 
+    from siftline.operators import scorers
+
+    def padded(texts):
+        if len(texts) > 1 and len(texts) * max(map(len, texts)) > 20:
+            raise MemoryError("too large")
+        return [len(t) for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(10)], "id long, text string").coalesce(1)
+    got = {r["id"]: (r["n"], r["retried"]) for r in scorers.score_batches(rows, "text", padded, "n int", 3, (MemoryError,)).collect()}
+    assert got == {i: (i, i >= 6) for i in range(10) if i < 9} | {9: (9, False)}
+    with pytest.raises(Exception, match="ValueError"):
+        scorers.score_batches(rows, "text", lambda texts: 1 / 0 if not texts else [int(t) for t in texts], "n int", 3, (MemoryError,)).collect()
+
     with pytest.raises(repair.BatchFailed) as failed:
         list(repair.with_retries([["a", "bad", "c"]], score, lambda e: isinstance(e, MemoryError)))
     assert (failed.value.size, failed.value.done) == (3, 1)
@@ -272,9 +285,6 @@ def rows_of(df: pd.DataFrame) -> list:
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
-    if name in catalog.ORACLE_SQL:
-        want = db.execute(catalog.ORACLE_SQL[name]).df()
-        assert sorted(got.columns) == sorted(want.columns)
-        assert rows_of(got) == rows_of(want)
-    else:
-        assert len(got) and name in {"batch_retry", "viterbi_decode"}  # each has a test of its own above
+    want = db.execute(catalog.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got) == rows_of(want)
