@@ -2,7 +2,8 @@
 
 Units are relations: a text's matches are exploded with their positions, a window sums their lengths, the two cut requests of each text meet the
 units by ordinal, and the offsets found are aggregated per text, where substring makes the parts. The texts are dealt out once, by a number of the row, and
-every step reads that one exchange, so a hot doc_id or a group of copies is spread like any other rows.
+every step reads that one exchange, so a hot doc_id or a group of copies is spread like any other rows. The number follows from where a row stands in the scan, which a task that is
+run again reads alike.
 """
 
 from __future__ import annotations
