@@ -6,7 +6,6 @@ the line, so that modules differ as documents do and refer to themselves as word
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T

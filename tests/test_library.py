@@ -1,7 +1,6 @@
 """Golden values of the operators, and queries against their SQL twins."""
 
 import ast
-import hashlib
 import itertools
 import random
 
