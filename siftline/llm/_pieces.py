@@ -7,8 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: A worker keeps the pieces it met last, so many to twice as many, and never one of more characters than LONG_PIECE.
-KEPT_PIECES, LONG_PIECE = 100_000, 1 << 10
+#: Pieces of more characters are never kept.
+LONG_PIECE = 1 << 10
 
 
 def distinct_pieces(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -19,13 +19,13 @@ def distinct_pieces(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[s
 
 
 class Memo:
-    """What `work` gives for lists of new pieces, remembered in two generations: when the younger is full it becomes the older, and what is used again moves on."""
+    """What `work` gives for lists of new pieces, remembered in two generations: when the younger has `kept` of them it becomes the older, and what is used again moves on."""
 
-    def __init__(self, work: Callable[[list[str]], list]):
-        self.work, self.young, self.old = work, {}, {}
+    def __init__(self, work: Callable[[list[str]], list], kept: int = 100_000):
+        self.work, self.kept, self.young, self.old = work, kept, {}, {}
 
     def of(self, pieces: list[str]) -> list:
-        if len(self.young) > KEPT_PIECES:
+        if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         out = [young.get(p) or old.get(p) for p in pieces]

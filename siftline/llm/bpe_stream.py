@@ -30,6 +30,8 @@ NEVER = 1 << 62
 _NONE = (NEVER, -1)
 #: Bytes of text encoded at once, and tokens decoded at once.
 TEXT_BYTES, DECODED_TOKENS = 1 << 20, 1 << 18
+#: Pieces whose ids a worker keeps, up to twice as many; each takes some 200 bytes.
+KEPT_PIECES = 250_000
 # Fixed value: the pattern of words by which it is known that letters, digits and marks are apart, and that only an apostrophe can join them.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _transducers: dict[str, TextTransducer] = {}
@@ -170,7 +172,7 @@ class TextTransducer:
         letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.lowers = self.split and self.tools.normalizer is not None and self.tools.normalizer.normalize_str(letters) == letters.lower()
         self.words: dict[str, list[int]] = {}
-        self.memo = Memo(lambda pieces: [(np.array(self.piece(p), dtype="<u4").tobytes(),) for p in pieces])
+        self.memo = Memo(lambda pieces: [(np.array(self.piece(p), dtype="<u4").tobytes(),) for p in pieces], KEPT_PIECES)
 
     @staticmethod
     def of(path: str) -> TextTransducer:
