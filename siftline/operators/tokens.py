@@ -14,6 +14,8 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from ..functions.batches import by_stretches
+
 TOKENS = "array<struct<id:bigint,start:int,end:int>>"
 
 
@@ -104,7 +106,7 @@ for _name, _factory in (("char", _chars), ("word", _words), ("vocabulary", _voca
 
 
 def tokens(text: Column | str, tokenizer: str, path: str | None = None) -> Column:
-    """An array of (id, start, end), batch by batch; null or empty text: none. The windows of chunks.token_windows take it as it is."""
+    """An array of (id, start, end), stretch by stretch of a batch; null or empty text: none. The windows of chunks.token_windows take it as it is."""
 
     def encode(column: pa.Array) -> pa.Array:
         found = get(tokenizer, path)([t or "" for t in column.to_pylist()])
@@ -112,7 +114,10 @@ def tokens(text: Column | str, tokenizer: str, path: str | None = None) -> Colum
         parts = [np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(x[k]) for x in found)]) for k in range(3)]
         return pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(parts[0].astype(np.int64)), *(pa.array(p.astype(np.int32)) for p in parts[1:])], ["id", "start", "end"]))
 
-    return F.arrow_udf(encode, TOKENS)(text)
+    def stretched(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_stretches(encode, columns)
+
+    return F.arrow_udf(stretched, TOKENS)(text)
 
 
 @udtf
