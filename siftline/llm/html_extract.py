@@ -218,8 +218,9 @@ def content_nodes(page: Page, weight: np.ndarray) -> tuple[set[int], bool]:
             k = node
             while k:
                 around.add(k := page.above[k])
-            others = [k for k in marked if page.tags[k] == "article" and k not in around and not within[k]]
-            apart = {k for k in others if not any(_down(page, {x})[k] for x in others if x != k)} if len(others) < 50 else set(others)
+            others = {k for k in marked if page.tags[k] == "article" and k not in around and not within[k]}
+            held = _down(page, others)
+            apart = {k for k in others if not held[page.above[k]]}  # those that no other one holds
             if apart and sums[node] < 0.5 * (sums[node] + sum(sums[k] for k in apart)):
                 return {node, *apart}, True
         return {node}, True

@@ -548,3 +548,13 @@ def test_repeated_rows(docs):
     twice = docs.union(docs)
     for f in (substring_dedup.dedup_word_windows, suffix_dedup.dedup_byte_strings, jaccard_join.near_duplicate_components, mixing.mix_sources, fingerprints.fingerprint_documents):
         assert f(twice).count() == 2 * docs.count()
+
+
+@pytest.mark.parametrize("pairs", [3, 24, 25, 60])
+def test_nested_articles_count_once(pairs):
+    """However many articles there are: those within others don't count beside these."""
+    small = "<article><article><p>" + "x" * (6000 // pairs) + "</p></article></article>"
+    page = html_extract.Page("<body><article><p>" + "y" * 10_000 + "</p></article>" + small * pairs + "</body>")
+    chars = np.array([len(b[2]) for b in page.blocks], dtype=float)
+    nodes, marked = html_extract.content_nodes(page, chars)
+    assert marked and [len(b[2]) for b, k in zip(page.blocks, html_extract._down(page, nodes)[[b[1] for b in page.blocks]]) if k] == [10_000]
