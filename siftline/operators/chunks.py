@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from ..functions.batches import by_stretches, give_back, text_stretches
 from ..functions.text import let, lines
 
 TOKEN = "array<struct<start:int,end:int>>"
@@ -36,7 +37,11 @@ def _word_spans(text: pa.Array) -> pa.Array:
 
 def word_tokens(text: Column) -> Column:
     """Spans (0-based, end exclusive) of words separated by blanks and line feeds, vectorised over Arrow batches: a fold over an array would copy it at every step."""
-    return F.arrow_udf(_word_spans, TOKEN)(text)
+
+    def spans(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_stretches(_word_spans, columns)
+
+    return F.arrow_udf(spans, TOKEN)(text)
 
 
 def token_windows(tokens: Column, most: int, overlap: int) -> Column:
@@ -102,7 +107,11 @@ def _line_spans(text: pa.Array) -> pa.Array:
 
 def line_spans(text: Column) -> Column:
     """The character range of every line: without carriage returns and line feeds at its end; other ends of lines count as its text. Linear in the text, over Arrow batches."""
-    return F.arrow_udf(_line_spans, TOKEN)(text)
+
+    def spans(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_stretches(_line_spans, columns)
+
+    return F.arrow_udf(spans, TOKEN)(text)
 
 
 def line_ranges(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -177,9 +186,12 @@ def _merged(cut: np.ndarray, scores: pa.Array, stride: int) -> np.ndarray:
 def _with_column(df: DataFrame, text: str, scores: str, made, kind) -> DataFrame:
     def emit(batches: Iterator) -> Iterator:
         for batch in batches:
-            of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            of[scores] = made(of[text], of[scores])
-            yield pa.RecordBatch.from_arrays([*of.values()], [*of])
+            for lo, hi in text_stretches(batch.column(batch.schema.get_field_index(text))):
+                part = batch.slice(lo, hi - lo)
+                of = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                of[scores] = made(of[text], of[scores])
+                yield pa.RecordBatch.from_arrays([*of.values()], [*of])
+        give_back()
 
     return df.mapInArrow(emit, StructType([StructField(f.name, kind) if f.name == scores else f for f in df.schema.fields]))
 
