@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 #: Steps of a sequence that are taken in lockstep with others'; longer ones are cut into blocks of so many.
 BLOCK = 4096
 
@@ -114,57 +116,141 @@ def _arrays(batch, name: str, tags: int) -> list[np.ndarray]:
     return [np.array(v, dtype=float).reshape(-1, tags) for v in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def _lockstep(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each step, which of several runs of steps still have it (longest first) and so where it lies in their concatenation."""
+    order, offset = np.argsort(-sizes, kind="stable"), np.cumsum(sizes) - sizes
+    for i in range(sizes.max(initial=0)):
+        at = order[: np.searchsorted(-sizes[order], -i, side="left")]
+        yield i, at, offset[at] + i
+
+
+def _scanned(batches: Iterator, keys: list[str], step, begin, *width: int) -> Iterator[tuple]:
+    """Batches of rows that come sorted by keys, each with what step(batch) left before its rows: sequences in lockstep, and what a sequence leaves at a batch's end goes on in the next one.
+
+    begin(batch, rows) is what the first rows of sequences leave, step(batch, rows, before) what others do.
+    """
+    known, carried = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        fresh = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            codes = c.dictionary_encode("encode").indices.to_numpy()
+            fresh[1:] |= codes[1:] != codes[:-1]
+        own = [c[0].as_py() for c in columns]
+        fresh[0] = first = own != known
+        starts = np.flatnonzero(fresh) if first else np.concatenate([[0], np.flatnonzero(fresh)])
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        before, state = np.zeros((batch.num_rows, *width)), np.zeros((len(starts), *width))
+        if not first:
+            state[0] = carried
+        for i, runs, rows in _lockstep(sizes):
+            new = fresh[rows] if i == 0 else np.zeros(len(rows), dtype=bool)
+            before[rows] = state[runs]
+            if new.any():
+                state[runs[new]] = begin(batch, rows[new])
+            if not new.all():
+                state[runs[~new]] = step(batch, rows[~new], state[runs[~new]])
+        after = np.empty_like(before)
+        after[:-1], after[-1] = before[1:], state[-1]
+        ends = np.append(starts[1:], batch.num_rows) - 1
+        after[ends] = state
+        known, carried = [c[batch.num_rows - 1].as_py() for c in columns], state[-1]
+        yield batch, fresh, before, after
+
+
+def _matrix(batch, name: str, *shape: int) -> np.ndarray:
+    """A column of arrays of one length."""
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, *shape)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    flat = values.reshape(len(values), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+
+def _steps(batch, tags: int) -> tuple[np.ndarray, np.ndarray]:
+    """The emissions of a batch's blocks as rows of one array, and how many each block has."""
+    column = batch.column(batch.schema.get_field_index("emissions"))
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, tags)
+    return flat, np.diff(column.offsets.to_numpy())
+
+
 def decode_blocks(blocks: DataFrame, transitions: list, start: list, end: list, keys: list[str], block: str = "block", emissions: str = "emissions") -> DataFrame:
     """keys, block and tags of sequences that come as blocks (keys, block: in order, emissions: an array of a score for each tag a step, not empty), of any length, in three passes over them.
 
-    Between the passes a row a block meets at its sequence: a matrix of scores on the way there, a map of tags on the way back. Where scores are not whole or dyadic numbers, ways that are equally good
-    but for rounding may be told apart otherwise than step by step.
+    Between the passes a row a block meets at its sequence: a matrix of scores on the way there, a map of tags on the way back; sorted rows go by, so neither a sequence nor a key's rows have to fit
+    in memory, and the blocks of a batch are worked on in lockstep. Where scores are not whole or dyadic numbers, ways that are equally good but for rounding may be told apart otherwise than step by step.
     """
     t, a, z = (np.array(x, dtype=float) for x in (transitions, start, end))
     tags = len(a)
-    rows = blocks.select(*keys, F.col(block).cast("long").alias("block"), F.col(emissions).alias("emissions"))
+    rows = blocks.select(*keys, F.col(block).cast("long").alias("block"), F.col(emissions).cast("array<array<double>>").alias("emissions"))
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", block long"
     named = [*keys, "block"]
 
+    def kept(batch, **more) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in named), *more.values()], [*named, *more])
+
     def matrices(batches: Iterator) -> Iterator:
+        """whole: from each tag before a block to each at its end; begun: scores at its end if the sequence begins with it."""
         for batch in batches:
-            made = [(e[0].tolist(), product(e, t).ravel().tolist(), product(e[1:], t).ravel().tolist() if len(e) > 1 else []) for e in _arrays(batch, "emissions", tags)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in named), *(pa.array([m[k] for m in made], pa.list_(pa.float64())) for k in range(3))], [*named, "head", "whole", "rest"])
-
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The scores before each block."""
-        pdf, score, out = pdf.sort_values("block"), None, []
-        for head, whole, rest in zip(pdf["head"], pdf["whole"], pdf["rest"], strict=True):
-            out.append([] if score is None else score.tolist())
-            if score is None:
-                score = a + np.array(head)
-                score = (score[:, None] + np.array(rest).reshape(tags, tags)).max(0) if len(rest) else score
-            else:
-                score = (score[:, None] + np.array(whole).reshape(tags, tags)).max(0)
-        return pdf[named].assign(entry=out, final=int((score + z).argmax()))
+            flat, sizes = _steps(batch, tags)
+            whole, begun = np.zeros((len(sizes), tags, tags)), np.zeros((len(sizes), tags))
+            for i, at, rows in _lockstep(sizes):
+                e = flat[rows]
+                whole[at] = t + e[:, None] if i == 0 else (whole[at][:, :, :, None] + t).max(2) + e[:, None]
+                begun[at] = a + e if i == 0 else (begun[at][:, :, None] + t).max(1) + e
+            yield kept(batch, whole=_lists(whole), begun=_lists(begun))
+
+    def enter(batches: Iterator) -> Iterator:
+        """The scores before each block (none where the sequence begins), and the best tag if it ends with it."""
+        begin = lambda batch, rows: _matrix(batch, "begun", tags)[rows]
+        step = lambda batch, rows, score: (score[:, :, None] + _matrix(batch, "whole", tags, tags)[rows]).max(1)
+        for batch, fresh, before, after in _scanned(batches, keys, step, begin, tags):
+            yield kept(batch, fresh=pa.array(fresh), entry=_lists(before), final=pa.array((after + z).argmax(1).astype(np.int32)))
+
+    def backs(batch) -> tuple[np.ndarray, np.ndarray]:
+        """For each step the best tag before each tag (of equal ones the lower), and the sizes of the blocks."""
+        flat, sizes = _steps(batch, tags)
+        fresh, score = batch.column(batch.schema.get_field_index("fresh")).to_numpy(zero_copy_only=False), _matrix(batch, "entry", tags).copy()
+        back = np.zeros(flat.shape, dtype=np.int32)
+        for i, at, rows in _lockstep(sizes):
+            paths = score[at][:, :, None] + t
+            back[rows], score[at] = paths.argmax(1), paths.max(1) + flat[rows]
+            if i == 0:
+                new = fresh[at]
+                back[rows[new]], score[at[new]] = 0, a + flat[rows[new]]
+        return back, sizes
 
     def maps(batches: Iterator) -> Iterator:
         for batch in batches:
-            entries = batch.column(batch.schema.get_field_index("entry")).to_pylist()
-            made = [origin(forward(np.array(v) if v else None, a, e, t)[1]).tolist() for e, v in zip(_arrays(batch, "emissions", tags), entries, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in [*named, "final"]), pa.array(made, pa.list_(pa.int32()))], [*named, "final", "origin"])
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The tag at each block's end."""
-        pdf = pdf.sort_values("block", ascending=False)
-        tag, out = int(pdf["final"].iloc[0]), []
-        for back in pdf["origin"]:
-            out.append(tag)
-            tag = int(back[tag])
-        return pdf[named].assign(last=out)
+            back, sizes = backs(batch)
+            found = np.zeros((len(sizes), tags), dtype=np.int32)
+            found[:] = np.arange(tags)
+            for _, at, rows in reversed(list(_lockstep(sizes))):
+                found[at] = np.take_along_axis(back[rows], found[at], 1)
+            yield kept(batch, final=batch.column(batch.schema.get_field_index("final")), origin=_lists(found))
+
+    def leave(batches: Iterator) -> Iterator:
+        """The tag at each block's end; blocks come last first."""
+        final = lambda batch: batch.column(batch.schema.get_field_index("final")).to_numpy()
+        before_of = lambda batch, rows, tag: _matrix(batch, "origin", tags)[rows, tag.astype(np.int64)]
+        for batch, fresh, before, _ in _scanned(batches, keys, before_of, lambda batch, rows: before_of(batch, rows, final(batch)[rows])):
+            yield kept(batch, last=pa.array(np.where(fresh, final(batch), before).astype(np.int32)))
 
     def ways(batches: Iterator) -> Iterator:
         for batch in batches:
-            entries, last = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("entry", "last"))
-            made = [way(forward(np.array(v) if v else None, a, e, t)[1], k).tolist() for e, v, k in zip(_arrays(batch, "emissions", tags), entries, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in named), pa.array(made, pa.list_(pa.int32()))], [*named, "tags"])
-
-    entered = rows.mapInArrow(matrices, f"{schema}, head array<double>, whole array<double>, rest array<double>").groupBy(*keys).applyInPandas(enter, f"{schema}, entry array<double>, final int")
-    known = rows.join(entered, named)
-    left = known.mapInArrow(maps, f"{schema}, final int, origin array<int>").groupBy(*keys).applyInPandas(leave, f"{schema}, last int")
-    return known.join(left, named).mapInArrow(ways, f"{schema}, tags array<int>")
+            back, sizes = backs(batch)
+            tag, out = batch.column(batch.schema.get_field_index("last")).to_numpy().astype(np.int32).copy(), np.zeros(len(back), dtype=np.int32)
+            for _, at, rows in reversed(list(_lockstep(sizes))):
+                out[rows] = tag[at]
+                tag[at] = back[rows, tag[at]]
+            cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield kept(batch, tags=pa.ListArray.from_arrays(pa.array(cut), pa.array(out)))
+
+    sequences = lambda df, *order: df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    entered = sequences(rows.mapInArrow(matrices, f"{schema}, whole array<double>, begun array<double>"), F.col("block")).mapInArrow(enter, f"{schema}, fresh boolean, entry array<double>, final int")
+    known = written(rows.join(entered.hint("merge"), named))
+    left = sequences(known.mapInArrow(maps, f"{schema}, final int, origin array<int>"), F.col("block").desc()).mapInArrow(leave, f"{schema}, last int")
+    return known.join(left.hint("merge"), named).mapInArrow(ways, f"{schema}, tags array<int>")

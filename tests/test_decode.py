@@ -53,3 +53,23 @@ def test_nulls_and_other_sizes(spark):
     df = spark.createDataFrame(rows, "id long, e array<array<double>>, t array<array<double>>, a array<double>")
     got = {r["id"]: r["y"] for r in df.select("id", decode.viterbi_udf("e", F.col("t"), F.col("a"), F.col("a")).alias("y")).collect()}
     assert got == {1: None, 2: [], 3: [1], 4: [0] * 5, 5: None}
+
+
+def test_blocks_over_batches(spark):
+    """Sequences go on from batch to batch, and none is brought into a group of its own."""
+    rng, rows, want = random.Random(3), [], {}
+    t, a, z = [[0.5, -0.25], [0, 0.25]], [0, 0.5], [1, 0]
+    for k in range(60):
+        e = [[rng.randint(-6, 6) / 4 for _ in range(2)] for _ in range(rng.randint(1, 90))]
+        want[k] = repair.viterbi(e, t, a, z)
+        cut = [0, *sorted(rng.sample(range(1, len(e)), min(len(e) - 1, rng.randint(0, 20)))), len(e)]
+        rows += [(k, i, e[lo:hi]) for i, (lo, hi) in enumerate(itertools.pairwise(cut))]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "7")
+    try:
+        found = decode.decode_blocks(spark.createDataFrame(rows, "k long, block long, emissions array<array<double>>").repartition(5), t, a, z, ["k"])
+        got = found.collect()
+    finally:
+        spark.conf.unset(setting)
+    assert {k: [x for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["block"]) for x in r["tags"]] for k in want} == want
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
