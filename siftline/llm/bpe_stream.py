@@ -2,8 +2,9 @@
 
 Merges in order of rank, leftmost first. How far back a text's continuation can change its tokens is bounded by the merge list alone: whenever a rule
 (u, v) acts on one continuation and not on the other, the common tokens end one token u earlier, and the next such rule has a higher rank and a right part that begins with
-that u. The longest such chain, summed over the lengths of its u, is the sufficient lookahead. A token that ends so many symbols before the last one read is
-final and is emitted; what follows starts anew behind it. So a word of any length needs a buffer of one block and the lookahead.
+that u. The longest such chain, summed over the lengths of its u, is how far back a change can reach. A token that ends so many symbols before the last one read is
+final and is emitted; what follows starts anew behind it. The first token that isn't final may begin a token's length earlier, so the sufficient lookahead is that reach and
+the longest token but one symbol; a word of any length needs a buffer of one block and the lookahead.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ _KINDS[[i for i in range(128) if not _KINDS[i] and i != 39]] = 4
 
 
 class Merges:
-    """A merge list over token ids: ranks, and the lookahead that suffices for it."""
+    """A merge list over token ids: ranks, how far back a continuation reaches, and the lookahead that suffices for it."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
-        self.lookahead = 0
+        self.reach = 0
         made_by: dict[int, int] = {}
         left: dict[int, int] = {}
         length: dict[int, int] = {}
@@ -61,10 +62,11 @@ class Merges:
             while spine is not None:
                 chain, spine = max(chain, longest.get(spine, 0)), left.get(spine)
             longest[u] = max(longest.get(u, 0), chain + length.get(u, 1))
-            self.lookahead = max(self.lookahead, longest[u])
+            self.reach = max(self.reach, longest[u])
         #: whether parts are made before they are used, on which the bound rests
         self.proper = all(made_by.get(x, -1) < rank for pair, (rank, _) in self.rules.items() for x in pair) and len({w for _, w in self.rules.values()}) == len(self.rules)
         self.length = length
+        self.lookahead = self.reach + max(length.values(), default=1) - 1
 
     def merge(self, units: list[int]) -> list[int]:
         """The tokens of a string of symbols: of all pairs of neighbours the one of least rank is merged, of equal ones the leftmost, until there is none."""
@@ -111,7 +113,7 @@ class WordStream:
         self.held += units
         if len(self.held) < self.block + self.merges.lookahead or not self.merges.proper:
             return []
-        out, end, stable = [], 0, len(self.held) - self.merges.lookahead
+        out, end, stable = [], 0, len(self.held) - self.merges.reach
         for token in self.merges.merge(self.held):
             length = self.merges.length.get(token, 1)
             if end + length > stable:

@@ -129,6 +129,18 @@ def test_stable_tokens_never_change(made, word, block):
     assert out + stream.finish() == whole
 
 
+def test_a_token_longer_than_the_block_is_within_the_bound():
+    merges = [("b", "b"), ("bb", "bb"), ("b", "a"), ("bbbb", "a"), ("a", "a")]
+    table = bpe_stream.Merges({t: i for i, t in enumerate(["a", "b", "bb", "bbbb", "ba", "bbbba", "aa"])}, merges)
+    units = [1, 1, 1, 1, 0, 0, 0, 0]
+    for step in range(1, 4):
+        stream, out = bpe_stream.WordStream(table, 1), []
+        for i in range(0, len(units), step):
+            out += stream.feed(units[i : i + step])
+            assert len(stream.held) < 1 + table.lookahead + step
+        assert out + stream.finish() == plain_merge(units, table.rules) == [5, 6, 0]
+
+
 def test_long_words_are_emitted_while_they_are_read():
     own = bpe_stream.TextTransducer.of(entries.tokenizer_path("word_bpe_49k.json"))
     assert own.merges.proper and 0 < own.merges.lookahead < 2000
