@@ -79,6 +79,19 @@ def test_hot_segments(docs, texts, monkeypatch, test):
     test(docs, texts)
 
 
+def test_segments_are_not_dealt_by_anchor_to_find_hot_ones(spark, docs, monkeypatch):
+    plans, made = {}, _anchors.work_table
+    monkeypatch.setattr(_anchors, "work_table", lambda df: plans.setdefault(df.columns[-1], df._jdf.queryExecution().sparkPlan().toString()) and made(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert suffix_dedup.dedup_byte_strings(docs).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [x.strip(" :+-") for x in plans["bits"].splitlines() if "Join" in x]
+    assert sum(x.startswith("BroadcastHashJoin [anchor#") for x in joins) == 1 and not any(x.startswith("SortMergeJoin [anchor#") for x in joins)
+
+
 def test_repeated_rows_by_value(docs, texts):
     """Every row twice: of a text of one window or more, the copy (op1) or everything (op6) goes; components don't change."""
     twice = docs.union(docs)
