@@ -101,8 +101,8 @@ def verdict(before: Column, after: Column, passed: Column) -> tuple[Column, Colu
     return F.when(passed.isNotNull() | same, "unchanged").otherwise("pruned"), F.coalesce(passed, F.when(same, "no-lines-removed").otherwise("model"))
 
 
-def prune_lexical(df: DataFrame, question: str, text: str = "text") -> DataFrame:
-    """df with lines, kept (numbers), pruned, decision and reason, by the lexical scorer, bridge, plain rendering and floor."""
+def prune_lexical(df: DataFrame, question: str, text: str = "text", empty_line: bool = False) -> DataFrame:
+    """df with lines, kept (numbers), pruned, decision and reason, by the lexical scorer, bridge, plain rendering and floor. empty_line: an empty text has an empty line, else none."""
     def kernel(x: Column) -> Column:
         return T.let(bridge_gaps(lexical_mask(x, question)), lambda m: result(x, m, with_floor(F.col(text), render_plain(x, m))))
 
@@ -110,7 +110,7 @@ def prune_lexical(df: DataFrame, question: str, text: str = "text") -> DataFrame
         decided = lambda f: verdict(F.col(text), f["text"], f["floor"])
         return T.let(floored, lambda f: F.struct(x.alias("lines"), kept_numbers(m).alias("kept"), f["text"].alias("pruned"), decided(f)[0].alias("decision"), decided(f)[1].alias("reason")))
 
-    return df.withColumn("_p", T.let(T.lines(F.col(text)), kernel)).select(*df.columns, "_p.*")
+    return df.withColumn("_p", T.let(T.lines(T.with_a_line(F.col(text)) if empty_line else F.col(text)), kernel)).select(*df.columns, "_p.*")
 
 
 def prune_kernel(df: DataFrame, question: str, scorer: str = "lexical", text: str = "text", most: int = 64, overlap: int = 16, threshold: float = 0.5, prefix: int = 0, repaired: bool = False) -> DataFrame:
