@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import decode, scans
-from .catalog import VITERBI, query, table
+from .catalog import VITERBI, query, table, text_lines, texts
 
 
 @query(VITERBI.format(e="length(line) % 7 / 4.0::DOUBLE") + "SELECT doc_id, string_agg(tag, '' ORDER BY n) AS tags FROM B GROUP BY doc_id")
 def viterbi_blocks(spark, sf_dir):
     # blocks of four lines, so that most documents have several
-    steps = F.transform(T.lines(F.col("text")), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 4.0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", steps.alias("e")).where(F.size("e") > 0)
+    steps = F.transform(text_lines(), lambda x: F.array(F.lit(1.0), F.length(x) % 7 / 4.0))
+    rows = texts(spark, sf_dir).select("doc_id", steps.alias("e"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("e") - 1) / 4).cast("int")), lambda k: F.struct(k.alias("block"), F.slice("e", k * 4 + 1, 4).alias("emissions")))
     found = decode.decode_blocks(rows.select("doc_id", F.inline(cut)), [[0.5, -0.5], [-0.5, 0.5]], [0.0, 0.0], [0.0, 0.0], ["doc_id"])
     return found.groupBy("doc_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "tags"))), lambda x: x["tags"])), "").alias("tags"))
