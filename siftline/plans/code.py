@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import intervals, repair, syntax
-from .catalog import LINES, query, table
+from .catalog import LINES, query, text_lines, texts
 
 #: A line's source lines by kind; {a} and {b} are its first two words.
 UNITS = (
@@ -33,7 +33,7 @@ def _values(name: str, columns: str, rows: list[tuple]) -> str:
 
 def modules(spark, sf_dir):
     """source (the document's id), code and size (lines)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x, i: F.struct(F.lower(x).alias("x"), ((i + 1 + F.col("doc_id")) % 4).alias("kind"))).alias("units"))
+    rows = texts(spark, sf_dir).select("doc_id", F.transform(text_lines(), lambda x, i: F.struct(F.lower(x).alias("x"), ((i + 1 + F.col("doc_id")) % 4).alias("kind"))).alias("units"))
     word = lambda x, pattern, group, default: F.coalesce(F.nullif(F.regexp_extract(x, pattern, group), F.lit("")), F.lit(default))
 
     def written(u):

@@ -21,7 +21,7 @@ def plain(value):
     return round(float(value), 9) if isinstance(value, float) or type(value).__name__ == "Decimal" else value
 
 
-@pytest.mark.parametrize("name", ["line_index", "gap_islands", "gap_bridge", "mask_compare", "mask_summary", "report_merge", "must_contain", "prune_lexical", "prune_report", "prune_stats", "prune_trace_render", "prune_kernel", "threshold_mask", "line_scores", "merge_overlap_scores", "scorer_matrix", "viterbi_blocks", "viterbi_decode"])
+@pytest.mark.parametrize("name", ["line_index", "gap_islands", "gap_bridge", "mask_compare", "mask_summary", "report_merge", "must_contain", "prune_lexical", "prune_report", "prune_stats", "prune_trace_render", "prune_kernel", "threshold_mask", "line_scores", "merge_overlap_scores", "scorer_matrix", "viterbi_blocks", "viterbi_decode", "repair_python", "repair_gap_render", "python_nodes", "scope_lines"])
 def test_as_sql(spark, odd, name):
     got = __spark_entry__.queries()[name](spark, odd)
     con = duckdb.connect()
