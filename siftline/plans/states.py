@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import backend, chunks, tokens
 from ..sources import frames, variants
 from ..sources.work import folder
-from .catalog import _SPANS, query, table
+from .catalog import _SPANS, query, table, texts
 
 _EVENT_SQL = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(backend.EVENTS)) + " ELSE 'load-resident' END"
 _ALIVE_FIRST = "CASE WHEN event IN ('load-resident', 'ok-untold', 'refused') THEN true WHEN event IN ('transport-failed', 'child-exited', 'stopped') THEN false ELSE alive END"
@@ -45,12 +45,13 @@ def json_objects(spark, sf_dir):
 SELECT doc_id, tokenizer, idx AS chunk_idx, least(512, m - idx * 448) AS tokens, idx * 448 AS start, least(m, idx * 448 + 512) AS "end" FROM C
 UNION ALL SELECT B.doc_id, tokenizer, idx, count(*), CAST(min(start) AS BIGINT), CAST(max(stop) AS BIGINT) FROM B JOIN T2 ON T2.doc_id = B.doc_id AND k BETWEEN idx * 48 AND idx * 48 + 63 GROUP BY ALL""")
 def tokenizer_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
 
     def windows(name, most, overlap):
-        rows = docs.select("doc_id", F.lit(name).alias("tokenizer"), tokens.tokens("text", name).alias("t")).where(F.size("t") > 0)
+        # a text without words has no window of them, an empty one has an empty window of characters
+        rows = docs.select("doc_id", F.lit(name).alias("tokenizer"), tokens.tokens("text", name).alias("t")).where((F.size("t") > 0) | F.lit(name == "char"))
         cut = chunks.explode_windows(rows, "t", most, overlap, "doc_id", "tokenizer")
-        ends = (F.element_at("tokens", 1)["start"].alias("start"), F.element_at("tokens", -1)["end"].alias("end"))
+        ends = (F.coalesce(F.try_element_at("tokens", F.lit(at))[end], F.lit(0)) for at, end in ((1, "start"), (-1, "end")))
         return cut.select("doc_id", "tokenizer", F.col("chunk_idx").cast("long"), F.size("tokens").cast("long").alias("tokens"), *(e.cast("long").alias(n) for e, n in zip(ends, ("start", "end"))))
 
     return windows("char", 512, 64).unionByName(windows("word", 64, 16))

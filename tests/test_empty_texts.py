@@ -21,7 +21,10 @@ def plain(value):
     return round(float(value), 9) if isinstance(value, float) or type(value).__name__ == "Decimal" else value
 
 
-@pytest.mark.parametrize("name", ["line_index", "gap_islands", "gap_bridge", "mask_compare", "mask_summary", "report_merge", "must_contain", "prune_lexical", "prune_report", "prune_stats", "prune_trace_render", "prune_kernel", "threshold_mask", "line_scores", "merge_overlap_scores", "scorer_matrix", "viterbi_blocks", "viterbi_decode", "repair_python", "repair_gap_render", "python_nodes", "scope_lines"])
+@pytest.mark.parametrize("name", [
+    "gap_islands", "line_index", "mask_compare", "mask_summary", "prune_kernel", "prune_lexical", "prune_report", "prune_stats", "repair_gap_render", "repair_python", "scorer_matrix", "threshold_mask", "viterbi_blocks",
+    "gap_bridge", "line_scores", "merge_overlap_scores", "must_contain", "prune_trace_render", "python_nodes", "report_merge", "scope_lines", "viterbi_decode",
+])
 def test_as_sql(spark, odd, name):
     got = __spark_entry__.queries()[name](spark, odd)
     con = duckdb.connect()
@@ -30,3 +33,10 @@ def test_as_sql(spark, odd, name):
     at = [got.columns.index(d[0]) for d in found.description]
     want = Counter(tuple(map(plain, r)) for r in found.fetchall())
     assert want and Counter(tuple(plain(r[k]) for k in at) for r in got.collect()) == want
+
+
+def test_tokenizer_windows(spark, odd):
+    rows = __spark_entry__.queries()["tokenizer_windows"](spark, odd).collect()
+    empty = [tuple(r)[1:] for r in rows if r["doc_id"] in (0, 2, 10)]
+    assert empty == [("char", 0, 0, 0, 0)] * 3
+    assert {r["doc_id"] for r in rows if r["tokenizer"] == "word"} == {6, 7, 8, 9} and not [r for r in rows if r["doc_id"] == 1]
